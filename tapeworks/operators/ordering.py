@@ -171,13 +171,15 @@ def average_ranks(
     ``pct`` divides by the number of non-null values of the key.
     """
     if not spread:
+        # Every window is partitioned by the keys alone: one exchange for all columns.
         outs = []
+        whole = Window.partitionBy(*keys)
         for c in cols:
-            w = Window.partitionBy(*keys, F.col(c).isNull()) if keys else Window.partitionBy(F.col(c).isNull())
-            ties = Window.partitionBy(*keys, c)
-            rank = F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(ties) - 1) / F.lit(2.0)
+            by_value = whole.orderBy(F.col(c).asc_nulls_last())
+            ties = F.count(F.lit(1)).over(by_value.rangeBetween(0, 0))
+            rank = F.rank().over(by_value) + (ties - 1) / F.lit(2.0)
             if pct:
-                rank = rank / F.count(F.lit(1)).over(w)
+                rank = rank / F.count(c).over(whole)
             outs.append(F.when(F.col(c).isNotNull(), rank).alias(c + suffix))
         return df.select("*", *outs)
 
