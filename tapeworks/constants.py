@@ -46,6 +46,45 @@ ACTION_NOTES = {
 }
 BANDS = [("High", 70.0), ("Moderate", 55.0), ("Low", 38.0), ("Bearish", None)]
 
+# Reasons: (column, above, below, factor for the text, text). A rule fires when the
+# value is known, not zero, above the first and below the second bound. "ratings"
+# stands for the share of buy (bull) or sell (bear) ratings out of at least three.
+BULL_RULES = [
+    ("pe_ratio", None, 18, 1, "Attractive valuation at P/E {:.1f}x — below market average"),
+    ("ev_ebitda", 0, 12, 1, "Cheap at {:.1f}x EV/EBITDA — strong value across the capital structure"),
+    ("roe", 0.20, None, 100, "Strong ROE of {:.0f}% — durable competitive advantage"),
+    ("fcf_yield", 0.04, None, 100, "FCF yield of {:.1f}% — real cash generation backing the valuation"),
+    ("net_margin", 0.15, None, 100, "High net margin of {:.1f}% — pricing power and scalability"),
+    ("debt_equity", None, 0.5, 1, "Conservative balance sheet at {:.2f}x D/E — financial flexibility"),
+    ("revenue_growth", 0.12, None, 100, "Revenue growing at {:.0f}% — compounding top-line momentum"),
+    ("mom_12m", 0.15, None, 100, "Strong 12M momentum (+{:.0f}%)"),
+    ("earnings_surprise", 0.15, None, 1, "Consistently beating earnings estimates — analyst upgrades likely to follow"),
+    ("dividend_yield", 0.03, None, 100, "Dividend yield of {:.1f}% — income with quality backing"),
+    ("ratings", 0.65, None, 1, "{} of {} analysts rate BUY — broad professional conviction"),
+    ("inst_ownership", 0.70, None, 100, "{:.0f}% institutional ownership — strong professional conviction"),
+    ("insider_ownership", 0.10, None, 100, "Insiders hold {:.0f}% — management aligned with shareholders"),
+]
+BEAR_RULES = [
+    ("pe_ratio", 50, None, 1, "Stretched P/E of {:.0f}x requires perfect execution"),
+    ("ev_ebitda", 25, None, 1, "Premium at {:.1f}x EV/EBITDA — limited margin of safety on cash earnings"),
+    ("mom_12m", None, -0.08, 100, "Negative 12M trend ({:.0f}%) — market expressing concern"),
+    ("debt_equity", 2.0, None, 1, "High leverage at {:.2f}x D/E — elevated refinancing risk"),
+    ("revenue_growth", None, 0, 100, "Declining revenues ({:.0f}%) — structural headwinds"),
+    ("net_margin", None, 0.05, 100, "Very thin margins ({:.1f}%) — limited operational resilience"),
+    ("fcf_yield", None, 0, 1, "Negative free cash flow — earnings quality is low; reliant on external financing"),
+    ("earnings_surprise", None, -0.15, 1, "Consistently missing earnings estimates — confidence in forward guidance is low"),
+    ("ratings", 0.30, None, 1, "{} of {} analysts rate SELL — notable professional skepticism"),
+    ("inst_ownership", None, 0.30, 100, "Low institutional interest ({:.0f}%) — limited professional coverage"),
+]
+HYSTERESIS_NOTES = {
+    "softened": "You rated this a BUY{when}. The score has softened but hasn't broken "
+                "down — consider holding rather than selling on this move.",
+    "intact": "You flagged this BUY{when}; now HOLD — thesis intact, no action needed.",
+    "broken": "Was a BUY{when}; the score has since deteriorated materially — the "
+              "thesis has weakened.",
+}
+BETA_NOTE = "vs S&P 500 — may not reflect local market beta"
+
 # --- profile weights ---------------------------------------------------------
 PROFILE_COLUMNS = ["pe", "pb", "roe", "de", "dy", "rg", "mg", "m12", "m3"]
 PROFILE_WEIGHTS = {
@@ -67,6 +106,8 @@ SECTORS = [
 ]
 CORE_SECTORS = ["Technology", "Healthcare", "Financials", "Consumer Staples", "Industrials"]
 OVER_CONCENTRATION_PCT = 40.0
+OVER_MESSAGE = "{pct}% of your portfolio is in {sector} — heavy single-sector concentration raises your risk."
+GAP_MESSAGE = "No {sector} exposure — a core sector most balanced portfolios hold."
 
 EXACT_SECTORS = {
     "technology": "Technology",

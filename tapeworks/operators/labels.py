@@ -107,9 +107,10 @@ def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool = False
     return out
 
 
-def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool, min_names: int = 3) -> DataFrame:
+def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool, min_names: int = 3,
+                    trailing: str = "trailing_ret") -> DataFrame:
     """Today's ranks labelled with the trailing 252-bar return (strictly above median)."""
-    rows = latest.filter("mom_12m IS NOT NULL").withColumn("fwd_ret", F.col("mom_12m"))
+    rows = latest.filter(F.col(trailing).isNotNull()).withColumn("fwd_ret", F.col(trailing))
     big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") >= min_names)
     out = X.median_labels(rows.join(big, keys, "left_semi"), keys, spread=spread, inclusive=False)
     return out.fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES]).withColumn("is_snapshot", F.lit(True))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tapeworks import constants as K
 from tapeworks.functions import scalars as S
+from tapeworks.functions import signals as G
 from tapeworks.operators import cross_section as X
 from tapeworks.operators import labels as L
 from tapeworks.operators import ordering as O
+from tapeworks.operators import scoring as R
 from tapeworks.operators import timeseries as TS
 from tapeworks.session import durable
 from tapeworks.sources import prices as P
@@ -111,14 +113,14 @@ def raw_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(
         "ticker", *[F.expr(e).alias(k) for k, e in FUNDAMENTAL_TEXT.items()],
         *[F.expr(e).cast("int").alias(k) for k, e in RATING_COUNTS.items()],
+        (F.col("c") * 13 % 70 / F.lit(100.0) + 0.2).alias("prior_score"),
         ((F.col("v") + F.col("q")) % 100 / F.lit(100.0)).cast("double").alias("inst_ownership"),
         ((F.col("c") + F.col("d")) % 30 / F.lit(100.0)).cast("double").alias("insider_ownership"))
 
 
 def fundamentals(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_fundamentals(spark, sf)
-    clean = T.clean_fundamentals(raw.drop("inst_ownership", "insider_ownership"))
-    return clean
+    return T.clean_fundamentals(raw)
 
 
 def market_series(px: DataFrame) -> DataFrame:
@@ -183,18 +185,99 @@ def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
         "fwd_ret", "vol", "bench_ret")), spread
 
 
-def latest_raw(spark: SparkSession, sf: str, series: DataFrame | None = None) -> DataFrame:
-    """Raw 21 features and metadata of each ticker's last bar."""
-    series = durable(bars(spark, sf)) if series is None else series
-    last = TS.last_bar(TS.price_features(series, "snapshot"))
+def latest_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw 21 features and metadata of each ticker's last bar.
+
+    ``high_any`` keeps the 52-week high of short series for the reference panel.
+    """
+    last = TS.last_bar(TS.price_features(bars(spark, sf), "panel"))
+    last = last.select(
+        "ticker", "dt", "bar", F.col("close").alias("last_price"),
+        *[c for c in K.PRICE_FEATURES if c != "price_vs_52w_high"],
+        F.col("price_vs_52w_high").alias("high_any"),
+        F.when(F.col("bar") + 1 >= TS.HIGH_BARS, F.col("price_vs_52w_high")).alias("price_vs_52w_high"),
+        F.col("mom_12m").alias("trailing_ret"))
     raw = raw_fundamentals(spark, sf)
-    own = raw.select("ticker", "inst_ownership", "insider_ownership")
-    info = T.clean_fundamentals(raw)
+    info = T.clean_fundamentals(raw).join(
+        raw.select("ticker", "inst_ownership", "insider_ownership", "prior_score"), "ticker")
     surprise = T.surprise_average(earnings(spark, sf))
-    out = last.join(info, "ticker", "left").join(own, "ticker", "left").join(surprise, "ticker", "left").join(
+    out = last.join(info, "ticker", "left").join(surprise, "ticker", "left").join(
         industries(spark, sf), "ticker", "left")
     return out.withColumns({
         "log_mktcap": S.log_market_cap("market_cap"),
         "analyst_consensus": S.analyst_consensus("analyst_buy", "analyst_hold", "analyst_sell"),
-        "market": S.market_of("ticker"), "last_price": F.col("close"), "all_": F.lit(1),
+        "market": S.market_of("ticker"), "universe": F.lit("all"),
     })
+
+
+def universe(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(features, raw): 21 filled features with ranks inside one universe, and the raw rows."""
+    raw = durable(latest_raw(spark, sf))
+    spread = O.needs_spread(raw, ["universe"])
+    return X.snapshot_features(raw, ["universe"], ["ticker"], spread=spread), raw
+
+
+def priors(raw: DataFrame) -> DataFrame:
+    """A stand-in for the signals shown earlier (fixture)."""
+    return raw.select("ticker", G.signal_of("prior_score").alias("prior_signal"), F.lit("30 Sep 2001").alias("prior_date"))
+
+
+def results(spark: SparkSession, sf: str, risk: str = "medium") -> DataFrame:
+    """Scored universe: reference ranks -> stand-in probability -> signals."""
+    feats, raw = universe(spark, sf)
+    panel = X.reference_panel(raw.drop("price_vs_52w_high").withColumnRenamed("high_any", "price_vs_52w_high"))
+    live = X.reference_ranks(durable(feats), panel, ["ticker"], K.PRICE_FEATURES)
+    live = live.withColumn("prob", mean_rank())
+    return R.score_universe(live, "prob", risk, priors(raw))
+
+
+def line_holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """(portfolio_id, ticker, units): what each customer bought, by ticker."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    part = table(spark, sf, "part").select("p_partkey", ticker_of().alias("ticker"))
+    rows = li.join(orders, li.l_orderkey == orders.o_orderkey).join(part, li.l_partkey == part.p_partkey)
+    return rows.groupBy(F.col("o_custkey").alias("portfolio_id"), "ticker").agg(F.sum("l_quantity").alias("units"))
+
+
+def holdings(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdings with sector; one brand has no weight in every third portfolio."""
+    rows = line_holdings(spark, sf).join(industries(spark, sf).select("ticker", "sector"), "ticker", "left")
+    gap = (F.col("portfolio_id") % 3 == 0) & (F.col("ticker") == "BRAND-7")
+    return rows.select("portfolio_id", "ticker", "sector", F.when(~gap, F.col("units")).alias("weight"))
+
+
+MODEL = "2001-06-30T00:00:00"
+
+
+def predictions(rows: DataFrame) -> DataFrame:
+    """One prediction per scored row, made up to two days before the window start."""
+    version = S.model_version(F.lit(MODEL), F.lit("v1"))
+    early = (F.col("period") % 3).cast("int")
+    return rows.select(
+        F.concat_ws(":", F.col("period").cast("string"), "ticker").alias("pred_id"), version.alias("model_version"),
+        F.col("period").alias("period_key"), F.date_sub("start_dt", early).alias("predicted_at"), "ticker",
+        F.col("model_score").alias("prediction"), F.lit(63).alias("horizon_days"))
+
+
+DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def drift_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(quarter, feature, value) of four line columns; two quarters are shifted (fixture)."""
+    li = table(spark, sf, "lineitem").select("l_shipdate", *DRIFT_FEATURES)
+    q = F.concat_ws("-Q", F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string"))
+    li = li.withColumn("quarter", q)
+    factor = F.when(F.col("quarter") == "2000-Q2", 1.25).when(F.col("quarter") == "2001-Q1", 2.0).otherwise(1.0)
+    li = li.withColumn("l_quantity", F.col("l_quantity") * factor)
+    return O.melt(li.select("quarter", *DRIFT_FEATURES), ["quarter"], DRIFT_FEATURES)
+
+
+def signal_events(spark: SparkSession, sf: str) -> DataFrame:
+    """(user_id, event_id, ts, payload): each event as a one-ticker analysis payload."""
+    v = F.col("value")
+    k = F.get_json_object("props", "$.k")
+    signal = F.when(v > 80, "STRONG BUY").when(v > 50, "BUY").when(v > 20, "HOLD").otherwise("SELL")
+    entry = F.struct(signal.alias("signal"), F.least(v, F.lit(100.0)).alias("score"))
+    body = F.struct(F.create_map(F.concat(F.lit("T"), k), entry).alias("signals"))
+    return table(spark, sf, "events").select("user_id", "event_id", "ts", F.to_json(body).alias("payload"))

@@ -7,6 +7,7 @@ def session() -> SparkSession:
         SparkSession.builder.master("local[8]").appName("tapeworks-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
