@@ -273,11 +273,15 @@ def drift_rows(spark: SparkSession, sf: str) -> DataFrame:
     return O.melt(li.select("quarter", *DRIFT_FEATURES), ["quarter"], DRIFT_FEATURES)
 
 
-def signal_events(spark: SparkSession, sf: str) -> DataFrame:
+def as_payload(events: DataFrame) -> DataFrame:
     """(user_id, event_id, ts, payload): each event as a one-ticker analysis payload."""
     v = F.col("value")
     k = F.get_json_object("props", "$.k")
     signal = F.when(v > 80, "STRONG BUY").when(v > 50, "BUY").when(v > 20, "HOLD").otherwise("SELL")
     entry = F.struct(signal.alias("signal"), F.least(v, F.lit(100.0)).alias("score"))
     body = F.struct(F.create_map(F.concat(F.lit("T"), k), entry).alias("signals"))
-    return table(spark, sf, "events").select("user_id", "event_id", "ts", F.to_json(body).alias("payload"))
+    return events.select("user_id", "event_id", "ts", F.to_json(body).alias("payload"))
+
+
+def signal_events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_payload(table(spark, sf, "events"))

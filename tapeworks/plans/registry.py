@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.plans import market, panel_oracle, panel_queries, signal_oracle, signal_queries
+from tapeworks.plans import market, model_queries, panel_oracle, panel_queries, signal_oracle, signal_queries
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(sorted({**panel_queries.QUERIES, **signal_queries.QUERIES}.items()))
+    return dict(sorted({**panel_queries.QUERIES, **signal_queries.QUERIES, **model_queries.QUERIES}.items()))
 
 
 def oracle_sql() -> dict:
-    return {**panel_oracle.SQL, **signal_oracle.SQL}
+    return {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL}
