@@ -29,3 +29,24 @@ def durable(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def local_session(cores: str = "8", memory: str = "8g", name: str = "tapeworks") -> SparkSession:
+    """A local session for tests and benchmarks.
+
+    Feature plans hold a dozen window operators, each with generated classes; the
+    default cache of 100 classes would compile them anew on every run. A cluster
+    session should raise the same setting.
+    """
+    spark = (
+        SparkSession.builder.master(f"local[{cores}]").appName(name)
+        .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", memory)
+        .config("spark.ui.enabled", "false")
+        .getOrCreate()
+    )
+    spark.sparkContext.setLogLevel("ERROR")
+    return spark

@@ -1,19 +1,10 @@
 import pytest
-from pyspark.sql import SparkSession
 
+from tapeworks.session import local_session
 
-def session() -> SparkSession:
-    spark = (
-        SparkSession.builder.master("local[8]").appName("tapeworks-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false")
-        .config("spark.sql.codegen.cache.maxEntries", "2000")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
+
+def session():
+    return local_session("8", name="tapeworks-tests")
 
 
 @pytest.fixture(scope="session")
