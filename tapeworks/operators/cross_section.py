@@ -38,8 +38,7 @@ def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: d
 def winsorise(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool, low=0.01, high=0.99) -> DataFrame:
     bounds = column_percentiles(df, keys, cols, {"lo_": low, "hi_": high}, spread=spread)
     out = join_small(df, bounds, keys)
-    for c in cols:
-        out = out.withColumn(c, clip(c, F.col(f"{c}_lo_"), F.col(f"{c}_hi_")))
+    out = out.withColumns({c: clip(c, F.col(f"{c}_lo_"), F.col(f"{c}_hi_")) for c in cols})
     return out.drop(*[f"{c}_{s}" for c in cols for s in ("lo_", "hi_")])
 
 
@@ -62,8 +61,7 @@ def pct_ranks(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *
 def median_fill(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool, empty: float = 0.5) -> DataFrame:
     med = column_percentiles(df, keys, cols, {"med_": 0.5}, spread=spread)
     out = join_small(df, med, keys)
-    for c in cols:
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col(f"{c}_med_"), F.lit(empty)))
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_med_"), F.lit(empty)) for c in cols})
     return out.drop(*[f"{c}_med_" for c in cols])
 
 
@@ -93,9 +91,11 @@ def reference_ranks(live: DataFrame, panel: DataFrame, ids: list[str], cols: lis
     wide = ranks.groupBy(*ids).agg(*[
         F.max(F.when(F.col("feature") == c, F.coalesce("share_", F.lit(0.5)))).alias(f"{c}_ref_") for c in cols])
     out = join_small(live.join(wide, ids, "left"), sizes, [])
+    ranks = {}
     for c in cols:
         old = F.col(f"{c}_rank") if f"{c}_rank" in live.columns else F.lit(None).cast("double")
-        out = out.withColumn(f"{c}_rank", F.when(F.col(f"{c}_n_") >= min_values, F.col(f"{c}_ref_")).otherwise(old))
+        ranks[f"{c}_rank"] = F.when(F.col(f"{c}_n_") >= min_values, F.col(f"{c}_ref_")).otherwise(old)
+    out = out.withColumns(ranks)
     return out.drop(*[f"{c}_{s}" for c in cols for s in ("n_", "ref_")])
 
 
@@ -124,10 +124,12 @@ def min_max(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """Add ``<col>_mm`` scaled to [0, 1] in the group; a constant column gives 0.5."""
     stats = df.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in cols for n, f in (("mn_", F.min), ("mx_", F.max))])
     out = join_small(df, stats, keys)
+    scaled = {}
     for c in cols:
         width = F.nullif(F.col(f"{c}_mx_") - F.col(f"{c}_mn_"), F.lit(0))
-        out = out.withColumn(f"{c}_mm", F.when(
-            F.col(c).isNotNull(), F.coalesce((F.col(c) - F.col(f"{c}_mn_")) / width, F.lit(0.5))))
+        part = F.coalesce((F.col(c) - F.col(f"{c}_mn_")) / width, F.lit(0.5))
+        scaled[f"{c}_mm"] = F.when(F.col(c).isNotNull(), part)
+    out = out.withColumns(scaled)
     return out.drop(*[f"{c}_{n}" for c in cols for n in ("mn_", "mx_")])
 
 

@@ -18,6 +18,7 @@ from tapeworks.operators import asof as J
 from tapeworks.operators import books as B
 from tapeworks.operators import ordering as O
 from tapeworks.operators.cross_section import join_small
+from tapeworks.session import durable
 
 QUANTILES = {"p5": 0.05, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p95": 0.95}
 INF = float("inf")
@@ -38,10 +39,13 @@ def distribution_stats(long: DataFrame, keys: list[str], *, spread: bool = True,
     rows = long.select(*keys, finite_or_null().alias("value"))
     base = rows.groupBy(*keys).agg(
         F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"),
-        (1 - F.count("value") / F.count(F.lit(1))).alias("missing_rate"), F.count(F.lit(1)).alias("n"))
+        (1 - F.count("value") / F.count(F.lit(1))).alias("missing_rate"), F.count(F.lit(1)).alias("n"),
+        F.approx_count_distinct("value").alias("d_"))
+    base = durable(base)                        # one row per group, used twice
     probs = {**QUANTILES, **(extra_probs or {})}
-    pct = O.percentiles(rows, keys, "value", probs, spread=spread, max_groups=max_groups)
-    out = join_small(base, pct, keys)
+    sizes = base.select(*keys, "d_").filter("d_ > 0") if keys else None
+    pct = O.percentiles(rows, keys, "value", probs, spread=spread, max_groups=max_groups, sizes=sizes)
+    out = join_small(base.drop("d_"), pct, keys)
     return out.withColumns({q: F.coalesce(q, F.lit(0.0)) for q in QUANTILES})
 
 

@@ -2,25 +2,33 @@
 
 A plain ``Window.partitionBy(key).orderBy(v)`` sorts a whole key in one task.
 That is right while a key is known to be small, and wrong for a cross-section
-of a hundred million names, a pooled statistic or a melted feature column.
-``running_weight`` gives the same numbers with the work spread out:
-
-1. pre-aggregate to one row per distinct (key, value), so ties cannot be hot;
-2. take up to 255 marks per key: the values with the smallest hashes. That is
-   a uniform sample of the distinct values, and it is a function of the data
-   alone, so a recomputed task cuts the buckets at the same places;
-3. bucket each value between the marks and run the window per (key, bucket);
-4. add the weight of the earlier buckets (at most 256 rows per key).
-
-Every row takes part; the sample only decides where the sort is cut.
+of a hundred million names, a pooled statistic or a melted feature column. Here
+each key is cut into a few hundred value ranges ("buckets") first:
+
+* the cuts ("marks") are the distinct values whose hash falls below a threshold
+  that lets about 512 of them through. That is a uniform sample of the distinct
+  values and a function of the data alone, so a recomputed task cuts at the same
+  places;
+* per-bucket weights are map-side combined and summed along the buckets of a key
+  (hundreds of rows), which says how much lies before each bucket;
+* ``running_weight`` then orders inside (key, bucket); ``percentiles`` orders
+  only the few buckets that hold a wanted rank, and never moves the other rows.
+
+Ties are combined to one row per distinct value, so a value that fills a third
+of the table is one row. Every row takes part; the sample only places the cuts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKS = 255
+from tapeworks.session import durable
+
+SAMPLE = 512
+HASH_RANGE = 1 << 30
 BROADCAST_LIMIT_BYTES = 64 << 20
 GROUP_ROWS_IN_ONE_TASK = 2_000_000
 
@@ -36,15 +44,41 @@ def needs_spread(df: DataFrame, keys: list[str], limit: int = GROUP_ROWS_IN_ONE_
     return largest_group(df, keys) > limit
 
 
-def _bucket_of(value: Column, marks: Column) -> Column:
-    """Number of marks <= value, by binary search over the sorted marks."""
-    steps = F.array(*[F.lit(s) for s in (128, 64, 32, 16, 8, 4, 2, 1)])
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda found, step: F.when(F.try_element_at(marks, found + step) <= value, found + step)
-        .otherwise(found),
-    )
+def _few(df: DataFrame, max_groups: int | None, per_group: int = SAMPLE) -> DataFrame:
+    """Broadcast a per-key table when the caller's bound on the keys makes it small."""
+    if max_groups is not None and max_groups * per_group * 32 <= BROADCAST_LIMIT_BYTES:
+        return F.broadcast(df)
+    return df
+
+
+def _marks(values: DataFrame, keys: list[str], value: str, sizes: DataFrame, max_groups: int | None) -> DataFrame:
+    """(keys, marks_): sorted cut values. ``sizes``: (keys, d_) distinct values per key."""
+    share = F.lit(float(SAMPLE * HASH_RANGE)) / F.col("d_")
+    picked = values.join(_few(sizes, max_groups, 1), keys).filter(F.pmod(F.xxhash64(value), F.lit(HASH_RANGE)) < share)
+    return picked.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("marks_"))
+
+
+def _bucketed(df: DataFrame, keys: list[str], value: str, marks: DataFrame, max_groups: int | None) -> DataFrame:
+    """Add ``bucket_``: the number of marks <= value.
+
+    Binary search over up to 2,047 marks, one projection per step, so it runs as
+    generated code (a higher-order function would be interpreted for every row).
+    """
+    out = df.join(_few(marks, max_groups), keys, "left").withColumn("bucket_", F.lit(0))
+    for step in [1 << i for i in range(10, -1, -1)]:
+        there = F.try_element_at("marks_", F.col("bucket_") + step) <= F.col(value)
+        out = out.withColumn("bucket_", F.col("bucket_") + F.when(there, step).otherwise(0))
+    return out.drop("marks_")
+
+
+def _bases(cut: DataFrame, keys: list[str], weights: list[str]) -> DataFrame:
+    """(keys, bucket_, <w>_base, <w>_total): weight of the earlier buckets and of the key."""
+    per_key = Window.partitionBy(*keys)
+    earlier = per_key.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.groupBy(*keys, "bucket_").agg(*[F.sum(w).alias(w) for w in weights]).select(
+        *keys, "bucket_", *[F.col(w).alias(f"{w}_here") for w in weights],
+        *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_base") for w in weights],
+        *[F.sum(w).over(per_key).alias(f"{w}_total") for w in weights])
 
 
 def running_weight(
@@ -60,12 +94,16 @@ def running_weight(
 
     Output columns per weight ``w``: ``w``, ``w_before``, ``w_total``.
     ``order`` must not be null. ``spread=False`` is for keys known to be small.
-    ``max_groups`` is a bound on the number of keys; it allows the marks to be
-    broadcast when 255 marks for that many keys fit the limit.
+    ``max_groups`` is a bound on the number of keys; it allows the per-key tables
+    to be broadcast when they fit the limit for that many keys.
     """
     local_keys = keys or ["one_group"]
     src = df if keys else df.withColumn("one_group", F.lit(1))
+    groups = max_groups if keys else 1
     distinct = src.groupBy(*local_keys, order).agg(*[F.sum(w).alias(w) for w in weights])
+    # Keeps the weights alive in every branch below, so that all of them read the
+    # same exchange instead of each computing a narrower one.
+    distinct = distinct.filter(F.col(weights[0]).isNotNull())
     if not spread:
         whole = Window.partitionBy(*local_keys)
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -76,21 +114,9 @@ def running_weight(
         )
         return out if keys else out.drop("one_group")
 
-    by_hash = Window.partitionBy(*local_keys).orderBy("hash_", order)
-    marks = (
-        distinct.select(*local_keys, order, F.xxhash64(order).alias("hash_"))
-        .withColumn("pick_", F.row_number().over(by_hash))
-        .filter(F.col("pick_") <= MARKS)
-        .groupBy(*local_keys)
-        .agg(F.sort_array(F.collect_list(order)).alias("marks_"))
-    )
-    groups = max_groups if keys else 1
-    if groups is not None and groups * MARKS * 32 <= BROADCAST_LIMIT_BYTES:
-        marks = F.broadcast(marks)
-    cut = distinct.join(marks, local_keys).withColumn(
-        "bucket_", _bucket_of(F.col(order), F.col("marks_"))
-    ).drop("marks_")
-
+    sizes = distinct.groupBy(*local_keys).agg(F.count(F.lit(1)).alias("d_"))
+    marks = _marks(distinct.select(*local_keys, order), local_keys, order, sizes, groups)
+    cut = _bucketed(distinct, local_keys, order, marks, groups)
     inside = (
         Window.partitionBy(*local_keys, "bucket_").orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -99,19 +125,7 @@ def running_weight(
         *local_keys, "bucket_", order, *weights,
         *[F.sum(w).over(inside).alias(f"{w}_run") for w in weights],
     )
-    per_key = Window.partitionBy(*local_keys)
-    earlier = per_key.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        cut.groupBy(*local_keys, "bucket_").agg(*[F.sum(w).alias(w) for w in weights])
-        .select(
-            *local_keys, "bucket_",
-            *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"{w}_base") for w in weights],
-            *[F.sum(w).over(per_key).alias(f"{w}_total") for w in weights],
-        )
-    )
-    if groups is not None and groups * MARKS * 32 <= BROADCAST_LIMIT_BYTES:
-        bases = F.broadcast(bases)
-    out = runs.join(bases, [*local_keys, "bucket_"]).select(
+    out = runs.join(_few(_bases(cut, local_keys, weights), groups), [*local_keys, "bucket_"]).select(
         *local_keys, order, *weights,
         *[(F.col(f"{w}_base") + F.col(f"{w}_run") - F.col(w)).alias(f"{w}_before") for w in weights],
         *[f"{w}_total" for w in weights],
@@ -144,18 +158,44 @@ def percentiles(
     *,
     spread: bool = True,
     max_groups: int | None = None,
-    extra: list[Column] = (),
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Exact percentiles per key, linear between neighbours, nulls left out.
+    """(keys, <name>...): exact percentiles, linear between neighbours, nulls left out.
 
-    The final aggregation combines on the map side, so one key never gathers.
-    ``extra`` are further aggregates over the distinct values, which may use
-    the column ``n_`` (how often the value occurs).
+    ``df`` is read four times (sizes, marks, bucket counts, wanted buckets), so
+    pass a scan or a durable result; its rows are not shuffled. ``sizes`` may
+    bring (keys, d_), the approximate number of distinct values, if known.
     """
-    counted = df.filter(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("n_"))
-    ordered = running_weight(counted, keys, value, ["n_"], spread=spread, max_groups=max_groups)
     aggs = [interpolated(p, name, value) for name, p in probs.items()]
-    return ordered.groupBy(*keys).agg(*aggs, *extra)
+    local_keys = keys or ["one_group"]
+    src = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    src = src if keys else src.withColumn("one_group", F.lit(1))
+    groups = max_groups if keys else 1
+    if not spread:
+        ordered = running_weight(src.withColumn("n_", F.lit(1)), local_keys, value, ["n_"], spread=False)
+        out = ordered.groupBy(*local_keys).agg(*aggs)
+        return out if keys else out.drop("one_group")
+
+    if sizes is None:
+        sizes = src.groupBy(*local_keys).agg(F.approx_count_distinct(value).alias("d_"))
+    marks = durable(_marks(src, local_keys, value, sizes, groups))
+    cut = _bucketed(src.withColumn("n_", F.lit(1)), local_keys, value, marks, groups)
+    bases = _bases(cut, local_keys, ["n_"])
+    ranks = [r for p in probs.values()
+             for r in (F.floor(F.lit(p) * (F.col("n__total") - 1)), F.ceil(F.lit(p) * (F.col("n__total") - 1)))]
+    holds = [(F.col("n__base") <= r) & (r < F.col("n__base") + F.col("n__here")) for r in ranks]
+    wanted = bases.filter(reduce(lambda a, b: a | b, holds)).drop("n__here")
+    inside = (
+        Window.partitionBy(*local_keys, "bucket_").orderBy(value)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    found = (
+        cut.join(_few(wanted, groups, 2 * len(probs)), [*local_keys, "bucket_"])
+        .groupBy(*local_keys, "bucket_", "n__base", "n__total", value).agg(F.sum("n_").alias("n_"))
+        .withColumn("n__before", F.col("n__base") + F.sum("n_").over(inside) - F.col("n_"))
+    )
+    out = found.groupBy(*local_keys).agg(*aggs)
+    return out if keys else out.drop("one_group")
 
 
 def melt(df: DataFrame, ids: list[str], cols: list[str], name="feature", value="value") -> DataFrame:

@@ -212,12 +212,12 @@ def base_window_channels(rows: DataFrame, std_win: int = 20) -> DataFrame:
 def standardized_windows(channels: DataFrame, cols: list[str]) -> DataFrame:
     """Z-score per window and channel (population deviation, below 1e-8 counts as one)."""
     per = Window.partitionBy("ticker", "end_bar")
-    out = channels
+    scaled = {}
     for c in cols:
         sd = F.stddev_pop(c).over(per)
         z = (F.col(c) - F.avg(c).over(per)) / F.when(sd < 1e-8, 1.0).otherwise(sd)
-        out = out.withColumn(f"{c}_z", F.coalesce(z, F.lit(0.0)))
-    return out
+        scaled[f"{c}_z"] = F.coalesce(z, F.lit(0.0))
+    return channels.withColumns(scaled)
 
 
 def window_embedding(channels: DataFrame) -> DataFrame:

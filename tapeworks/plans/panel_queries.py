@@ -222,9 +222,9 @@ def q43_window_zscore(spark, sf):
 
 def q45_thresholds(spark, sf):
     rows, _ = M.scored(spark, sf)
-    out = O.percentiles(rows, [], "model_score", K.THRESHOLD_PERCENTILES,
-                        extra=[F.sum("n_").alias("n_scores")])
-    return six(out.filter("n_scores >= 10"))
+    out = O.percentiles(rows, [], "model_score", K.THRESHOLD_PERCENTILES)
+    n = rows.agg(F.count("model_score").alias("n_scores"))
+    return six(X.join_small(out, n, []).filter("n_scores >= 10"))
 
 
 def q59_stitch_chunks(spark, sf):
