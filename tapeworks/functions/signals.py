@@ -152,10 +152,10 @@ def is_buy(signal: Column) -> Column:
     return signal.isin("STRONG BUY", "BUY")
 
 
-def reasons(signal: Column, n: int = 4) -> Column:
+def reasons(signal: Column, bull: Column, bear: Column, n: int = 4) -> Column:
     """One side by signal: for a buy the bull points, else the bear points."""
-    return F.slice(F.when(is_buy(signal), bull_points()).otherwise(bear_points()), 1, n)
+    return F.slice(F.when(is_buy(signal), bull).otherwise(bear), 1, n)
 
 
-def thesis(n: int = 3) -> Column:
-    return F.struct(F.slice(bull_points(), 1, n).alias("bull"), F.slice(bear_points(), 1, n).alias("bear"))
+def thesis(bull: Column, bear: Column, n: int = 3) -> Column:
+    return F.struct(F.slice(bull, 1, n).alias("bull"), F.slice(bear, 1, n).alias("bear"))

@@ -112,10 +112,14 @@ def standardized_embeddings(emb: DataFrame, keys: list[str], ids: list[str], vec
 
 
 def median_labels(df: DataFrame, keys: list[str], *, spread: bool, inclusive: bool, value: str = "fwd_ret") -> DataFrame:
-    """Add ``median_ret``, ``bench_ret`` (mean) and ``label`` (beats the median)."""
-    med = column_percentiles(df, keys, [value], {"med_": 0.5}, spread=spread)
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("bench_ret"))
-    out = df.join(med, keys).join(mean, keys).withColumnRenamed(f"{value}_med_", "median_ret")
+    """Add ``median_ret``, ``bench_ret`` (mean), ``names_`` (rows) and ``label`` (beats the median)."""
+    mean = [F.avg(value).alias("bench_ret"), F.count(F.lit(1)).alias("names_")]
+    if spread:
+        med = column_percentiles(df, keys, [value], {"med_": 0.5}, spread=True)
+        stats = med.join(df.groupBy(*keys).agg(*mean), keys)
+    else:
+        stats = df.groupBy(*keys).agg(F.percentile(F.col(value), 0.5).alias(f"{value}_med_"), *mean)
+    out = df.join(stats, keys).withColumnRenamed(f"{value}_med_", "median_ret")
     beats = F.col(value) >= F.col("median_ret") if inclusive else F.col(value) > F.col("median_ret")
     return out.withColumn("label", beats.cast("int"))
 

@@ -63,57 +63,50 @@ def period_panel(
 
 def ranked_panel(panel: DataFrame, *, spread: bool, min_names: int = 2) -> DataFrame:
     """Ranks per period (0.5 where a column has none), median label, benchmark."""
-    names = F.count(F.lit(1)).over(Window.partitionBy("period"))
-    if spread:
-        sizes = panel.groupBy("period").agg(F.count(F.lit(1)).alias("names_"))
-        panel = panel.join(sizes, "period")
-    else:
-        panel = panel.withColumn("names_", names)
-    panel = panel.filter(F.col("names_") >= min_names).drop("names_")
     out = X.pct_ranks(panel, ["period"], ["ticker"], K.PRICE_FEATURES, spread=spread)
     out = out.fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES])
-    return X.median_labels(out, ["period"], spread=spread, inclusive=True)
+    out = X.median_labels(out, ["period"], spread=spread, inclusive=True)
+    return out.filter(F.col("names_") >= min_names).drop("names_")
 
 
-def horizon_labels(bars: DataFrame, horizon: int, *, spread: bool = False, min_names: int = 3) -> DataFrame:
-    """Non-overlapping windows of one horizon: ranks at the start, strict label.
+def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool = False, min_names: int = 3) -> DataFrame:
+    """Non-overlapping windows of each horizon: ranks at the start, strict label.
 
-    Columns: horizon, t_start, ticker, seven ranks, fwd_ret, label.
+    Columns: horizon, t_start, ticker, seven ranks, fwd_ret, label. A horizon uses
+    tickers with at least two horizons of bars and stops with the shortest of them.
+    Features are computed once; each bar is then copied to the horizons it starts.
     """
-    usable = enough_history(bars, 2 * horizon)
-    shortest = shortest_series(bars, 2 * horizon)
-    windows = (shortest - horizon) // horizon
-    rows = (
-        TS.price_features(usable, "label")
-        .withColumn("fwd_ret", TS.forward_return(horizon))
-        .filter((F.col("bar") % horizon == 0) & (F.col("bar") >= 4) & (F.col("bar") < windows * horizon))
-        .select(F.lit(horizon).alias("horizon"), F.col("bar").alias("t_start"), "ticker",
-                *K.PRICE_FEATURES, "fwd_ret")
-    )
+    horizons = list(horizons or K.LABEL_HORIZONS)
+    lengths = bars.groupBy("ticker").agg((F.max("bar") + 1).alias("n"))
+    shortest = lengths.agg(*[F.min(F.when(F.col("n") >= 2 * h, F.col("n"))).alias(str(h)) for h in horizons]).first()
+    length = F.max("bar").over(TS.by_ticker()) + 1
+    feats = TS.price_features(bars, "label").withColumns(
+        {"n_": length, **{f"fwd_{h}": TS.forward_return(h) for h in horizons}})
+    starts = []
+    for h in horizons:
+        windows = ((shortest[str(h)] or 0) - h) // h
+        ok = (F.col("n_") >= 2 * h) & (F.col("bar") % h == 0) & (F.col("bar") >= 4) & (F.col("bar") < windows * h)
+        starts.append(F.when(ok, F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_{h}").alias("fwd_ret"))))
+    rows = feats.withColumn("s_", F.explode(F.array_compact(F.array(*starts)))).select(
+        "s_.horizon", F.col("bar").alias("t_start"), "ticker", *K.PRICE_FEATURES, "s_.fwd_ret")
     keys = ["horizon", "t_start"]
     out = X.pct_ranks(rows, keys, ["ticker"], K.PRICE_FEATURES, spread=spread)
     out = out.fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES]).filter("fwd_ret IS NOT NULL")
-    enough = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") >= min_names)
     out = X.median_labels(out, keys, spread=spread, inclusive=False)
-    return out.join(enough, keys, "left_semi").select(
+    return out.filter(F.col("names_") >= min_names).select(
         *keys, "ticker", *[f"{c}_rank" for c in K.PRICE_FEATURES], "fwd_ret", "label")
 
 
-def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool = False) -> DataFrame:
-    out = None
-    for h in horizons or K.LABEL_HORIZONS:
-        part = horizon_labels(bars, h, spread=spread)
-        out = part if out is None else out.unionByName(part)
-    return out
+def horizon_labels(bars: DataFrame, horizon: int, *, spread: bool = False) -> DataFrame:
+    return multi_horizon_labels(bars, [horizon], spread=spread)
 
 
 def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool, min_names: int = 3,
                     trailing: str = "trailing_ret") -> DataFrame:
     """Today's ranks labelled with the trailing 252-bar return (strictly above median)."""
     rows = latest.filter(F.col(trailing).isNotNull()).withColumn("fwd_ret", F.col(trailing))
-    big = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") >= min_names)
-    out = X.median_labels(rows.join(big, keys, "left_semi"), keys, spread=spread, inclusive=False)
-    return out.fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES]).withColumn("is_snapshot", F.lit(True))
+    out = X.median_labels(rows, keys, spread=spread, inclusive=False).filter(F.col("names_") >= min_names)
+    return out.drop("names_").fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES]).withColumn("is_snapshot", F.lit(True))
 
 
 def momentum_label(df: DataFrame):

@@ -159,27 +159,30 @@ def percentiles(
     spread: bool = True,
     max_groups: int | None = None,
     sizes: DataFrame | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """(keys, <name>...): exact percentiles, linear between neighbours, nulls left out.
 
     ``df`` is read four times (sizes, marks, bucket counts, wanted buckets), so
     pass a scan or a durable result; its rows are not shuffled. ``sizes`` may
     bring (keys, d_), the approximate number of distinct values, if known.
+    ``weight`` names a column that says how often each value occurs.
     """
     aggs = [interpolated(p, name, value) for name, p in probs.items()]
     local_keys = keys or ["one_group"]
-    src = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    n = F.col(weight) if weight else F.lit(1)
+    src = df.filter(F.col(value).isNotNull()).select(*keys, value, n.alias("n_"))
     src = src if keys else src.withColumn("one_group", F.lit(1))
     groups = max_groups if keys else 1
     if not spread:
-        ordered = running_weight(src.withColumn("n_", F.lit(1)), local_keys, value, ["n_"], spread=False)
+        ordered = running_weight(src, local_keys, value, ["n_"], spread=False)
         out = ordered.groupBy(*local_keys).agg(*aggs)
         return out if keys else out.drop("one_group")
 
     if sizes is None:
         sizes = src.groupBy(*local_keys).agg(F.approx_count_distinct(value).alias("d_"))
-    marks = durable(_marks(src, local_keys, value, sizes, groups))
-    cut = _bucketed(src.withColumn("n_", F.lit(1)), local_keys, value, marks, groups)
+    marks = durable(_marks(src.drop("n_"), local_keys, value, sizes, groups))
+    cut = _bucketed(src, local_keys, value, marks, groups)
     bases = _bases(cut, local_keys, ["n_"])
     ranks = [r for p in probs.values()
              for r in (F.floor(F.lit(p) * (F.col("n__total") - 1)), F.ceil(F.lit(p) * (F.col("n__total") - 1)))]

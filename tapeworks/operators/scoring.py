@@ -29,7 +29,7 @@ def score_universe(features: DataFrame, prob: str, risk: str = "medium", prior:
     for c in ("prior_signal", "prior_date"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    df = df.withColumn("composite", G.composite_score(prob, risk))
+    df = df.withColumns({"composite": G.composite_score(prob, risk), "bull_": G.bull_points(), "bear_": G.bear_points()})
     df = df.withColumn("held_", G.after_hysteresis(
         G.signal_of("composite", thresholds), "composite", "prior_signal", "prior_date", thresholds))
     signal = F.col("held_.signal")
@@ -47,8 +47,8 @@ def score_universe(features: DataFrame, prob: str, risk: str = "medium", prior:
         S.percent("inst_ownership").alias("inst_ownership_pct"),
         S.percent("insider_ownership").alias("insider_ownership_pct"),
         F.when(F.col("market").isin("UK", "IE"), K.BETA_NOTE).alias("beta_note"),
-        G.factor_profile().alias("factor_profile"), G.reasons(signal).alias("buy_reasons"),
-        G.thesis().alias("thesis"), "analyst_buy", "analyst_hold", "analyst_sell",
+        G.factor_profile().alias("factor_profile"), G.reasons(signal, F.col("bull_"), F.col("bear_")).alias("buy_reasons"),
+        G.thesis(F.col("bull_"), F.col("bear_")).alias("thesis"), "analyst_buy", "analyst_hold", "analyst_sell",
         F.struct(
             *[S.rounded(c).alias(c) for c in ("pe_ratio", "pb_ratio", "debt_equity", "beta", "rsi_14")],
             *[S.percent(c).alias(c) for c in ("roe", "net_margin", "revenue_growth", "dividend_yield",

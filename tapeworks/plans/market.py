@@ -57,16 +57,27 @@ def close_of(cents: Column, units: Column) -> Column:
     return F.floor((cents * 200 + n) / (n * 2)) / 10000.0
 
 
-def prices(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sales(spark, sf, "l_shipdate", "l_extendedprice", "l_quantity")
-    daily = rows.groupBy("ticker", F.to_date("l_shipdate").alias("dt")).agg(
-        F.sum(hundredths("l_extendedprice")).alias("cents"), F.sum("l_quantity").alias("volume"))
-    return P.clean_prices(daily.select(
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole-number totals per (ticker, dt): the one pass over lineitem all views share.
+
+    Sums a query does not use are pruned from the aggregation and the scan.
+    """
+    rows = sales(spark, sf, "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
+    flag = lambda f: F.sum((F.col("l_returnflag") == f).cast("bigint"))
+    return rows.groupBy("ticker", F.to_date("l_shipdate").alias("dt")).agg(
+        F.count(F.lit(1)).alias("c"), F.sum("l_quantity").alias("volume"),
+        F.sum(hundredths("l_extendedprice")).alias("cents"), F.sum(hundredths("l_tax")).alias("t"),
+        F.sum(hundredths("l_discount")).alias("d"), flag("A").alias("ra"), flag("N").alias("rn"), flag("R").alias("rr"))
+
+
+def prices(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    days = daily(spark, sf) if days is None else days
+    return P.clean_prices(days.select(
         "ticker", "dt", close_of(F.col("cents"), F.col("volume")).alias("close"), "volume"))
 
 
-def bars(spark: SparkSession, sf: str) -> DataFrame:
-    return TS.with_bars(prices(spark, sf))
+def bars(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    return TS.with_bars(prices(spark, sf, days))
 
 
 def industries(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,14 +89,12 @@ def industries(spark: SparkSession, sf: str) -> DataFrame:
         "sector", S.sector_of("industry"))
 
 
-def totals(spark: SparkSession, sf: str) -> DataFrame:
+def totals(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     """Whole-number totals per ticker, the seed of the stand-in fundamentals."""
-    rows = sales(spark, sf, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    flag = lambda f: F.sum((F.col("l_returnflag") == f).cast("bigint"))
-    return rows.groupBy("ticker").agg(
-        F.count(F.lit(1)).alias("c"), F.sum(F.col("l_quantity").cast("bigint")).alias("q"),
-        F.sum(hundredths("l_extendedprice")).alias("v"), F.sum(hundredths("l_tax")).alias("t"),
-        F.sum(hundredths("l_discount")).alias("d"), flag("A").alias("ra"), flag("N").alias("rn"), flag("R").alias("rr"))
+    days = daily(spark, sf) if days is None else days
+    return days.groupBy("ticker").agg(
+        F.sum("c").alias("c"), F.sum(F.col("volume").cast("bigint")).alias("q"), F.sum("cents").alias("v"),
+        *[F.sum(x).alias(x) for x in ("t", "d", "ra", "rn", "rr")])
 
 
 # Stand-in ratios spread over the ranges where the rules change (fixture values).
@@ -108,8 +117,8 @@ FUNDAMENTAL_TEXT = {
 RATING_COUNTS = {"analyst_buy": "ra % 20", "analyst_hold": "rn % 12", "analyst_sell": "rr % 15"}
 
 
-def raw_fundamentals(spark: SparkSession, sf: str) -> DataFrame:
-    t = totals(spark, sf)
+def raw_fundamentals(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    t = totals(spark, sf, days)
     return t.select(
         "ticker", *[F.expr(e).alias(k) for k, e in FUNDAMENTAL_TEXT.items()],
         *[F.expr(e).cast("int").alias(k) for k, e in RATING_COUNTS.items()],
@@ -137,25 +146,23 @@ def _mean_close() -> Column:
     return (units / (F.count(F.lit(1)) * 10000.0)).alias("close")
 
 
-def monthly(spark: SparkSession, sf: str) -> DataFrame:
-    rows = sales(spark, sf, "l_shipdate", "l_extendedprice", "l_returnflag")
-    flag = lambda f: F.sum((F.col("l_returnflag") == f).cast("bigint"))
-    return rows.groupBy("ticker", F.last_day(F.to_date("l_shipdate")).alias("period")).agg(
-        F.sum(hundredths("l_extendedprice")).alias("cents"),
-        flag("A").alias("buy"), flag("N").alias("hold"), flag("R").alias("sell"))
+def monthly(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    days = daily(spark, sf) if days is None else days
+    return days.groupBy("ticker", F.last_day("dt").alias("period")).agg(
+        F.sum("cents").alias("cents"), F.sum("ra").alias("buy"), F.sum("rn").alias("hold"), F.sum("rr").alias("sell"))
 
 
-def earnings(spark: SparkSession, sf: str) -> DataFrame:
+def earnings(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     """(ticker, period, announce_date, surprise_pct): monthly revenue change in percent."""
     from pyspark.sql import Window
     w = Window.partitionBy("ticker").orderBy("period")      # one row per month
-    rows = monthly(spark, sf).withColumn(
+    rows = monthly(spark, sf, days).withColumn(
         "surprise_pct", (F.col("cents") / F.lag("cents").over(w) - 1) * 100)
     return T.with_announcements(rows.select("ticker", "period", "surprise_pct"))
 
 
-def analyst(spark: SparkSession, sf: str) -> DataFrame:
-    return monthly(spark, sf).select("ticker", "period", "buy", "hold", "sell")
+def analyst(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
+    return monthly(spark, sf, days).select("ticker", "period", "buy", "hold", "sell")
 
 
 def mean_rank() -> Column:
@@ -190,17 +197,18 @@ def latest_raw(spark: SparkSession, sf: str) -> DataFrame:
 
     ``high_any`` keeps the 52-week high of short series for the reference panel.
     """
-    last = TS.last_bar(TS.price_features(bars(spark, sf), "panel"))
+    days = durable(daily(spark, sf))
+    last = TS.last_bar(TS.price_features(bars(spark, sf, days), "panel"))
     last = last.select(
         "ticker", "dt", "bar", F.col("close").alias("last_price"),
         *[c for c in K.PRICE_FEATURES if c != "price_vs_52w_high"],
         F.col("price_vs_52w_high").alias("high_any"),
         F.when(F.col("bar") + 1 >= TS.HIGH_BARS, F.col("price_vs_52w_high")).alias("price_vs_52w_high"),
         F.col("mom_12m").alias("trailing_ret"))
-    raw = raw_fundamentals(spark, sf)
+    raw = raw_fundamentals(spark, sf, days)
     info = T.clean_fundamentals(raw).join(
         raw.select("ticker", "inst_ownership", "insider_ownership", "prior_score"), "ticker")
-    surprise = T.surprise_average(earnings(spark, sf))
+    surprise = T.surprise_average(earnings(spark, sf, days))
     out = last.join(info, "ticker", "left").join(surprise, "ticker", "left").join(
         industries(spark, sf), "ticker", "left")
     return out.withColumns({
@@ -264,12 +272,16 @@ DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def drift_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(quarter, feature, value) of four line columns; two quarters are shifted (fixture)."""
+    """(quarter, feature, value) of four line columns; two quarters are shifted (fixture).
+
+    Money and rates are in whole hundredths, so their sums are exact in any order.
+    """
     li = table(spark, sf, "lineitem").select("l_shipdate", *DRIFT_FEATURES)
     q = F.concat_ws("-Q", F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string"))
     li = li.withColumn("quarter", q)
     factor = F.when(F.col("quarter") == "2000-Q2", 1.25).when(F.col("quarter") == "2001-Q1", 2.0).otherwise(1.0)
-    li = li.withColumn("l_quantity", F.col("l_quantity") * factor)
+    whole = {c: F.round(F.col(c) * 100) for c in DRIFT_FEATURES if c != "l_quantity"}
+    li = li.withColumns({"l_quantity": F.col("l_quantity") * factor, **whole})
     return O.melt(li.select("quarter", *DRIFT_FEATURES), ["quarter"], DRIFT_FEATURES)
 
 

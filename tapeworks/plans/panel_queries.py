@@ -21,12 +21,15 @@ from tapeworks.sources import tables as T
 RANKS = [f"{c}_rank" for c in K.PRICE_FEATURES]
 
 
-def six(df: DataFrame) -> DataFrame:
-    """Doubles to six digits, integers to bigint: the form the oracle compares."""
+def six(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles to six digits, integers to bigint: the form the oracle compares.
+
+    Statistics of large numbers compare fewer digits: theirs end earlier.
+    """
     out = []
     for name, kind in df.dtypes:
         if kind in ("double", "float"):
-            out.append((F.round(F.col(name).cast("double"), 6) + 0.0).alias(name))
+            out.append((F.round(F.col(name).cast("double"), digits) + 0.0).alias(name))
         elif kind in ("int", "smallint", "tinyint"):
             out.append(F.col(name).cast("bigint").alias(name))
         else:
@@ -102,12 +105,14 @@ def analyst_net(probe: DataFrame, ratings: DataFrame) -> DataFrame:
 
 
 def q08_earnings_pulse(spark, sf):
-    out = earnings_pulse(M.prices(spark, sf).select("ticker", "dt"), M.earnings(spark, sf))
+    days = durable(M.daily(spark, sf))
+    out = earnings_pulse(days.select("ticker", "dt"), M.earnings(spark, sf, days))
     return six(out.select("ticker", "dt", "announce_date", "earn_surprise_pulse"))
 
 
 def q09_analyst_net(spark, sf):
-    out = analyst_net(M.prices(spark, sf).select("ticker", "dt"), M.analyst(spark, sf))
+    days = durable(M.daily(spark, sf))
+    out = analyst_net(days.select("ticker", "dt"), M.analyst(spark, sf, days))
     return six(out.select("ticker", "dt", "analyst_net_buy_ts"))
 
 

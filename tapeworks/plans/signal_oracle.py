@@ -123,13 +123,13 @@ GAP_HEAD, GAP_TAIL = K.GAP_MESSAGE.split("{sector}")
 
 DRIFT = """li AS (SELECT *, year(l_shipdate) || '-Q' || quarter(l_shipdate) AS quarter FROM lineitem),
 dr AS (SELECT quarter, 'l_quantity' AS feature, l_quantity * CASE quarter WHEN '2000-Q2' THEN 1.25 WHEN '2001-Q1' THEN 2.0 ELSE 1.0 END::DOUBLE AS value FROM li
-   UNION ALL SELECT quarter, 'l_extendedprice', l_extendedprice FROM li UNION ALL SELECT quarter, 'l_discount', l_discount FROM li
-   UNION ALL SELECT quarter, 'l_tax', l_tax FROM li)"""
+   UNION ALL SELECT quarter, 'l_extendedprice', round(l_extendedprice * 100) FROM li UNION ALL SELECT quarter, 'l_discount', round(l_discount * 100) FROM li
+   UNION ALL SELECT quarter, 'l_tax', round(l_tax * 100) FROM li)"""
 
 
 def stats_cols(v: str = "value") -> str:
-    qs = ", ".join(f"round(quantile_cont({v}, {q}), 6) AS {n}" for n, q in (("p5", .05), ("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95)))
-    return f"round(avg({v}), 6) AS mean, round(stddev_pop({v}), 6) AS std, {qs}"
+    qs = ", ".join(f"round(quantile_cont({v}, {q}), 4) AS {n}" for n, q in (("p5", .05), ("p25", .25), ("p50", .5), ("p75", .75), ("p95", .95)))
+    return f"round(avg({v}), 4) AS mean, round(stddev_pop({v}), 4) AS std, {qs}"
 
 
 def drift_ctes(base: str, live: str, by: str) -> str:
@@ -146,8 +146,8 @@ psi AS (SELECT c.{by}, c.feature, sum((greatest(coalesce(lc.p, 0), 1e-6) - great
      * ln(greatest(coalesce(lc.p, 0), 1e-6) / greatest(coalesce(bc.p, 0), 1e-6))) AS psi
    FROM cell c LEFT JOIN lc ON lc.{by} = c.{by} AND lc.feature = c.feature AND lc.bin = c.bin
    LEFT JOIN bc ON bc.feature = c.feature AND bc.bin = c.bin GROUP BY 1, 2),
-st AS (SELECT {by}, feature, {stats_cols()}, round(1 - count(value) / count(*), 6) AS missing_rate, min(value) AS lo_, max(value) AS hi_ FROM {live} GROUP BY 1, 2),
-drift AS (SELECT st.*, round(psi, 6) AS psi, psi AS psi_raw, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.10 THEN 'warning' ELSE 'stable' END AS status
+st AS (SELECT {by}, feature, {stats_cols()}, round(1 - count(value) / count(*), 4) AS missing_rate, min(value) AS lo_, max(value) AS hi_ FROM {live} GROUP BY 1, 2),
+drift AS (SELECT st.*, round(psi, 4) AS psi, psi AS psi_raw, CASE WHEN psi >= 0.25 THEN 'critical' WHEN psi >= 0.10 THEN 'warning' ELSE 'stable' END AS status
    FROM st JOIN psi USING ({by}, feature))"""
 
 
@@ -236,7 +236,7 @@ SQL = {
       o AS (SELECT *, row_number() OVER (ORDER BY capped DESC, composite_score DESC, ticker) AS place FROM k), z AS (SELECT * FROM o WHERE place <= 15)""",
       """SELECT place, ticker, sector, composite_score, round_even(100.0 / count(*) OVER (), 1)::DOUBLE AS weight,
         signal || ' · ' || sector || ' — among the model''s strongest current picks' AS rationale FROM z"""),
-    "q36_dist_stats": with_(DRIFT, f"SELECT feature, {stats_cols()}, round(1 - count(value) / count(*), 6) AS missing_rate, count(*) AS n FROM dr GROUP BY 1"),
+    "q36_dist_stats": with_(DRIFT, f"SELECT feature, {stats_cols()}, round(1 - count(value) / count(*), 4) AS missing_rate, count(*) AS n FROM dr GROUP BY 1"),
     "q37_feature_psi": with_(FEATURE_DRIFT, "SELECT * EXCLUDE (psi_raw, lo_, hi_) FROM drift"),
     "q38_mature_labels": with_(MATURED, """SELECT pred_id, model_version, period_key, predicted_at, ticker, prediction, horizon_days,
         round(realized_return, 6) AS realized_return, realized_return IS NOT NULL AS matured FROM mt"""),
@@ -302,7 +302,7 @@ SQL = {
     "q52_freshness": """SELECT user_id, event_id, ts, ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 2 HOURS AS fresh FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
     "q53_prediction_drift": with_(PRED_DRIFT + "," + hist("plive", "period, feature"),
-        "SELECT period, feature, psi, status, mean, std, p5, p25, p50, p75, p95, lo, hi, hist FROM drift JOIN hh USING (period, feature)"),
+        "SELECT period, feature, psi, status, mean, std, p5, p25, p50, p75, p95, round(lo, 4) AS lo, round(hi, 4) AS hi, hist FROM drift JOIN hh USING (period, feature)"),
     "q54_latest_state": "WITH a AS (" + with_(FEATURE_DRIFT, "SELECT feature, psi, status, mean, std, quarter AS period_key FROM drift QUALIFY row_number() OVER (PARTITION BY feature ORDER BY quarter DESC) = 1")
         + "), b AS (" + with_(PRED_DRIFT, "SELECT feature, psi, status, mean, std, CAST(period AS VARCHAR) AS period_key FROM drift ORDER BY period DESC LIMIT 1")
         + f") SELECT '{M.MODEL}+enc:v1' AS model_version, * FROM a UNION ALL SELECT '{M.MODEL}+enc:v1', * FROM b",

@@ -75,7 +75,7 @@ def q35_build_portfolio(spark, sf):
 
 def q36_dist_stats(spark, sf):
     rows = M.drift_rows(spark, sf)
-    return six(N.distribution_stats(rows, ["feature"], max_groups=len(M.DRIFT_FEATURES)))
+    return six(N.distribution_stats(rows, ["feature"], max_groups=len(M.DRIFT_FEATURES)), 4)
 
 
 def drift_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +91,7 @@ def feature_drift(spark, sf) -> DataFrame:
 
 
 def q37_feature_psi(spark, sf):
-    return six(feature_drift(spark, sf).drop("n"))
+    return six(feature_drift(spark, sf).drop("n"), 4)
 
 
 def matured(spark, sf) -> tuple[DataFrame, bool]:
@@ -214,8 +214,10 @@ def q50_symbol_search(spark, sf):
 
 
 def q51_flat_record(spark, sf):
-    info = M.fundamentals(spark, sf).select("ticker", "pe_ratio", "pb_ratio", "beta", "market_cap")
-    return six(P.flat_records(M.bars(spark, sf), info))
+    days = durable(M.daily(spark, sf))
+    info = T.clean_fundamentals(M.raw_fundamentals(spark, sf, days)).select(
+        "ticker", "pe_ratio", "pb_ratio", "beta", "market_cap")
+    return six(P.flat_records(M.bars(spark, sf, days), info))
 
 
 def q52_freshness(spark, sf):
@@ -239,7 +241,7 @@ def prediction_drift(spark, sf) -> DataFrame:
 def q53_prediction_drift(spark, sf):
     out = prediction_drift(spark, sf)
     return six(out.select("period", "feature", "psi", "status", "mean", "std", "p5", "p25", "p50", "p75", "p95", "lo", "hi",
-                          F.array_join(F.col("counts").cast("array<string>"), ",").alias("hist")))
+                          F.array_join(F.col("counts").cast("array<string>"), ",").alias("hist")), 4)
 
 
 def q54_latest_state(spark, sf):
@@ -250,7 +252,7 @@ def q54_latest_state(spark, sf):
     b = N.latest_per_key(pred, ["model_version", "feature"], ["period"])
     cols = ["model_version", "feature", "psi", "status", "mean", "std"]
     return six(a.select(*cols, F.col("quarter").alias("period_key")).unionByName(
-        b.select(*cols, F.col("period").cast("string").alias("period_key"))))
+        b.select(*cols, F.col("period").cast("string").alias("period_key"))), 4)
 
 
 def q55_snapshot_features(spark, sf):
