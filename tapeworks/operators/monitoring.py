@@ -309,6 +309,6 @@ def dashboard(drift: DataFrame, pred: DataFrame, rolling: DataFrame, states: Dat
         F.struct("window", "ts", "ic_mean", "spearman", "ic_ir", "n_obs"))).alias("rolling_ic"))
     last = latest_per_key(pred, [key], ["period_key"]).select(
         key, F.struct("psi", "status", "mean", "std", "p5", "p25", "p50", "p75", "p95", "counts").alias("prediction_drift"))
-    out = states.join(series, key, "left").join(psis, key, "left").join(last, key, "left")
+    out = states.select(key, "status", "confidence", "reasons").join(series, key, "left").join(psis, key, "left").join(last, key, "left")
     rec = F.struct("status", "confidence", "reasons").alias("recommendation")
     return out.select(key, F.to_json(F.struct("rolling_ic", "feature_psi", "prediction_drift", rec)).alias("payload"))
