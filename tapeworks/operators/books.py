@@ -31,7 +31,7 @@ def has_variation(df: DataFrame, keys: list[str], col: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(col).alias("a_"), F.max(col).alias("b_")).filter("a_ < b_").select(*keys)
 
 
-def spearman_ic(df: DataFrame, keys: list[str], ids: list[str], *, spread: bool,
+def spearman_ic(df: DataFrame, keys: list[str], ids: list[str], *, spread: bool | int,
                 score: str = "model_score", ret: str = "fwd_ret", pearson: bool = False) -> DataFrame:
     """(keys, n, ic): rank correlation per key.
 
@@ -57,7 +57,7 @@ def pooled_ic(scored: DataFrame, ids: list[str]) -> DataFrame:
     return spearman_ic(scored, [], ids, spread=True)
 
 
-def hit_rate(scored: DataFrame, *, spread: bool) -> DataFrame:
+def hit_rate(scored: DataFrame, *, spread: bool | int) -> DataFrame:
     """(period, top_ret, bottom_ret, hit): upper half by score against the rest."""
     med = X.column_percentiles(scored, ["period"], ["model_score"], {"med_": 0.5}, spread=spread)
     up = F.col("model_score") >= F.col("model_score_med_")
@@ -68,7 +68,7 @@ def hit_rate(scored: DataFrame, *, spread: bool) -> DataFrame:
         "hit", (F.col("top_ret") > F.col("bottom_ret")).cast("int"))
 
 
-def top_quantile(scored: DataFrame, parts: int = 5, *, spread: bool) -> DataFrame:
+def top_quantile(scored: DataFrame, parts: int = 5, *, spread: bool | int) -> DataFrame:
     """Scored rows of valid periods with idx, n_top, in_top and above (score >= median).
 
     Top = the max(1, n // parts) best scores, ties by ticker.
@@ -290,7 +290,7 @@ def lookback(bars: DataFrame) -> DataFrame:
         F.when(years < 2.0, "short history").otherwise("ok").alias("status"))
 
 
-def period_examples(scored: DataFrame, last: int = 6, *, spread: bool) -> DataFrame:
+def period_examples(scored: DataFrame, last: int = 6, *, spread: bool | int) -> DataFrame:
     """Rows of the latest ``last`` periods with prediction, outcome and hit share.
 
     ``scored`` also needs start_dt and end_dt.

@@ -21,7 +21,7 @@ def join_small(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("one_", F.lit(1)).join(F.broadcast(stats.withColumn("one_", F.lit(1))), "one_").drop("one_")
 
 
-def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], *, spread: bool) -> DataFrame:
+def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], *, spread: bool | int) -> DataFrame:
     """(keys, <col>_<name>...) exact percentiles of several columns.
 
     Unspread groups use the built-in ``percentile`` aggregate.
@@ -30,19 +30,19 @@ def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: d
         return df.groupBy(*keys).agg(*[
             F.percentile(F.col(c), p).alias(f"{c}_{name}") for c in cols for name, p in probs.items()])
     long = O.melt(df.select(*keys, *cols), keys, cols)
-    per = O.percentiles(long, [*keys, "feature"], "value", probs)
+    per = O.percentiles(long, [*keys, "feature"], "value", probs, max_groups=O.bound_of(spread, len(cols)))
     return per.groupBy(*keys).agg(*[
         F.max(F.when(F.col("feature") == c, F.col(name))).alias(f"{c}_{name}") for c in cols for name in probs])
 
 
-def winsorise(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool, low=0.01, high=0.99) -> DataFrame:
+def winsorise(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool | int, low=0.01, high=0.99) -> DataFrame:
     bounds = column_percentiles(df, keys, cols, {"lo_": low, "hi_": high}, spread=spread)
     out = join_small(df, bounds, keys)
     out = out.withColumns({c: clip(c, F.col(f"{c}_lo_"), F.col(f"{c}_hi_")) for c in cols})
     return out.drop(*[f"{c}_{s}" for c in cols for s in ("lo_", "hi_")])
 
 
-def pct_ranks(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *, spread: bool) -> DataFrame:
+def pct_ranks(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *, spread: bool | int) -> DataFrame:
     """Add ``<col>_rank`` in (0, 1]: average ties, nulls kept null and not counted.
 
     A column with at most one value in the group has no rank: it stays null.
@@ -58,7 +58,7 @@ def pct_ranks(df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *
     return out.drop(*[f"{c}_cnt_" for c in cols])
 
 
-def median_fill(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool, empty: float = 0.5) -> DataFrame:
+def median_fill(df: DataFrame, keys: list[str], cols: list[str], *, spread: bool | int, empty: float = 0.5) -> DataFrame:
     med = column_percentiles(df, keys, cols, {"med_": 0.5}, spread=spread)
     out = join_small(df, med, keys)
     out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}_med_"), F.lit(empty)) for c in cols})
@@ -111,7 +111,7 @@ def standardized_embeddings(emb: DataFrame, keys: list[str], ids: list[str], vec
     return long.join(stats, [*keys, "dim"]).select(*keys, *ids, "dim", F.coalesce(z, F.lit(0.0)).alias("z"))
 
 
-def median_labels(df: DataFrame, keys: list[str], *, spread: bool, inclusive: bool, value: str = "fwd_ret") -> DataFrame:
+def median_labels(df: DataFrame, keys: list[str], *, spread: bool | int, inclusive: bool, value: str = "fwd_ret") -> DataFrame:
     """Add ``median_ret``, ``bench_ret`` (mean), ``names_`` (rows) and ``label`` (beats the median)."""
     mean = [F.avg(value).alias("bench_ret"), F.count(F.lit(1)).alias("names_")]
     if spread:
@@ -137,7 +137,7 @@ def min_max(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     return out.drop(*[f"{c}_{n}" for c in cols for n in ("mn_", "mx_")])
 
 
-def snapshot_features(latest: DataFrame, keys: list[str], ids: list[str], *, spread: bool) -> DataFrame:
+def snapshot_features(latest: DataFrame, keys: list[str], ids: list[str], *, spread: bool | int) -> DataFrame:
     """Winsorise, rank, then fill all 21 features of a raw snapshot."""
     out = winsorise(latest, keys, K.FEATURES, spread=spread)
     out = pct_ranks(out, keys, ids, K.FEATURES, spread=spread)

@@ -61,7 +61,7 @@ def period_panel(
     )
 
 
-def ranked_panel(panel: DataFrame, *, spread: bool, min_names: int = 2) -> DataFrame:
+def ranked_panel(panel: DataFrame, *, spread: bool | int, min_names: int = 2) -> DataFrame:
     """Ranks per period (0.5 where a column has none), median label, benchmark."""
     out = X.pct_ranks(panel, ["period"], ["ticker"], K.PRICE_FEATURES, spread=spread)
     out = out.fillna(0.5, [f"{c}_rank" for c in K.PRICE_FEATURES])
@@ -69,7 +69,7 @@ def ranked_panel(panel: DataFrame, *, spread: bool, min_names: int = 2) -> DataF
     return out.filter(F.col("names_") >= min_names).drop("names_")
 
 
-def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool = False, min_names: int = 3) -> DataFrame:
+def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool | int = False, min_names: int = 3) -> DataFrame:
     """Non-overlapping windows of each horizon: ranks at the start, strict label.
 
     Columns: horizon, t_start, ticker, seven ranks, fwd_ret, label. A horizon uses
@@ -97,11 +97,11 @@ def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool = False
         *keys, "ticker", *[f"{c}_rank" for c in K.PRICE_FEATURES], "fwd_ret", "label")
 
 
-def horizon_labels(bars: DataFrame, horizon: int, *, spread: bool = False) -> DataFrame:
+def horizon_labels(bars: DataFrame, horizon: int, *, spread: bool | int = False) -> DataFrame:
     return multi_horizon_labels(bars, [horizon], spread=spread)
 
 
-def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool, min_names: int = 3,
+def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool | int, min_names: int = 3,
                     trailing: str = "trailing_ret") -> DataFrame:
     """Today's ranks labelled with the trailing 252-bar return (strictly above median)."""
     rows = latest.filter(F.col(trailing).isNotNull()).withColumn("fwd_ret", F.col(trailing))

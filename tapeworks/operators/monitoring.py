@@ -40,7 +40,7 @@ def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
     return durable(rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_")))
 
 
-def distribution_stats(long: DataFrame, keys: list[str], *, spread: bool = True, max_groups: int | None = None,
+def distribution_stats(long: DataFrame, keys: list[str], *, spread: bool | int = True, max_groups: int | None = None,
                        extra_probs: dict[str, float] | None = None) -> DataFrame:
     """(keys, mean, std, missing_rate, n, p5..p95); all-missing groups give zeros.
 
@@ -78,20 +78,20 @@ def baseline(long: DataFrame, keys: list[str], n_bins: int = K.PSI_BINS, *, max_
     long = value_counts(long, keys)
     stats = durable(distribution_stats(long, keys, max_groups=max_groups, extra_probs=cuts))
     stats = stats.withColumn("edges", edges_from(list(cuts))).drop(*cuts)
-    props = proportions(long, keys, stats.select(*keys, "edges"), few=max_groups is not None)
+    props = proportions(long, keys, stats.select(*keys, "edges"))
     return stats.join(props, keys, "left").withColumn(
         "props", F.coalesce("props", F.array().cast("array<double>")))
 
 
-def proportions(long: DataFrame, keys: list[str], edges: DataFrame, by: list[str] = (), few: bool = True) -> DataFrame:
+def proportions(long: DataFrame, keys: list[str], edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, keys, props): share of the finite values in each bin of frozen edges.
 
-    ``few``: the edges have at most one row per column of the feature table, so
-    they are broadcast and the long side is not moved by its few hot keys.
+    Edges have one row per feature. They are counted, and broadcast when few, so
+    that the long side is not moved by its hot keys.
     """
     rows = value_counts(long, [*by, *keys]).filter("value IS NOT NULL")
     side = edges.filter(F.size("edges") >= 2)
-    rows = rows.join(F.broadcast(side) if few else side, keys)
+    rows = rows.join(O.checked_broadcast(side), keys)
     bin_ = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1
     counts = rows.groupBy(*by, *keys, bin_.alias("bin"), (F.size("edges") - 1).alias("bins")).agg(
         F.sum("n_").alias("c"))
@@ -119,10 +119,10 @@ def feature_drift(live: DataFrame, base: DataFrame, by: list[str], *, max_groups
     """One row per (by, feature) of the live rows that has a baseline."""
     keys = ["feature"]
     known = base.select("feature", "edges", F.col("props").alias("base_props_"))
-    live = value_counts(live.join(F.broadcast(known.select("feature")), "feature", "left_semi"), [*by, *keys])
+    live = value_counts(live.join(O.checked_broadcast(known.select("feature")), "feature", "left_semi"), [*by, *keys])
     stats = distribution_stats(live, [*by, *keys], max_groups=max_groups)
     props = proportions(live, keys, known.select("feature", "edges"), by)
-    out = stats.join(props, [*by, *keys], "left").join(F.broadcast(known.drop("edges")), keys)
+    out = stats.join(props, [*by, *keys], "left").join(O.checked_broadcast(known.drop("edges")), keys)
     value = psi(F.col("base_props_"), F.coalesce("props", F.array().cast("array<double>")))
     return out.withColumn("psi", value).withColumn("status", psi_status("psi")).drop("props", "base_props_")
 
@@ -179,7 +179,7 @@ def mature_labels(predictions: DataFrame, bars: DataFrame, now: Column) -> DataF
 
 # --- information coefficient -------------------------------------------------------
 
-def period_ics(matured: DataFrame, *, spread: bool) -> DataFrame:
+def period_ics(matured: DataFrame, *, spread: bool | int) -> DataFrame:
     """(model_version, period_key, ts, n, spearman, pearson) per batch."""
     keys = ["model_version", "period_key"]
     rows = matured.filter("matured")

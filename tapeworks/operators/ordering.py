@@ -33,15 +33,26 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 GROUP_ROWS_IN_ONE_TASK = 2_000_000
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest key: one map-side combined count, one number back."""
-    sizes = df.groupBy(*keys).count() if keys else df.groupBy(F.lit(1).alias("all")).count()
-    return sizes.agg(F.max("count")).first()[0] or 0
+def needs_spread(df: DataFrame, keys: list[str], limit: int = GROUP_ROWS_IN_ONE_TASK) -> int:
+    """0 when every key fits one task; else the number of keys.
 
+    One map-side combined count; two numbers come back. Operators take the result
+    as ``spread``: the number of keys also bounds the per-key tables they may
+    broadcast. ``spread=True`` asks for the spread form without such a bound.
+    """
+    sizes = df.groupBy(*(keys or [F.lit(1).alias("all")])).count()
+    shape = sizes.agg(F.max("count").alias("largest"), F.count(F.lit(1)).alias("groups")).first()
+    return shape["groups"] if (shape["largest"] or 0) > limit else 0
+
+
+def bound_of(spread: bool | int, per_key: int = 1) -> int | None:
+    """Bound on the groups behind a ``spread`` value, None when unknown."""
+    return None if spread is True else int(spread) * per_key
 
-def needs_spread(df: DataFrame, keys: list[str], limit: int = GROUP_ROWS_IN_ONE_TASK) -> bool:
-    """True when some key is too big to be ordered inside one task."""
-    return largest_group(df, keys) > limit
+
+def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast a side after counting that it is small; otherwise leave it to Spark."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def _few(df: DataFrame, max_groups: int | None, per_group: int = SAMPLE) -> DataFrame:
@@ -156,7 +167,7 @@ def percentiles(
     value: str,
     probs: dict[str, float],
     *,
-    spread: bool = True,
+    spread: bool | int = True,
     max_groups: int | None = None,
     sizes: DataFrame | None = None,
     weight: str | None = None,
@@ -206,8 +217,8 @@ def melt(df: DataFrame, ids: list[str], cols: list[str], name="feature", value="
 
 
 def average_ranks(
-    df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *, spread: bool,
-    max_groups: int | None = None, pct: bool = True, suffix: str = "_rank",
+    df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *, spread: bool | int,
+    pct: bool = True, suffix: str = "_rank",
 ) -> DataFrame:
     """``ids + keys`` with the average-tie rank of each column; nulls stay null.
 
@@ -228,7 +239,7 @@ def average_ranks(
 
     long = melt(df.select(*keys, *ids, *cols), [*keys, *ids], cols).filter("value IS NOT NULL")
     counted = long.select(*keys, "feature", "value", F.lit(1).alias("n_"))
-    bound = None if max_groups is None else max_groups * len(cols)
+    bound = bound_of(spread, len(cols)) if keys else len(cols)
     ordered = running_weight(counted, [*keys, "feature"], "value", ["n_"], max_groups=bound)
     rank = F.col("n__before") + (F.col("n_") + 1) / F.lit(2.0)
     if pct:
@@ -242,7 +253,7 @@ def average_ranks(
 
 
 def row_numbers(
-    df: DataFrame, keys: list[str], order: dict[str, bool], *, spread: bool, name: str = "rn",
+    df: DataFrame, keys: list[str], order: dict[str, bool], *, spread: bool | int, name: str = "rn",
 ) -> DataFrame:
     """Position within the key; ``order`` maps column -> ascending and is unique.
 
@@ -253,7 +264,7 @@ def row_numbers(
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
     parts = [F.col(c) if up else (-F.col(c)).alias(c) for c, up in order.items()]
     tagged = df.withColumn("order_", F.struct(*parts)).withColumn("n_", F.lit(1))
-    at = running_weight(tagged, keys, "order_", ["n_"]).select(
+    at = running_weight(tagged, keys, "order_", ["n_"], max_groups=bound_of(spread)).select(
         *keys, "order_", (F.col("n__before") + 1).cast("int").alias(name)
     )
     return tagged.drop("n_").join(at, [*keys, "order_"]).drop("order_")

@@ -178,13 +178,13 @@ def panel(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int =
     return L.period_panel(durable(bars(spark, sf)), forward=forward, rebalance=rebalance)
 
 
-def ranked(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63) -> tuple[DataFrame, bool]:
+def ranked(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63) -> tuple[DataFrame, int]:
     rows = durable(panel(spark, sf, forward=forward, rebalance=rebalance))
     spread = O.needs_spread(rows, ["period"])
     return L.ranked_panel(rows, spread=spread), spread
 
 
-def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, bool]:
+def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
     """(period, ticker, dates, model_score, fwd_ret, vol, bench_ret) and the size flag."""
     rows, spread = ranked(spark, sf)
     return durable(rows.select(

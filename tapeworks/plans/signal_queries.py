@@ -94,9 +94,8 @@ def q37_feature_psi(spark, sf):
     return six(feature_drift(spark, sf).drop("n"), 4)
 
 
-def matured(spark, sf) -> tuple[DataFrame, bool]:
+def matured(spark, sf) -> tuple[DataFrame, int]:
     series = durable(M.bars(spark, sf))
-    from tapeworks.plans.panel_queries import RANKS  # noqa: F401
     rows = durable(L.period_panel(series))
     spread = O.needs_spread(rows, ["period"])
     ranked = L.ranked_panel(rows, spread=spread).withColumn("model_score", M.mean_rank())
@@ -227,7 +226,6 @@ def q52_freshness(spark, sf):
 
 
 def prediction_rows(spark, sf) -> DataFrame:
-    from tapeworks.plans.panel_queries import M as _  # noqa: F401
     rows, _spread = M.scored(spark, sf)
     return rows.select("period", F.lit("prediction").alias("feature"), F.col("model_score").alias("value"))
 
