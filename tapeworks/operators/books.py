@@ -256,14 +256,13 @@ def backtest_report(top: DataFrame, ics: DataFrame, hits: DataFrame, bench: Data
     ppy = 12 / rebalance_months
     rows = equal_weight_book(top, cost_bps).join(bench.select("period", "bench_ret"), "period")
     rows = with_drawdown(rows.withColumn("all_", F.lit(1)), ["all_"], "idx", "net")
-    core = rows.groupBy("all_").agg(
+    core = rows.agg(
         F.count(F.lit(1)).alias("n_periods"), annualised("gross", ppy).alias("ann_gross"),
         annualised("net", ppy).alias("ann_net"), annualised("bench_ret", ppy).alias("ann_bench"),
         sharpe("net", ppy).alias("sharpe_"), F.min("drawdown").alias("dd_"),
         beta("net", "bench_ret").alias("beta_"), F.coalesce(F.avg("turnover"), F.lit(0.5)).alias("turn_"))
-    ic = ic_summary(ics).withColumn("all_", F.lit(1))
-    hit = hits.agg(F.coalesce(F.avg("hit"), F.lit(0.5)).alias("hit_")).withColumn("all_", F.lit(1))
-    out = core.join(F.broadcast(ic), "all_", "left").join(F.broadcast(hit), "all_", "left")
+    hit = hits.agg(F.coalesce(F.avg("hit"), F.lit(0.5)).alias("hit_"))
+    out = X.join_small(X.join_small(core, ic_summary(ics), []), hit, [])
     alpha_net = F.col("ann_net") - F.col("ann_bench")
     says = interpret(F.col("hit_"), F.col("ic_mean"), F.col("sharpe_"), F.col("dd_"), alpha_net)
     return out.select(

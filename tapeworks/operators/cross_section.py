@@ -15,10 +15,11 @@ from tapeworks.operators import ordering as O
 
 
 def join_small(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach per-key statistics; with no keys the other side is a single row."""
+    """Attach per-key statistics. Without keys ``stats`` is one row: its numbers become literals."""
     if keys:
         return df.join(stats, keys, "left")
-    return df.withColumn("one_", F.lit(1)).join(F.broadcast(stats.withColumn("one_", F.lit(1))), "one_").drop("one_")
+    row = stats.first()
+    return df.withColumns({name: F.lit(row[name]).cast(kind) for name, kind in stats.dtypes})
 
 
 def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: dict[str, float], *, spread: bool | int) -> DataFrame:

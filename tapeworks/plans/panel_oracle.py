@@ -264,7 +264,7 @@ SQL = {
         coalesce(avg(turnover), 0.5) AS turn FROM dd_b),
       i AS (SELECT coalesce(avg(ic), 0) AS m, CASE WHEN count(ic) > 1 THEN stddev_pop(ic) ELSE 0 END AS sd FROM ics),
       h AS (SELECT coalesce(avg(CAST(top_ret > bottom_ret AS INT)), 0.5) AS hit FROM hits)""",
-      """SELECT 'ok' AS status, n_periods, round(ag * 100, 2) AS ann_portfolio_return, round(an * 100, 2) AS ann_portfolio_net,
+      """SELECT CASE WHEN n_periods > 0 THEN 'ok' ELSE 'No valid test periods' END AS status, n_periods, round(ag * 100, 2) AS ann_portfolio_return, round(an * 100, 2) AS ann_portfolio_net,
         round(ab * 100, 2) AS ann_benchmark_return, round((ag - ab) * 100, 2) AS ann_alpha, round((an - ab) * 100, 2) AS ann_alpha_net,
         round(sh, 3) AS sharpe_ratio, round(dd * 100, 2) AS max_drawdown, round(CASE WHEN dd < -1e-6 THEN ag / abs(dd) END, 3) AS calmar_ratio,
         round(hit * 100, 1) AS hit_rate, round(m, 4) AS ic_mean, round(sd, 4) AS ic_std, round(m / (sd + 1e-9), 3) AS icir,
