@@ -179,7 +179,7 @@ def with_(ctes: str, select: str) -> str:
 
 
 EXACT_RANKS = ", ".join(f"round({c}_rank, 6) AS {c}_rank" for c in FEATURES)
-SNAP = with_  # readability below
+
 
 SQL = {
     "q01_price_panel": with_(BARS, "SELECT ticker, dt, close, volume, bar FROM bars WHERE ticker IN (SELECT ticker FROM px GROUP BY 1 HAVING count(*) >= 60)"),

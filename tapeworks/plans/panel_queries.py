@@ -16,7 +16,6 @@ from tapeworks.operators import timeseries as TS
 from tapeworks.plans import market as M
 from tapeworks.session import durable
 from tapeworks.sources import prices as P
-from tapeworks.sources import tables as T
 
 RANKS = [f"{c}_rank" for c in K.PRICE_FEATURES]
 

@@ -14,7 +14,7 @@ from tapeworks.operators import ordering as O
 from tapeworks.operators import portfolio as D
 from tapeworks.operators import scoring as R
 from tapeworks.plans import market as M
-from tapeworks.plans.panel_queries import as_of, six
+from tapeworks.plans.panel_queries import six
 from tapeworks.session import durable
 from tapeworks.sources import prices as P
 from tapeworks.sources import tables as T
