@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import exact_dedup, mixing, sharding
+from tapeworks.llm import exact_dedup, mixing, packing, sharding
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -19,6 +19,10 @@ def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf))
 
 
+def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.best_fit(documents(spark, sf))
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Shard of every document; 256 shards."""
     return sharding.place(documents(spark, sf), sharding.fill(SHARDS)).select("doc_id", "slot", "shard")
@@ -74,7 +78,7 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
