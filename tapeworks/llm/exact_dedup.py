@@ -56,12 +56,13 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest=F.xxhash6
                        F.length(F.coalesce("text", F.lit(""))).alias("n_chars"),
                        F.sha2("norm", 256).alias("sha"), "norm")
     cells = _blocks(rows, block_bytes, digest, "row", "doc_id", "n_chars", "sha")
-    shared = names.where("alike > 1").select("digest", F.lit(True).alias("shared")).distinct()
+    # a table of its own, so that its true size (nothing, unless digests collide) decides how it is joined
+    shared, shared_path = stash(names.where("alike > 1").select("digest", F.lit(True).alias("shared")).distinct())
     cells = cells.join(shared, "digest", "left").withColumn("block", F.when(F.col("shared"), F.col("block")))
     same = (cells["digest"] == names["digest"]) & cells["block"].eqNullSafe(names["content"])
     level0, level0_path = stash(cells.join(names, same).select(
         "row", "doc_id", "n_chars", "sha", "n", "pos", "name"))
-    release(spark, names_path)
+    release(spark, names_path, shared_path)
 
     done = level0.where("n = 1").select("row", "doc_id", "n_chars", "sha", F.lit(0).alias("level"), "name")
     most = level0.agg(F.max("n")).first()[0] or 1
@@ -95,7 +96,7 @@ def exact_groups(docs: DataFrame, block_bytes: int = BLOCK_BYTES, digest: Column
     done, _ = identities(docs, block_bytes, digest)
     rank = F.struct((-F.col("n_chars")).alias("longest"), F.coalesce("doc_id", F.lit(LAST)).alias("id"),
                     F.col("row"), F.col("doc_id"))
-    best = done.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best"))
+    best, _ = stash(done.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(rank).alias("best")))
     return done.join(best, ["level", "name"]).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -51,13 +51,14 @@ def test_plan_is_best_fit_decreasing(seed):
 
 
 def ids_of(text):
-    t = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
 ODD = ["", " ", "a", " a  b", "x \n y", "a  b", "tab\there", "end ", "\n\n a", "don't 12 34.5 <|endoftext|> x",
-       "a\x1cb \x1f c", "é ü\nñ ß", "日本語 テキスト", "word " * 5000, "z" * 30000]
+       "a\x1cb \x1f c", "é ü\nñ ß", "日本語 テキスト", "word " * 5000, "z" * 30000,
+       "ab" * 9 + "\u00a0 b \u2003\u2003x \u0085y \ufeffz ½ ² Ⅷ ٣ 𝟘 👩‍👩‍👧 e\u0301 I'LL i'll \x00\x01\r\nq\r \x0b\x0cw"]
 
 
 def test_round_trip(spark):
@@ -94,3 +95,10 @@ def test_lanes_and_empty(spark, monkeypatch):
     out = packing.best_fit(docs).collect()
     assert len(out) == 200 and len({(r["sequence_id"], r["offset"]) for r in out}) == 200
     assert packing.best_fit(docs.limit(0)).count() == 0
+
+
+def test_ranks_give_the_same_ids(spark):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    fast = packing.encoder(public_tokenizers.path(packing.TOKENIZER))
+    slow = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(fast(t) == slow(t) for t in [*texts, *ODD])
