@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.llm import exact_dedup, mixing, packing, sharding
+from tapeworks.llm import exact_dedup, mixing, packing, sharding, simhash
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -15,6 +15,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf))
 
@@ -78,7 +82,7 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op1_simhash": op1_simhash, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
