@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapeworks.llm import exact_dedup, mixing, packing, sharding, simhash
+from tapeworks.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -19,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf))
 
@@ -53,6 +59,21 @@ keyed AS (
 SELECT doc_id, slot, shard FROM keyed LEFT JOIN lookup USING (slot)"""
 
 
+OP4_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(list) AS line, generate_subscripts(list, 1) AS nth
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS list FROM documents)),
+keyed AS (
+  SELECT doc_id, line, nth, translate(regexp_replace(line, '^{WHITE_SQL}+|{WHITE_SQL}+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+frequent AS (
+  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+marked AS (
+  SELECT doc_id, line, nth, coalesce(doc_id < last, false) AS gone FROM keyed LEFT JOIN frequent USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
 OP5_SQL = rf"""
 WITH norm AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -82,8 +103,9 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {"op1_simhash": op1_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup,
+            "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL}
