@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash
+from tapeworks.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash, substring
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -33,6 +33,10 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf))
 
 
+def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf), digest_only=True).drop("spans")
+
+
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Shard of every document; 256 shards."""
     return sharding.place(documents(spark, sf), sharding.fill(SHARDS)).select("doc_id", "slot", "shard")
@@ -83,6 +87,22 @@ best AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256
 FROM norm JOIN best USING (body)"""
 
+OP8_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{WHITE_SQL}+'), lambda w: w <> '') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS seq
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words)),
+firsts AS (SELECT seq, min(doc_id) AS low FROM windows GROUP BY seq HAVING count(*) > 1),
+hits AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (seq) WHERE doc_id > low),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+marked AS (SELECT e.doc_id, e.word, e.i, h.i IS NOT NULL AS gone FROM each e LEFT JOIN hits h ON e.doc_id = h.doc_id AND e.i = h.i),
+kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS body
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)"""
+
 OP10_SQL = f"""
 WITH RECURSIVE counts AS (
   SELECT source, count(*) AS n, pow(count(*)::DOUBLE, 0.5) AS weight FROM documents GROUP BY source),
@@ -104,8 +124,10 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_simhash": op1_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup,
-            "op6_packing": op6_packing, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+            "op6_packing": op6_packing, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
+            "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
+            "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL}
