@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import exact_dedup, line_dedup, mixing, packing, sharding, simhash, substring
+from tapeworks.llm import exact_dedup, language, line_dedup, mixing, packing, quality, sharding, simhash, substring
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return quality.assess(docs, quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
+
+
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = line_dedup.dedup_lines(documents(spark, sf).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -33,6 +38,11 @@ def op6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit(documents(spark, sf))
 
 
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return language.identify(docs, language.learn(docs.where(~language.held_out(F.col("doc_id")))))
+
+
 def op8_substring(spark: SparkSession, sf: str) -> DataFrame:
     return substring.remove_repeats(documents(spark, sf), digest_only=True).drop("spans")
 
@@ -123,8 +133,10 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup,
-            "op6_packing": op6_packing, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
+    return {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup,
+            "op5_exact_dedup": op5_exact_dedup,
+            "op6_packing": op6_packing, "op7_language": op7_language, "op8_substring": op8_substring,
+            "op9_sharding": op9_sharding,
             "op10_mixing": op10_mixing}
 
 
