@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeworks.llm import exact_dedup, language, line_dedup, mixing, packing, quality, sharding, simhash, substring
+from tapeworks.llm import exact_dedup, language, line_dedup, mixing, packing, pii, quality, sharding, simhash, substring
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf))
 
 
+def op2_pii(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    return pii.detect(docs, pii.train(docs))
+
+
 def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     return quality.assess(docs, quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet")))
@@ -133,7 +138,8 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup,
+    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii,
+            "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup,
             "op5_exact_dedup": op5_exact_dedup,
             "op6_packing": op6_packing, "op7_language": op7_language, "op8_substring": op8_substring,
             "op9_sharding": op9_sharding,

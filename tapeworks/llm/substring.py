@@ -130,7 +130,7 @@ def _edges(shards: int, k: int):
 
 
 def _repeats(group: pa.Table) -> pa.Table:
-    """One shard: every (document, edge) whose edge starts in an earlier document too, packed per document."""
+    """One shard: every (document, edge) whose edge starts in an earlier document too."""
     known = [unpack(b.as_py()) for b, r in zip(group["edges"], group["repeat"], strict=True) if not r.as_py()]
     found = [unpack(b.as_py()) for b, r in zip(group["edges"], group["repeat"], strict=True) if r.as_py()]
     if known:
@@ -138,21 +138,15 @@ def _repeats(group: pa.Table) -> pa.Table:
         late = docs > low
         found.append((hashes[late], docs[late]))
     hashes, docs = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(docs, kind="stable")
-    hashes, docs = hashes[order], docs[order]
-    names, at = np.unique(docs, return_index=True)
-    cuts = np.append(at, len(docs)) * 8
-    offsets = pa.array(cuts, pa.int32())
-    return pa.table({"doc": names, "edges": pa.Array.from_buffers(
-        pa.binary(), len(names), [None, offsets.buffers()[1], pa.py_buffer(hashes.astype("<u8").tobytes())])})
+    return pa.table({"doc": docs, "edge": hashes.view(np.int64)})
 
 
 def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
-    """``doc`` and ``edges`` (little-endian hashes), several rows a document."""
+    """``doc`` and ``edge`` (hash), a row for every distinct repeated edge of a document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // BYTES_PER_SHARD))
     return (docs.select("doc_id", "text").mapInArrow(_edges(shards, k), _EDGES)
-            .groupBy("shard").applyInArrow(_repeats, "doc long, edges binary"))
+            .groupBy("shard").applyInArrow(_repeats, "doc long, edge long"))
 
 
 def paths(words: list[bytes], edges: np.ndarray, k: int = K) -> np.ndarray:
@@ -170,7 +164,7 @@ def _remove(k: int, digest_only: bool):
                 words, spans = words_of(text.as_py()), []
                 kept = words
                 if edges.is_valid:
-                    spans = paths(words, np.frombuffer(b"".join(edges.as_py()), "<u8"), k)
+                    spans = paths(words, edges.values.to_numpy().view(np.uint64), k)
                     gone = np.zeros(len(words) + 1, np.int64)
                     np.add.at(gone, spans[:, 0], 1)
                     np.add.at(gone, spans[:, 1], -1)
@@ -195,7 +189,7 @@ def remove_repeats(docs: DataFrame, k: int = K, digest_only: bool = False) -> Da
     repeat each other; rows without an id come after all others. Null, empty and short texts lose nothing. Other
     columns are ignored; an empty table gives no rows.
     """
-    found = repeated_edges(docs, k).groupBy("doc").agg(F.collect_list("edges").alias("edges"))
+    found = repeated_edges(docs, k).groupBy("doc").agg(F.collect_list("edge").alias("edges"))
     told = docs.select("doc_id", "text").join(found, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc"), "left")
     out = told.select("doc_id", "text", "edges").mapInArrow(
         _remove(k, digest_only), "doc_id long, n_words long, n_removed long, spans array<array<int>>, body string")
