@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tapeworks.llm import exact_dedup, language, line_dedup, mixing, packing, pii, quality, sharding, simhash, substring
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
@@ -138,14 +139,16 @@ FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii,
-            "op3_quality": op3_quality, "op4_line_dedup": op4_line_dedup,
-            "op5_exact_dedup": op5_exact_dedup,
-            "op6_packing": op6_packing, "op7_language": op7_language, "op8_substring": op8_substring,
-            "op9_sharding": op9_sharding,
-            "op10_mixing": op10_mixing}
+    return {
+        "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing,
+        "op7_language": op7_language, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
+        "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
-            "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL}
+    return {
+        "op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
+        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL,
+    }
