@@ -39,8 +39,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def grams(word: str, n: int) -> list[str]:
-    """n-grams of the word with a mark at both ends."""
-    marked = f"<{word}>"
+    """n-grams of the word, from two letters on with a mark at both ends."""
+    marked = f"<{word}>" if n > 1 else word
     return [marked[i:i + n] for i in range(len(marked) - n + 1)]
 
 
