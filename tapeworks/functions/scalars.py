@@ -24,11 +24,6 @@ def finite(x: Column | str) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
 
 
-def nan_to_null(x: Column | str) -> Column:
-    x = col(x)
-    return F.when(~F.isnan(x), x)
-
-
 def first_nonzero(*xs: Column | str) -> Column:
     """First value that is neither null nor zero."""
     return F.coalesce(*[F.nullif(col(x), F.lit(0)) for x in xs])

@@ -17,7 +17,7 @@ from tapeworks.operators import ordering as O
 def join_small(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     """Attach per-key statistics. Without keys ``stats`` is one row: its numbers become literals."""
     if keys:
-        return df.join(stats, keys, "left")
+        return O.attach(df, stats, keys, "left")
     row = stats.first()
     return df.withColumns({name: F.lit(row[name]).cast(kind) for name, kind in stats.dtypes})
 
@@ -28,8 +28,9 @@ def column_percentiles(df: DataFrame, keys: list[str], cols: list[str], probs: d
     Unspread groups use the built-in ``percentile`` aggregate.
     """
     if not spread:
-        return df.groupBy(*keys).agg(*[
-            F.percentile(F.col(c), p).alias(f"{c}_{name}") for c in cols for name, p in probs.items()])
+        both = df.groupBy(*keys).agg(*[
+            F.percentile(F.col(c), F.array(*map(F.lit, probs.values()))).alias(c) for c in cols])
+        return both.select(*keys, *[F.col(c)[i].alias(f"{c}_{name}") for c in cols for i, name in enumerate(probs)])
     long = O.melt(df.select(*keys, *cols), keys, cols)
     per = O.percentiles(long, [*keys, "feature"], "value", probs, max_groups=O.bound_of(spread, len(cols)))
     return per.groupBy(*keys).agg(*[
@@ -117,10 +118,11 @@ def median_labels(df: DataFrame, keys: list[str], *, spread: bool | int, inclusi
     mean = [F.avg(value).alias("bench_ret"), F.count(F.lit(1)).alias("names_")]
     if spread:
         med = column_percentiles(df, keys, [value], {"med_": 0.5}, spread=True)
-        stats = med.join(df.groupBy(*keys).agg(*mean), keys)
+        means = df.groupBy(*keys).agg(*mean)
+        stats = O.attach(means, med, keys, "left") if keys else join_small(means, med, [])
     else:
         stats = df.groupBy(*keys).agg(F.percentile(F.col(value), 0.5).alias(f"{value}_med_"), *mean)
-    out = df.join(stats, keys).withColumnRenamed(f"{value}_med_", "median_ret")
+    out = join_small(df, stats, keys).withColumnRenamed(f"{value}_med_", "median_ret")
     beats = F.col(value) >= F.col("median_ret") if inclusive else F.col(value) > F.col("median_ret")
     return out.withColumn("label", beats.cast("int"))
 

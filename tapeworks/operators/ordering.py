@@ -50,9 +50,21 @@ def bound_of(spread: bool | int, per_key: int = 1) -> int | None:
     return None if spread is True else int(spread) * per_key
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast a side after counting that it is small; otherwise leave it to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def attach(df: DataFrame, table: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null, keeping one copy of the keys."""
+    right = table.select(*[F.col(k).alias(f"{k}__r") for k in keys], *[c for c in table.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__r")) for k in keys])
+    return df.join(right, same, how).drop(*[f"{k}__r" for k in keys])
+
+
+def checked_broadcast(df: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Broadcast a side whose rows, written as text, are measured to be small; otherwise leave it to Spark.
+
+    The side is made durable first, so measuring it does not compute it twice.
+    """
+    df = durable(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def _few(df: DataFrame, max_groups: int | None, per_group: int = SAMPLE) -> DataFrame:
@@ -65,7 +77,7 @@ def _few(df: DataFrame, max_groups: int | None, per_group: int = SAMPLE) -> Data
 def _marks(values: DataFrame, keys: list[str], value: str, sizes: DataFrame, max_groups: int | None) -> DataFrame:
     """(keys, marks_): sorted cut values. ``sizes``: (keys, d_) distinct values per key."""
     share = F.lit(float(SAMPLE * HASH_RANGE)) / F.col("d_")
-    picked = values.join(_few(sizes, max_groups, 1), keys).filter(F.pmod(F.xxhash64(value), F.lit(HASH_RANGE)) < share)
+    picked = attach(values, _few(sizes, max_groups, 1), keys).filter(F.pmod(F.xxhash64(value), F.lit(HASH_RANGE)) < share)
     return picked.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("marks_"))
 
 
@@ -75,7 +87,7 @@ def _bucketed(df: DataFrame, keys: list[str], value: str, marks: DataFrame, max_
     Binary search over up to 2,047 marks, one projection per step, so it runs as
     generated code (a higher-order function would be interpreted for every row).
     """
-    out = df.join(_few(marks, max_groups), keys, "left").withColumn("bucket_", F.lit(0))
+    out = attach(df, _few(marks, max_groups), keys, "left").withColumn("bucket_", F.lit(0))
     for step in [1 << i for i in range(10, -1, -1)]:
         there = F.try_element_at("marks_", F.col("bucket_") + step) <= F.col(value)
         out = out.withColumn("bucket_", F.col("bucket_") + F.when(there, step).otherwise(0))
@@ -136,7 +148,7 @@ def running_weight(
         *local_keys, "bucket_", order, *weights,
         *[F.sum(w).over(inside).alias(f"{w}_run") for w in weights],
     )
-    out = runs.join(_few(_bases(cut, local_keys, weights), groups), [*local_keys, "bucket_"]).select(
+    out = attach(runs, _few(_bases(cut, local_keys, weights), groups), [*local_keys, "bucket_"]).select(
         *local_keys, order, *weights,
         *[(F.col(f"{w}_base") + F.col(f"{w}_run") - F.col(w)).alias(f"{w}_before") for w in weights],
         *[f"{w}_total" for w in weights],
@@ -204,7 +216,7 @@ def percentiles(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     found = (
-        cut.join(_few(wanted, groups, 2 * len(probs)), [*local_keys, "bucket_"])
+        attach(cut, _few(wanted, groups, 2 * len(probs)), [*local_keys, "bucket_"])
         .groupBy(*local_keys, "bucket_", "n__base", "n__total", value).agg(F.sum("n_").alias("n_"))
         .withColumn("n__before", F.col("n__base") + F.sum("n_").over(inside) - F.col("n_"))
     )
@@ -220,9 +232,10 @@ def average_ranks(
     df: DataFrame, keys: list[str], ids: list[str], cols: list[str], *, spread: bool | int,
     pct: bool = True, suffix: str = "_rank",
 ) -> DataFrame:
-    """``ids + keys`` with the average-tie rank of each column; nulls stay null.
+    """Add the average-tie rank of each column within ``keys``; nulls stay null.
 
-    ``pct`` divides by the number of non-null values of the key.
+    ``pct`` divides by the number of non-null values of the key. Null keys form a
+    group; ids may be null or repeated: rows are told apart by a number of their own.
     """
     if not spread:
         # Every window is partitioned by the keys alone: one exchange for all columns.
@@ -237,7 +250,8 @@ def average_ranks(
             outs.append(F.when(F.col(c).isNotNull(), rank).alias(c + suffix))
         return df.select("*", *outs)
 
-    long = melt(df.select(*keys, *ids, *cols), [*keys, *ids], cols).filter("value IS NOT NULL")
+    rows = durable(df.withColumn("row_", F.monotonically_increasing_id()))
+    long = melt(rows.select(*keys, "row_", *cols), [*keys, "row_"], cols).filter("value IS NOT NULL")
     counted = long.select(*keys, "feature", "value", F.lit(1).alias("n_"))
     bound = bound_of(spread, len(cols)) if keys else len(cols)
     ordered = running_weight(counted, [*keys, "feature"], "value", ["n_"], max_groups=bound)
@@ -245,26 +259,31 @@ def average_ranks(
     if pct:
         rank = rank / F.col("n__total")
     ranked = (
-        long.join(ordered.select(*keys, "feature", "value", rank.alias("rank_")), [*keys, "feature", "value"])
-        .groupBy(*keys, *ids)
+        attach(long, ordered.select(*keys, "feature", "value", rank.alias("rank_")), [*keys, "feature", "value"])
+        .groupBy("row_")
         .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank_"))).alias(c + suffix) for c in cols])
     )
-    return df.join(ranked, [*keys, *ids], "left")
+    return rows.join(ranked, "row_", "left").drop("row_")
 
 
 def row_numbers(
     df: DataFrame, keys: list[str], order: dict[str, bool], *, spread: bool | int, name: str = "rn",
 ) -> DataFrame:
-    """Position within the key; ``order`` maps column -> ascending and is unique.
+    """Position within the key; ``order`` maps column -> ascending.
 
+    Nulls come first in ascending and last in descending order, null keys form a
+    group, and rows that ``order`` does not tell apart are numbered in any order.
     The spread form orders by one struct; descending columns must be numeric.
     """
     if not spread:
         by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order.items()]
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
-    parts = [F.col(c) if up else (-F.col(c)).alias(c) for c, up in order.items()]
+    parts = [p for c, up in order.items()
+             for p in ([F.col(c)] if up else [F.col(c).isNull().alias(f"{c}_last"), (-F.col(c)).alias(c)])]
     tagged = df.withColumn("order_", F.struct(*parts)).withColumn("n_", F.lit(1))
     at = running_weight(tagged, keys, "order_", ["n_"], max_groups=bound_of(spread)).select(
-        *keys, "order_", (F.col("n__before") + 1).cast("int").alias(name)
+        *keys, "order_", F.col("n__before").alias("before_")
     )
-    return tagged.drop("n_").join(at, [*keys, "order_"]).drop("order_")
+    alike = F.row_number().over(Window.partitionBy(*keys, "order_").orderBy("order_"))
+    numbered = attach(tagged.drop("n_"), at, [*keys, "order_"]).withColumn(name, (F.col("before_") + alike).cast("int"))
+    return numbered.drop("order_", "before_")

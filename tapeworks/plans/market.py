@@ -178,15 +178,17 @@ def panel(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int =
     return L.period_panel(durable(bars(spark, sf)), forward=forward, rebalance=rebalance)
 
 
-def ranked(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63) -> tuple[DataFrame, int]:
+def ranked(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63,
+           limit: int = O.GROUP_ROWS_IN_ONE_TASK) -> tuple[DataFrame, int]:
+    """``limit``: rows of a period from which the form for large groups is planned."""
     rows = durable(panel(spark, sf, forward=forward, rebalance=rebalance))
-    spread = O.needs_spread(rows, ["period"])
+    spread = O.needs_spread(rows, ["period"], limit)
     return L.ranked_panel(rows, spread=spread), spread
 
 
-def scored(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+def scored(spark: SparkSession, sf: str, limit: int = O.GROUP_ROWS_IN_ONE_TASK) -> tuple[DataFrame, int]:
     """(period, ticker, dates, model_score, fwd_ret, vol, bench_ret) and the size flag."""
-    rows, spread = ranked(spark, sf)
+    rows, spread = ranked(spark, sf, limit=limit)
     return durable(rows.select(
         "period", "ticker", "start_dt", "end_dt", mean_rank().alias("model_score"),
         "fwd_ret", "vol", "bench_ret")), spread
@@ -214,15 +216,15 @@ def latest_raw(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({
         "log_mktcap": S.log_market_cap("market_cap"),
         "analyst_consensus": S.analyst_consensus("analyst_buy", "analyst_hold", "analyst_sell"),
-        "market": S.market_of("ticker"), "universe": F.lit("all"),
+        "market": S.market_of("ticker"),
     })
 
 
-def universe(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def universe(spark: SparkSession, sf: str, limit: int = O.GROUP_ROWS_IN_ONE_TASK) -> tuple[DataFrame, DataFrame]:
     """(features, raw): 21 filled features with ranks inside one universe, and the raw rows."""
     raw = durable(latest_raw(spark, sf))
-    spread = O.needs_spread(raw, ["universe"])
-    return X.snapshot_features(raw, ["universe"], ["ticker"], spread=spread), raw
+    spread = O.needs_spread(raw, [], limit)
+    return X.snapshot_features(raw, [], ["ticker"], spread=spread), raw
 
 
 def priors(raw: DataFrame) -> DataFrame:

@@ -115,17 +115,17 @@ def q09_analyst_net(spark, sf):
     return six(out.select("ticker", "dt", "analyst_net_buy_ts"))
 
 
-def q10_pct_rank(spark, sf):
-    rows, _ = M.ranked(spark, sf)
+def q10_pct_rank(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    rows, _ = M.ranked(spark, sf, limit=limit)
     return six(rows.select("period", "ticker", *RANKS))
 
 
-def q11_winsor_fill(spark, sf):
+def q11_winsor_fill(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
     """Snapshot features (with gaps) every 63 bars, winsorised and median-filled."""
     feats = TS.price_features(M.bars(spark, sf), "snapshot")
     rows = durable(feats.filter("bar % 63 = 62").select(
         ((F.col("bar") - 62) / 63).cast("bigint").alias("period"), "ticker", *K.PRICE_FEATURES))
-    spread = O.needs_spread(rows, ["period"])
+    spread = O.needs_spread(rows, ["period"], limit)
     out = X.winsorise(rows, ["period"], K.PRICE_FEATURES, spread=spread)
     return six(X.median_fill(out, ["period"], K.PRICE_FEATURES, spread=spread))
 
@@ -148,8 +148,11 @@ def q14_forward_label(spark, sf):
     return six(rows.select("period", "ticker", "start_dt", "end_dt", "fwd_ret", "median_ret", "bench_ret", "label"))
 
 
-def q15_multi_horizon(spark, sf):
-    return six(L.multi_horizon_labels(durable(M.bars(spark, sf))))
+def q15_multi_horizon(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    bars = durable(M.bars(spark, sf))
+    # a window start holds each ticker once at most
+    spread = O.needs_spread(bars, ["bar"], limit)
+    return six(L.multi_horizon_labels(bars, spread=bool(spread)))
 
 
 def q16_cv_folds(spark, sf):
@@ -167,18 +170,18 @@ def q18_pooled_ic(spark, sf):
     return six(B.pooled_ic(rows, ["period", "ticker"]))
 
 
-def q19_hit_rate(spark, sf):
-    rows, spread = M.scored(spark, sf)
+def q19_hit_rate(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    rows, spread = M.scored(spark, sf, limit)
     return six(B.hit_rate(rows, spread=spread))
 
 
-def top(spark, sf):
-    rows, spread = M.scored(spark, sf)
+def top(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    rows, spread = M.scored(spark, sf, limit)
     return durable(B.top_quantile(rows, spread=spread)), rows, spread
 
 
-def q20_equal_book(spark, sf):
-    return six(B.equal_weight_book(top(spark, sf)[0]))
+def q20_equal_book(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    return six(B.equal_weight_book(top(spark, sf, limit)[0]))
 
 
 def q21_sized_book(spark, sf):
@@ -261,4 +264,25 @@ def q63_lookback(spark, sf):
     return six(B.lookback(M.bars(spark, sf)))
 
 
+def q71_pct_rank_large(spark, sf):
+    """q10 with the plan for groups of any size; so do the next four."""
+    return q10_pct_rank(spark, sf, 0)
+
+
+def q72_winsor_fill_large(spark, sf):
+    return q11_winsor_fill(spark, sf, 0)
+
+
+def q73_multi_horizon_large(spark, sf):
+    return q15_multi_horizon(spark, sf, 0)
+
+
+def q74_hit_rate_large(spark, sf):
+    return q19_hit_rate(spark, sf, 0)
+
+
+def q75_equal_book_large(spark, sf):
+    return q20_equal_book(spark, sf, 0)
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

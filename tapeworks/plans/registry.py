@@ -7,6 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tapeworks.plans import market, model_queries, panel_oracle, panel_queries, signal_oracle, signal_queries
 
 
+# The same query planned for groups of any size: one oracle for both.
+SAME_ROWS = {
+    "q71_pct_rank_large": "q10_pct_rank", "q72_winsor_fill_large": "q11_winsor_fill",
+    "q73_multi_horizon_large": "q15_multi_horizon", "q74_hit_rate_large": "q19_hit_rate",
+    "q75_equal_book_large": "q20_equal_book", "q76_snapshot_features_large": "q55_snapshot_features",
+}
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Period panel with ranks, median labels and benchmark; monthly steps suit short series."""
     rows, _ = market.ranked(spark, sf, forward=21, rebalance=21)
@@ -18,4 +26,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL}
+    sql = {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL}
+    return {**sql, **{large: sql[plain] for large, plain in SAME_ROWS.items()}}

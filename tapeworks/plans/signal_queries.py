@@ -253,16 +253,21 @@ def q54_latest_state(spark, sf):
         b.select(*cols, F.col("period").cast("string").alias("period_key"))), 4)
 
 
-def q55_snapshot_features(spark, sf):
-    feats, _ = M.universe(spark, sf)
+def q76_snapshot_features_large(spark, sf):
+    """q55 with the plan for universes of any size."""
+    return q55_snapshot_features(spark, sf, 0)
+
+
+def q55_snapshot_features(spark, sf, limit=O.GROUP_ROWS_IN_ONE_TASK):
+    feats, _ = M.universe(spark, sf, limit)
     return six(feats.select("ticker", *K.FEATURES, *[f"{c}_rank" for c in K.FEATURES]))
 
 
 def q56_snapshot_labels(spark, sf):
     feats, _ = M.universe(spark, sf)
     feats = durable(feats)
-    spread = O.needs_spread(feats, ["universe"])
-    out = L.snapshot_labels(feats, ["universe"], spread=spread)
+    spread = O.needs_spread(feats, [])
+    out = L.snapshot_labels(feats, [], spread=spread)
     return six(out.select("ticker", *[f"{c}_rank" for c in K.PRICE_FEATURES], "fwd_ret", "label", "is_snapshot",
                           L.momentum_label(out).alias("fallback_label")))
 

@@ -6,20 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks import constants as K
-from tapeworks.functions.scalars import nan_to_null
+from tapeworks.functions.scalars import finite
 from tapeworks.operators import timeseries as TS
 
 PRICE_SCHEMA = "ticker string, dt date, close double, volume double"
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
-    """All series of a price directory; NaN becomes null, rows without a close go."""
+    """All series of a price directory; rows without a finite close go."""
     raw = spark.read.schema(PRICE_SCHEMA).parquet(path)
     return clean_prices(raw)
 
 
 def clean_prices(raw: DataFrame) -> DataFrame:
-    return raw.withColumns({"close": nan_to_null("close"), "volume": nan_to_null("volume")}).filter(
+    """NaN and infinities become null; one such close would spoil the running sums of all later bars."""
+    return raw.withColumns({"close": finite("close"), "volume": finite("volume")}).filter(
         F.col("close").isNotNull())
 
 
