@@ -28,38 +28,31 @@ def finite_or_null(value: str = "value") -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != INF), v)
 
 
-def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value, n_): one scan, combined on the map side, kept for all statistics.
-
-    Prices, rates and quantities repeat a lot; what comes out is far smaller than
-    the rows. Counts that were made before are passed through.
-    """
-    if "n_" in long.columns:
-        return long
-    rows = long.select(*keys, finite_or_null().alias("value"))
-    return durable(rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n_")))
+def finite_rows(long: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value) with null for what is not a finite number. A projection of the scan: rows are not moved."""
+    return long.select(*keys, finite_or_null().alias("value"))
 
 
 def distribution_stats(long: DataFrame, keys: list[str], *, spread: bool | int = True, max_groups: int | None = None,
                        extra_probs: dict[str, float] | None = None) -> DataFrame:
     """(keys, mean, std, missing_rate, n, p5..p95); all-missing groups give zeros.
 
-    ``extra_probs`` adds further percentile columns from the same pass (null
-    where there is no value).
+    ``extra_probs`` adds further percentile columns from the same passes (null
+    where there is no value). One map-side combined pass gives counts, moments and
+    the number of distinct values; the percentiles count buckets in further scans.
+    Only aggregates are shuffled, and the groups are counted, not assumed.
     """
-    counts = value_counts(long, keys)
-    known = F.when(F.col("value").isNotNull(), F.col("n_"))
-    base = durable(counts.groupBy(*keys).agg(        # one row per group, used three times
-        F.sum("n_").alias("n"), F.coalesce(F.sum(known), F.lit(0)).alias("ok_"),
-        F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("n_")), F.sum(known)), F.lit(0.0)).alias("mean"),
-        F.count("value").alias("d_")))
-    off = F.col("value") - F.col("mean")
-    spread_of = counts.join(base.select(*keys, "mean", "ok_"), keys).groupBy(*keys).agg(
-        F.coalesce(F.sqrt(F.sum(off * off * F.col("n_")) / F.max(F.nullif("ok_", F.lit(0)))), F.lit(0.0)).alias("std"))
+    rows = finite_rows(long, keys)
+    base = durable(rows.groupBy(*keys).agg(        # one row per group
+        F.count(F.lit(1)).alias("n"), F.count("value").alias("ok_"),
+        F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"),
+        F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"),
+        F.approx_count_distinct("value").alias("d_")))
     probs = {**QUANTILES, **(extra_probs or {})}
-    pct = O.percentiles(counts, keys, "value", probs, spread=spread, max_groups=max_groups, weight="n_",
+    groups = base.count() if max_groups is None else max_groups
+    pct = O.percentiles(rows, keys, "value", probs, spread=spread, max_groups=groups,
                         sizes=base.select(*keys, "d_").filter("d_ > 0"))
-    out = base.join(spread_of, keys).join(pct, keys, "left")
+    out = O.attach(base, pct, keys, "left")
     return out.select(*keys, "mean", "std", (1 - F.col("ok_") / F.col("n")).alias("missing_rate"), "n",
                       *[F.coalesce(q, F.lit(0.0)).alias(q) for q in QUANTILES], *(extra_probs or {}))
 
@@ -75,7 +68,6 @@ def edges_from(columns: list[str]) -> Column:
 def baseline(long: DataFrame, keys: list[str], n_bins: int = K.PSI_BINS, *, max_groups: int | None = None) -> DataFrame:
     """Distribution statistics, frozen quantile edges and the shares of the bins."""
     cuts = {f"e{i}_": i / n_bins for i in range(n_bins + 1)}
-    long = value_counts(long, keys)
     stats = durable(distribution_stats(long, keys, max_groups=max_groups, extra_probs=cuts))
     stats = stats.withColumn("edges", edges_from(list(cuts))).drop(*cuts)
     props = proportions(long, keys, stats.select(*keys, "edges"))
@@ -86,15 +78,15 @@ def baseline(long: DataFrame, keys: list[str], n_bins: int = K.PSI_BINS, *, max_
 def proportions(long: DataFrame, keys: list[str], edges: DataFrame, by: list[str] = ()) -> DataFrame:
     """(by, keys, props): share of the finite values in each bin of frozen edges.
 
-    Edges have one row per feature. They are counted, and broadcast when few, so
+    Edges have one row per feature. They are measured, and broadcast when small, so
     that the long side is not moved by its hot keys.
     """
-    rows = value_counts(long, [*by, *keys]).filter("value IS NOT NULL")
+    rows = finite_rows(long, [*by, *keys]).filter("value IS NOT NULL")
     side = edges.filter(F.size("edges") >= 2)
     rows = rows.join(O.checked_broadcast(side), keys)
     bin_ = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1
     counts = rows.groupBy(*by, *keys, bin_.alias("bin"), (F.size("edges") - 1).alias("bins")).agg(
-        F.sum("n_").alias("c"))
+        F.count(F.lit(1)).alias("c"))
     packed = counts.groupBy(*by, *keys, "bins").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("t"))
     dense = F.transform(
@@ -119,7 +111,7 @@ def feature_drift(live: DataFrame, base: DataFrame, by: list[str], *, max_groups
     """One row per (by, feature) of the live rows that has a baseline."""
     keys = ["feature"]
     known = base.select("feature", "edges", F.col("props").alias("base_props_"))
-    live = value_counts(live.join(O.checked_broadcast(known.select("feature")), "feature", "left_semi"), [*by, *keys])
+    live = live.join(O.checked_broadcast(known.select("feature")), "feature", "left_semi")
     stats = distribution_stats(live, [*by, *keys], max_groups=max_groups)
     props = proportions(live, keys, known.select("feature", "edges"), by)
     out = stats.join(props, [*by, *keys], "left").join(O.checked_broadcast(known.drop("edges")), keys)
@@ -129,13 +121,13 @@ def feature_drift(live: DataFrame, base: DataFrame, by: list[str], *, max_groups
 
 def histogram(long: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
     """(keys, lo, hi, counts): equal-width counts, last bin closed; a constant spans +-0.5."""
-    rows = value_counts(long, keys).filter("value IS NOT NULL")
+    rows = finite_rows(long, keys).filter("value IS NOT NULL")
     ends = rows.groupBy(*keys).agg(F.min("value").alias("a_"), F.max("value").alias("b_")).select(
         *keys, F.when(F.col("a_") == F.col("b_"), F.col("a_") - 0.5).otherwise(F.col("a_")).alias("lo"),
         F.when(F.col("a_") == F.col("b_"), F.col("b_") + 0.5).otherwise(F.col("b_")).alias("hi"))
     at = F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
-    counts = rows.join(ends, keys).groupBy(*keys, "lo", "hi", at.cast("int").alias("bin")).agg(
-        F.sum("n_").alias("c"))
+    counts = O.attach(rows, O.checked_broadcast(ends), keys).groupBy(*keys, "lo", "hi", at.cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("c"))
     packed = counts.groupBy(*keys, "lo", "hi").agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))
     return packed.select(*keys, "lo", "hi", dense.alias("counts"))
@@ -143,7 +135,6 @@ def histogram(long: DataFrame, keys: list[str], bins: int = 20) -> DataFrame:
 
 def prediction_drift(live: DataFrame, base: DataFrame, by: list[str], bins: int = 20) -> DataFrame:
     """Feature drift of the single column ``prediction``, with a histogram per batch."""
-    live = value_counts(live, [*by, "feature"])
     return feature_drift(live, base, by).join(histogram(live, [*by, "feature"], bins), [*by, "feature"])
 
 

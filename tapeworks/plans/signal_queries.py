@@ -86,8 +86,7 @@ def drift_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 def feature_drift(spark, sf) -> DataFrame:
     base, live = drift_parts(spark, sf)
-    # quarters are calendar-bounded: at most 4 a year
-    return N.feature_drift(live, base, ["quarter"], max_groups=4 * 400 * len(M.DRIFT_FEATURES))
+    return N.feature_drift(live, base, ["quarter"])
 
 
 def q37_feature_psi(spark, sf):
