@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tapeworks.plans import market, model_queries, panel_oracle, panel_queries, signal_oracle, signal_queries
+from tapeworks.plans import job_queries, market, model_queries, panel_oracle, panel_queries, signal_oracle, signal_queries
 
 
 # The same query planned for groups of any size: one oracle for both.
@@ -22,9 +22,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(sorted({**panel_queries.QUERIES, **signal_queries.QUERIES, **model_queries.QUERIES}.items()))
+    return dict(sorted({**panel_queries.QUERIES, **signal_queries.QUERIES, **model_queries.QUERIES, **job_queries.QUERIES}.items()))
 
 
 def oracle_sql() -> dict:
-    sql = {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL}
+    sql = {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL, **job_queries.SQL}
     return {**sql, **{large: sql[plain] for large, plain in SAME_ROWS.items()}}

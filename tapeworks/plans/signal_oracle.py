@@ -9,7 +9,7 @@ from tapeworks.plans import market as M
 from tapeworks.plans.panel_oracle import (
     BARS, EXAMPLES, INDUSTRY, MONTHLY, SCORED, TICKER, cents, features, r6, rank, with_,
 )
-from tapeworks.plans.signal_queries import NOW, TRAIN_IC
+from tapeworks.plans.signal_queries import NOW
 
 PF = K.PRICE_FEATURES
 
@@ -242,16 +242,21 @@ SQL = {
         round(realized_return, 6) AS realized_return, realized_return IS NOT NULL AS matured FROM mt"""),
     "q39_rolling_ic": with_(ROLLING, f"""SELECT model_version, period_key, ts, "window", n_obs, {r6('spearman pearson ic_mean ic_std ic_ir')} FROM rolled"""),
     "q40_alert_decide": with_(ROLLING + ", " + FEATURE_DRIFT + f""",
-      lv AS (SELECT *, CASE WHEN count(*) OVER w3 = 3 AND max(ic_mean) OVER w3 < 0.5 * {TRAIN_IC} THEN 'RETRAIN' WHEN ic_mean < 0.5 * {TRAIN_IC} THEN 'CRITICAL'
-          WHEN ic_mean < 0.7 * {TRAIN_IC} THEN 'WARNING' ELSE 'ok' END AS level FROM rolled WHERE "window" = 60
+      tr AS (SELECT avg(spearman) AS train FROM pics WHERE period_key <= 6),
+      lv AS (SELECT *, ic_mean / train AS ratio, year(ts) || '-Q' || quarter(ts) AS at_q, CASE WHEN train IS NULL OR train <= 0 THEN 'ok'
+          WHEN count(*) OVER w3 = 3 AND max(ic_mean) OVER w3 < 0.5 * train THEN 'RETRAIN' WHEN ic_mean < 0.5 * train THEN 'CRITICAL'
+          WHEN ic_mean < 0.7 * train THEN 'WARNING' ELSE 'ok' END AS level, train FROM rolled, tr WHERE "window" = 60
           WINDOW w3 AS (ORDER BY ts, period_key ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)),
-      ic AS (SELECT * FROM lv ORDER BY ts DESC, period_key DESC LIMIT 1),
+      pd AS (SELECT period, psi_raw AS ppsi, status AS pstatus, year(began) || '-Q' || quarter(began) AS at_q, began
+          FROM ({with_(PRED_DRIFT, "SELECT period, psi_raw, status FROM drift")}) JOIN (SELECT period, min(start_dt) AS began FROM scored GROUP BY 1) USING (period)),
       dq AS (SELECT quarter, max(psi_raw) AS mx, coalesce(list(feature ORDER BY feature) FILTER (status = 'critical'), []) AS cr,
           coalesce(list(feature ORDER BY feature) FILTER (status = 'warning'), []) AS wa FROM drift GROUP BY 1),
-      j AS (SELECT dq.*, ic.model_version, period_key, ic_mean, level, ic_mean / {TRAIN_IC} AS ratio,
-          CAST(level IN ('RETRAIN', 'CRITICAL') AS INT) + CAST(len(cr) > 0 AS INT) + CAST(mx >= 0.25 AS INT) AS r,
-          CAST(level = 'WARNING' AS INT) + CAST(len(cr) = 0 AND len(wa) > 0 AS INT) + CAST(mx >= 0.10 AND mx < 0.25 AS INT) AS w FROM dq, ic)""",
-      """SELECT model_version, quarter, period_key AS ic_period, round(ic_mean, 6) AS rolling_ic, level AS ic_level, round(ratio, 6) AS ic_ratio, round(mx, 6) AS max_psi,
+      j AS (SELECT dq.*, period_key, ic_mean, level, CASE WHEN train > 0 THEN ratio END AS ratio, ppsi, pstatus,
+          coalesce(CAST(level IN ('RETRAIN', 'CRITICAL') AS INT), 0) + CAST(len(cr) > 0 AS INT) + coalesce(CAST(pstatus = 'critical' AS INT), 0) AS r,
+          coalesce(CAST(level = 'WARNING' AS INT), 0) + CAST(len(cr) = 0 AND len(wa) > 0 AS INT) + coalesce(CAST(pstatus = 'warning' AS INT), 0) AS w
+        FROM dq LEFT JOIN LATERAL (SELECT * FROM lv WHERE lv.at_q <= dq.quarter ORDER BY ts DESC, period_key DESC LIMIT 1) ic ON true
+          LEFT JOIN LATERAL (SELECT * FROM pd WHERE pd.at_q <= dq.quarter ORDER BY began DESC, period DESC LIMIT 1) p ON true)""",
+      f"""SELECT '{M.MODEL}+enc:v1' AS model_version, quarter, period_key AS ic_period, round(ic_mean, 6) AS rolling_ic, level AS ic_level, round(ratio, 6) AS ic_ratio, round(mx, 6) AS max_psi,
         CASE WHEN r > 0 THEN 'retrain' WHEN w > 0 THEN 'watch' ELSE 'healthy' END AS status,
         CASE WHEN r > 0 THEN round(r / 3, 2) WHEN w > 0 THEN round(w / 3, 2) ELSE 1.0 END AS confidence,
         array_to_string(cr, ',') AS critical, array_to_string(wa, ',') AS warning,
@@ -261,7 +266,7 @@ SQL = {
             WHEN 'WARNING' THEN 'Rolling IC deteriorating (' || printf('%.2f', ratio) || '× training IC)' END,
           CASE WHEN len(cr) > 0 THEN 'Critical feature drift (PSI≥0.25): ' || array_to_string(cr[1:5], ', ')
             WHEN len(wa) > 0 THEN 'Moderate feature drift on ' || len(wa) || ' feature(s)' END,
-          CASE WHEN mx >= 0.25 THEN 'Prediction distribution drift (PSI=' || printf('%.2f', mx) || ')' WHEN mx >= 0.10 THEN 'Mild prediction distribution drift' END,
+          CASE pstatus WHEN 'critical' THEN 'Prediction distribution drift (PSI=' || printf('%.2f', ppsi) || ')' WHEN 'warning' THEN 'Mild prediction distribution drift' END,
           CASE WHEN r = 0 AND w = 0 THEN 'IC stable and no material drift' END] IF x IS NOT NULL], ' | ') AS reasons FROM j"""),
     "q44_sector_norm": """SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Consumer Discretionary' WHEN 'MACHINERY' THEN 'Industrials'
         WHEN 'HOUSEHOLD' THEN 'Consumer Staples' ELSE 'Unknown' END AS sector FROM customer""",

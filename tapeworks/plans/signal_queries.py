@@ -93,21 +93,20 @@ def q37_feature_psi(spark, sf):
     return six(feature_drift(spark, sf).drop("n"), 4)
 
 
-def matured(spark, sf) -> tuple[DataFrame, int]:
-    series = durable(M.bars(spark, sf))
-    rows = durable(L.period_panel(series))
-    spread = O.needs_spread(rows, ["period"])
-    ranked = L.ranked_panel(rows, spread=spread).withColumn("model_score", M.mean_rank())
-    preds = durable(M.predictions(ranked))
-    return N.mature_labels(preds, series, F.to_date(F.lit(NOW))), spread
+def matured(spark, sf, rows: DataFrame | None = None, spread: int = 0) -> tuple[DataFrame, int]:
+    """Predictions with their realised returns; ``rows``: scored rows, where a caller has them."""
+    if rows is None:
+        rows, spread = M.scored(spark, sf)
+    preds = durable(M.predictions(rows))
+    return N.mature_labels(preds, durable(M.bars(spark, sf)), F.to_date(F.lit(NOW))), spread
 
 
 def q38_mature_labels(spark, sf):
     return six(matured(spark, sf)[0])
 
 
-def rolling(spark, sf) -> DataFrame:
-    rows, spread = matured(spark, sf)
+def rolling(spark, sf, *scored) -> DataFrame:
+    rows, spread = matured(spark, sf, *scored)
     return N.rolling_ic(N.period_ics(durable(rows), spread=spread))
 
 
@@ -115,19 +114,38 @@ def q39_rolling_ic(spark, sf):
     return six(rolling(spark, sf))
 
 
-TRAIN_IC = 0.05
+BASE_PERIODS = 6      # the periods whose predictions and correlations form the captured baseline
 
 
-def states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(verdict rows per quarter, rolling rows, drift rows)."""
-    roll = N.classify_ic(rolling(spark, sf).withColumn("train_ic", F.lit(TRAIN_IC)))
-    roll = durable(roll)
-    ic = N.evaluate_ic(roll)
+def quarter_of(d: str):
+    return F.concat_ws("-Q", F.year(d).cast("string"), F.quarter(d).cast("string"))
+
+
+def states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(verdict rows per quarter, rolling rows, drift rows, prediction drift rows).
+
+    Every quarter sees the correlation and the prediction drift as they stood then, next to its own
+    feature drift; the correlation is held against the mean of the baseline periods.
+    """
+    rows, spread = M.scored(spark, sf)
+    roll = durable(rolling(spark, sf, rows, spread))
+    first = roll.filter((F.col("window") == K.IC_PRIMARY_WINDOW) & (F.col("period_key") <= BASE_PERIODS))
+    train_ic = first.agg(F.avg("spearman")).first()[0]
+    roll = durable(N.classify_ic(roll.withColumn("train_ic", F.lit(train_ic).cast("double"))))
+    ic = roll.filter(F.col("window") == K.IC_PRIMARY_WINDOW).select(
+        quarter_of("ts").alias("quarter"), F.struct("ts", "period_key").alias("at"), F.struct(
+            F.col("period_key").alias("ic_period"), F.col("ic_mean").alias("rolling_ic"), F.col("level").alias("ic_level"),
+            F.col("ratio").alias("ic_ratio")).alias("s"))
+    begun = rows.groupBy("period").agg(F.min("start_dt").alias("began"))
+    drifted = durable(prediction_drift(spark, sf, rows))
+    pred = drifted.join(begun, "period").select(
+        quarter_of("began").alias("quarter"), F.struct("began", "period").alias("at"), F.struct(
+            F.col("status").alias("prediction_status"), F.col("psi").alias("prediction_psi")).alias("s"))
     drift = durable(feature_drift(spark, sf))
-    per_quarter = N.evaluate_drift(drift, ["quarter"]).withColumn("model_version", F.lit(_version()))
-    out = per_quarter.join(ic, "model_version", "left").withColumns(
-        {"prediction_status": N.psi_status("max_psi"), "prediction_psi": F.col("max_psi")})
-    return N.decide(out), roll, drift
+    out = N.evaluate_drift(drift, ["quarter"])
+    for events in (ic, pred):
+        out = N.as_of(out, events, "quarter", "at", "s")
+    return N.decide(out.withColumn("model_version", F.lit(_version()))), roll, drift, drifted
 
 
 def _version() -> str:
@@ -135,7 +153,7 @@ def _version() -> str:
 
 
 def q40_alert_decide(spark, sf):
-    out, _, _ = states(spark, sf)
+    out = states(spark, sf)[0]
     return six(out.select(
         "model_version", "quarter", "ic_period", "rolling_ic", "ic_level", "ic_ratio", "max_psi", "status", "confidence",
         F.array_join("critical_features", ",").alias("critical"), F.array_join("warning_features", ",").alias("warning"),
@@ -224,15 +242,14 @@ def q52_freshness(spark, sf):
     return six(P.freshest(ev, ["user_id"], "ts", at, ttl_hours=2, tie="event_id"))
 
 
-def prediction_rows(spark, sf) -> DataFrame:
-    rows, _spread = M.scored(spark, sf)
+def prediction_rows(rows: DataFrame) -> DataFrame:
     return rows.select("period", F.lit("prediction").alias("feature"), F.col("model_score").alias("value"))
 
 
-def prediction_drift(spark, sf) -> DataFrame:
-    rows = durable(prediction_rows(spark, sf))
-    base = durable(N.baseline(rows.filter("period <= 6"), ["feature"], max_groups=1))
-    return N.prediction_drift(rows.filter("period > 6"), base, ["period"])
+def prediction_drift(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+    rows = prediction_rows(M.scored(spark, sf)[0] if rows is None else rows)
+    base = durable(N.baseline(rows.filter(F.col("period") <= BASE_PERIODS), ["feature"], max_groups=1))
+    return N.prediction_drift(rows.filter(F.col("period") > BASE_PERIODS), base, ["period"])
 
 
 def q53_prediction_drift(spark, sf):

@@ -66,15 +66,17 @@ def mature_pending(predictions: DataFrame, matured: DataFrame | None, bars: Data
 
 
 def maturation_stream(new_bars: DataFrame, predictions_path: str, matured_path: str, bars_of, now, checkpoint: str) -> StreamingQuery:
-    """Each arrival of bars matures the open predictions of the tickers it brings.
+    """Each arrival of bars matures the open predictions in the log that are due and have their bars.
 
-    ``bars_of(spark)`` reads the full bar table. Ids already written are left out
-    by an anti-join, so replays are harmless and no year of state is held.
+    The log drives it: a name that trades no more still matures from the bars already
+    stored. ``bars_of(spark)`` reads the full bar table, of which only the names with open
+    predictions are used. Ids already written are left out by an anti-join, so replays are
+    harmless and no year of state is held.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        names = batch.select("ticker").distinct()
-        preds = spark.read.parquet(predictions_path).join(names, "ticker", "left_semi")
+        preds = spark.read.parquet(predictions_path)
+        names = preds.select("ticker").distinct()
         try:
             done = spark.read.parquet(matured_path)
         except Exception as err:                      # first run: no table yet
