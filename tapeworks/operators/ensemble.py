@@ -9,16 +9,18 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, RobustScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeworks import constants as K
 from tapeworks.operators import books as B
+from tapeworks.operators import cross_section as X
 from tapeworks.operators import labels as L
 from tapeworks.operators import ordering as O
 from tapeworks.session import durable
@@ -68,6 +70,24 @@ def class_counts(df: DataFrame) -> dict[int, int]:
     return {r["label"]: r["count"] for r in df.groupBy("label").count().collect()}
 
 
+def scaling(rows: DataFrame, features: list[str], total: int) -> SQLTransformer:
+    """Median imputing and robust scaling as one projection.
+
+    Median and quartiles are exact; groups too large for one task get them from bucket counts, so no column is
+    gathered anywhere. A column without spread is only centred; one without values becomes 0.
+    """
+    spread = total > O.GROUP_ROWS_IN_ONE_TASK
+    med = X.column_percentiles(rows, [], features, {"m": 0.5}, spread=spread).first()
+    filled = rows.fillna({c: med[f"{c}_m"] for c in features if med[f"{c}_m"] is not None})
+    cuts = X.column_percentiles(filled, [], features, {"q1": 0.25, "q2": 0.5, "q3": 0.75}, spread=spread).first()
+    parts = []
+    for c in features:
+        middle, low, high = (cuts[f"{c}_{q}"] or 0.0 for q in ("q2", "q1", "q3"))
+        width = high - low if high > low else 1.0
+        parts.append(f"(coalesce(`{c}`, {middle!r}D) - {middle!r}D) / {width!r}D AS `{c}__f`")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
+
+
 def fit(train: DataFrame, features: list[str], settings: Settings, counts: dict[int, int] | None = None) -> Fitted:
     """Median imputing, robust scaling, then a balanced forest and boosted trees."""
     counts = counts or class_counts(train)
@@ -77,11 +97,7 @@ def fit(train: DataFrame, features: list[str], settings: Settings, counts: dict[
     rows = train.select(*[F.col(c).cast("double").alias(c) for c in features],
                         F.col("label").cast("double").alias("label"), weight.alias("weight"))
     filled = [f"{c}__f" for c in features]
-    prepare = [
-        Imputer(inputCols=features, outputCols=filled, strategy="median", relativeError=0.0),
-        VectorAssembler(inputCols=filled, outputCol="raw_vector"),
-        RobustScaler(inputCol="raw_vector", outputCol="features", withCentering=True, relativeError=0.0),
-    ]
+    prepare = [scaling(rows, features, total), VectorAssembler(inputCols=filled, outputCol="features")]
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", numTrees=settings.trees, maxDepth=settings.depth,
         minInstancesPerNode=10, featureSubsetStrategy="sqrt", seed=settings.seed)
@@ -111,7 +127,8 @@ def walk_forward(panel: DataFrame, features: list[str], *, embargo: int, setting
     """Out-of-sample scores: a fresh model per period, trained on periods <= t - embargo - 1.
 
     ``panel`` has period, label and the features. The loop is over periods; the
-    fits of several periods are submitted at once.
+    fits of several periods are submitted at once. ``train_from``, ``train_to`` and
+    ``train_rows`` say what each score's model was fitted on.
     """
     cached = training_cache(panel)
     per = {r["period"]: (r["n"], r["pos"]) for r in cached.groupBy("period").agg(
@@ -122,20 +139,22 @@ def walk_forward(panel: DataFrame, features: list[str], *, embargo: int, setting
         pos = sum(per[p][1] for p in train)
         neg = sum(per[p][0] for p in train) - pos
         if len(train) >= min_train and pos >= 2 and neg >= 2:
-            tests.append((t, {1: int(pos), 0: int(neg)}))
+            tests.append((t, train, {1: int(pos), 0: int(neg)}))
 
     def step(test):
-        t, counts = test
-        model = fit(cached.filter(F.col("period") <= t - embargo - 1), features, settings, counts)
-        return predict(model, cached.filter(F.col("period") == t)).select(*keep, "model_score")
+        t, train, counts = test
+        known = F.col("period") <= t - embargo - 1
+        model = fit(cached.filter(known), features, settings, counts)
+        return predict(model, cached.filter(F.col("period") == t)).select(
+            *keep, "model_score", F.lit(min(train)).cast("long").alias("train_from"),
+            F.lit(max(train)).cast("long").alias("train_to"), F.lit(sum(counts.values())).cast("long").alias("train_rows"))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
         scored = list(pool.map(step, tests))
-    if not scored:
-        return cached.select(*keep).withColumn("model_score", F.lit(0.5)).limit(0)
-    out = scored[0]
-    for part in scored[1:]:
-        out = out.unionByName(part)
+    empty = cached.select(*keep, F.lit(0.5).alias("model_score"), *[
+        F.lit(None).cast("long").alias(c) for c in ("train_from", "train_to", "train_rows")]).limit(0)
+    out = durable(reduce(DataFrame.unionByName, scored, empty))
+    cached.unpersist()
     return out
 
 
@@ -193,6 +212,7 @@ def fit_with_cv(panel: DataFrame, features: list[str], settings: Settings, embar
     model = fit(cached, features, settings)
     model.source = source
     model.report = {**report, "thresholds": thresholds, "rows": cached.count()}
+    cached.unpersist()
     return model
 
 
