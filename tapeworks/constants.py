@@ -15,6 +15,8 @@ MOMENTUM_BARS = {"mom_1m": 21, "mom_3m": 63, "mom_6m": 126, "mom_12m": 252}
 BASE_CHANNELS = ["logret", "vol"]
 MARKET_CHANNELS = ["rel_volume", "log_dollar_vol", "excess_ret_vs_market", "rel_strength_vs_sector"]
 EVENT_CHANNELS = ["earn_surprise_pulse", "analyst_net_buy_ts"]
+CANDIDATE_BARS = 60
+CANDIDATE_NAMES = 10
 
 # --- calendars, horizons, costs ----------------------------------------------
 BARS_PER_MONTH = 21

@@ -104,13 +104,20 @@ def reference_ranks(live: DataFrame, panel: DataFrame, ids: list[str], cols: lis
 def standardized_embeddings(emb: DataFrame, keys: list[str], ids: list[str], vector: str = "embedding") -> DataFrame:
     """(keys, ids, dim, z): z-score of each dimension in its group, sample deviation.
 
-    Groups combine on the map side; a dimension below 1e-8 spread, or alone in
+    Dimensions are combined on the map side to one vector of means and deviations per group. Those few
+    vectors go to the rows, which are scaled where they are; a dimension below 1e-8 spread, or alone in
     its group, gives 0.
     """
-    long = emb.select(*keys, *ids, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    stats = long.groupBy(*keys, "dim").agg(F.avg("v").alias("mu_"), F.stddev_samp("v").alias("sd_"))
-    z = F.when(F.col("sd_") >= 1e-8, (F.col("v") - F.col("mu_")) / F.col("sd_"))
-    return long.join(stats, [*keys, "dim"]).select(*keys, *ids, "dim", F.coalesce(z, F.lit(0.0)).alias("z"))
+    long = emb.select(*keys, F.posexplode(vector).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+    stats = long.groupBy(*keys, "dim").agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"))
+    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "mu", "sd"))).alias("stats_"))
+
+    def scaled(v, i):
+        s = F.get("stats_", i)
+        return F.coalesce(F.when(s["sd"] >= 1e-8, (v.cast("double") - s["mu"]) / s["sd"]), F.lit(0.0))
+
+    rows = O.attach(emb.select(*keys, *ids, vector), O.checked_broadcast(packed), keys)
+    return rows.select(*keys, *ids, F.posexplode(F.transform(vector, scaled)).alias("dim", "z"))
 
 
 def median_labels(df: DataFrame, keys: list[str], *, spread: bool | int, inclusive: bool, value: str = "fwd_ret") -> DataFrame:

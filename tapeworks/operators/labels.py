@@ -61,6 +61,19 @@ def period_panel(
     )
 
 
+def with_embeddings(panel: DataFrame, emb: DataFrame, dims: int, rebalance: int = 63, vector: str = "embedding") -> DataFrame:
+    """Panel rows with ``emb_0 .. emb_<dims-1>``: the embedding of the bar before the period's start, each
+    dimension standardised within the period. ``emb``: (ticker, end_bar, embedding); without one, zeros."""
+    rows = emb.withColumn("period", ((F.col("end_bar") + 1) / rebalance).cast("bigint")).filter(
+        (F.col("end_bar") + 1) % rebalance == 0)
+    held = rows.join(panel.select("period", "ticker"), ["period", "ticker"], "left_semi")
+    z = X.standardized_embeddings(held, ["period"], ["ticker"], vector)
+    wide = z.groupBy("period", "ticker").agg(*[
+        F.max(F.when(F.col("dim") == i, F.col("z"))).alias(f"emb_{i}") for i in range(dims)])
+    return X.neutral_fill(panel.join(wide, ["period", "ticker"], "left").select(
+        "period", "ticker", *[f"emb_{i}" for i in range(dims)])).join(panel, ["period", "ticker"])
+
+
 def ranked_panel(panel: DataFrame, *, spread: bool | int, min_names: int = 2) -> DataFrame:
     """Ranks per period (0.5 where a column has none), median label, benchmark."""
     out = X.pct_ranks(panel, ["period"], ["ticker"], K.PRICE_FEATURES, spread=spread)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeworks import constants as K
 from tapeworks.functions.signals import fixed
+from tapeworks.session import durable
 
 
 def composition(holdings: DataFrame) -> DataFrame:
@@ -47,19 +50,46 @@ def concentration_flags(comp: DataFrame) -> DataFrame:
 
 
 def exclude_held(candidates: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    return candidates.join(held.select(*keys), keys, "left_anti")
+    """Candidates that are not held; tickers compare in upper case without outer blanks."""
+    plain = lambda c: F.upper(F.trim(c)) if c == "ticker" else F.col(c)
+    owned = held.select(*[plain(k).alias(f"{k}_held") for k in keys]).distinct()
+    same = reduce(lambda a, b: a & b, [plain(k) == F.col(f"{k}_held") for k in keys])
+    return candidates.join(owned, same, "left_anti")
+
+
+def eligible(candidates: DataFrame, bars: str = "bars", min_bars: int = K.CANDIDATE_BARS, min_names: int = K.CANDIDATE_NAMES) -> DataFrame:
+    """Candidates with enough history; none at all where too few names are left to rank against each other."""
+    rows = candidates.filter(F.col(bars) >= min_bars)
+    return rows if rows.count() >= min_names else rows.limit(0)
+
+
+def holdings_report(held: DataFrame, scored: DataFrame, n: int = 5) -> DataFrame:
+    """(portfolio_id, section, item, value, text): scored holdings, composition, flags and additions.
+
+    ``held``: portfolio_id, ticker, sector, weight; ``scored``: ticker, sector, composite_score, signal.
+    """
+    parts = durable(composition(held))
+    names = held.select("portfolio_id", F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    row = lambda section, item, value, text: ["portfolio_id", F.lit(section).alias("section"), F.col(item).alias("item"),
+                                              F.col(value).cast("double").alias("value"), F.col(text).alias("text")]
+    own = names.join(scored, "ticker", "left").select(*row("holding", "ticker", "composite_score", "signal"))
+    comp = parts.withColumn("none", F.lit(None).cast("string")).select(*row("sector", "sector", "pct", "none"))
+    flags = concentration_flags(parts).select(*row("flag", "sector", "pct", "message"))
+    adds = recommend_additions(parts, names, scored, n).select(*row("addition", "ticker", "composite_score", "rationale"))
+    return own.unionByName(comp).unionByName(flags).unionByName(adds)
 
 
 def recommend_additions(comp: DataFrame, held: DataFrame, candidates: DataFrame, n: int = 5, per_sector: int = 2) -> DataFrame:
     """(portfolio_id, rank, ticker, sector, composite_score, rationale).
 
-    ``held``: portfolio_id, ticker (distinct). ``candidates``: ticker, sector,
+    ``held``: portfolio_id, ticker. ``candidates``: ticker, sector,
     composite_score, signal, one row per ticker. No portfolio x candidate pairs
     are built: a portfolio that holds h candidates of a sector finds its two
     best free names among the first h + 2 of that sector, and those are fetched
     by (sector, place). That is exact for any number of candidates.
     """
     known = candidates.filter(F.col("sector").isin(K.SECTORS))
+    held = held.select("portfolio_id", F.upper(F.trim("ticker")).alias("ticker")).distinct()
     taken = (
         held.join(known.select("ticker", "sector"), "ticker")
         .groupBy("portfolio_id", "sector").agg(F.count(F.lit(1)).alias("taken_"))

@@ -182,16 +182,18 @@ def window_ends(bars: DataFrame, window: int = 252, step: int = 21, cutoff=None)
     return ends.select("ticker", F.col("bar").alias("end_bar"))
 
 
-def window_rows(bars: DataFrame, window: int = 252, step: int = 21, cutoff=None) -> DataFrame:
+def window_rows(bars: DataFrame, window: int = 252, step: int = 21, cutoff=None, first: int | None = None) -> DataFrame:
     """Each bar once per window that holds it: (ticker, end_bar, bar, dt, close, ...).
 
     A bar b is in the windows ending in [b, b + window]. Their ends follow from
     arithmetic, so the rows are exploded in place: no range join. The first
-    bar of a window only serves the first return.
+    bar of a window only serves the first return. Windows end at ``first`` (default:
+    ``window``, the first full one) and every ``step`` bars later.
     """
+    first = window if first is None else first
     last = F.max("bar").over(by_ticker())
     first_end = F.greatest(
-        F.lit(window), F.ceil((F.col("bar") - window) / step) * step + window)
+        F.lit(first), F.ceil((F.col("bar") - first) / step) * step + first)
     top_end = F.least(F.col("bar") + window, last)
     ends = F.when(first_end <= top_end, F.sequence(first_end, top_end, F.lit(step).cast("bigint")))
     out = bars.withColumn("ends_", ends).withColumn("end_bar", F.explode("ends_")).drop("ends_")
@@ -209,6 +211,39 @@ def base_window_channels(rows: DataFrame, std_win: int = 20) -> DataFrame:
     return out.withColumn("vol", trailing_std("logret", std_win, order)).drop("first_")
 
 
+SOURCE_OF = {"rel_volume": "volume", "log_dollar_vol": "volume", "excess_ret_vs_market": "market_close",
+             "rel_strength_vs_sector": "sector_close", "earn_surprise_pulse": "pulse", "analyst_net_buy_ts": "net_buy"}
+
+
+def window_channels(rows: DataFrame, spec: list[str], win: int = 20) -> DataFrame:
+    """The channels of ``spec`` for window rows: (ticker, end_bar, bar, <spec>...).
+
+    Bars bring their sources as columns: ``close``, ``volume``, reference closes known that day
+    (``market_close``, ``sector_close``), and the event values ``pulse`` and ``net_buy``. A channel whose
+    source column is missing, or that is not known here, is zero. Statistics restart at the cut.
+    """
+    order = Window.partitionBy("ticker", "end_bar").orderBy("bar")
+    have = {c for c in spec if SOURCE_OF.get(c, "close") in rows.columns}
+    own = {"logret": channel_returns("close", order), "first_": F.lag("bar").over(order).isNull()}
+    for c in ("market_close", "sector_close"):
+        if c in rows.columns and any(SOURCE_OF.get(x) == c for x in have):
+            own[f"{c}_ret"] = channel_returns(c, order)
+    out = rows.withColumns(own).filter(~F.col("first_"))
+    if "rel_volume" in have:
+        out = out.withColumn("median_", trailing_median("volume", win, order))
+    made = {
+        "logret": lambda: F.col("logret"), "vol": lambda: trailing_std("logret", win, order),
+        "rel_volume": lambda: relative_volume(F.col("volume"), F.col("median_")),
+        "log_dollar_vol": lambda: log_dollar_volume(F.col("close"), F.col("volume")),
+        "excess_ret_vs_market": lambda: F.col("logret") - F.col("market_close_ret"),
+        "rel_strength_vs_sector": lambda: F.when(F.col("sector_close").isNotNull(), F.col("logret") - F.col("sector_close_ret")),
+        "earn_surprise_pulse": lambda: F.col("pulse"), "analyst_net_buy_ts": lambda: F.col("net_buy"),
+    }
+    zero = F.lit(0.0)
+    return out.select("ticker", "end_bar", "bar", *[
+        (F.coalesce(made[c](), zero) if c in have and c in made else zero).alias(c) for c in spec])
+
+
 def standardized_windows(channels: DataFrame, cols: list[str]) -> DataFrame:
     """Z-score per window and channel (population deviation, below 1e-8 counts as one)."""
     per = Window.partitionBy("ticker", "end_bar")
@@ -245,7 +280,9 @@ def encoded_windows(channels: DataFrame, spec: list[str], encode, dim: int, wind
         pdf = pdf.sort_values("bar")
         mat = pdf[[f"{c}_z" for c in spec]].to_numpy(dtype=np.float32)[-window:]
         mat = np.pad(mat, ((window - len(mat), 0), (0, 0)))
-        vec = np.asarray(encode(mat), dtype=np.float64)[:dim]
+        vec = np.asarray(encode(mat), dtype=np.float64)
+        if vec.shape != (dim,):
+            raise ValueError(f"the encoder gave shape {vec.shape}, not ({dim},)")
         return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]],
                              "end_bar": [int(pdf["end_bar"].iloc[0])],
                              "embedding": [vec.tolist()]})

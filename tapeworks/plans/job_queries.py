@@ -15,11 +15,15 @@ from tapeworks.operators import books as B
 from tapeworks.operators import cross_section as X
 from tapeworks.operators import labels as L
 from tapeworks.operators import monitoring as N
+from tapeworks.operators import ordering as O
+from tapeworks.operators import portfolio as D
 from tapeworks.operators import scoring as R
 from tapeworks.operators import timeseries as TS
 from tapeworks.plans import market as M
+from tapeworks.plans import panel_queries as PQ
 from tapeworks.plans import signal_queries as Q
-from tapeworks.plans.panel_oracle import BARS, MONTHLY, PX, SCORED, TICKER, W, features, with_
+from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, features, with_
+from tapeworks.plans.panel_oracle import SQL as PANEL_SQL
 from tapeworks.plans.panel_queries import six
 from tapeworks.plans.signal_oracle import MATURED, RESULTS
 from tapeworks.plans.signal_oracle import SQL as SIGNAL_SQL
@@ -170,6 +174,56 @@ def q90_dashboard(spark, sf):
         p("$.prediction_drift.status").alias("prediction_status"), p("$.recommendation.status").alias("verdict")))
 
 
+ALL_CHANNELS = [*K.BASE_CHANNELS, *K.MARKET_CHANNELS, *K.EVENT_CHANNELS]
+
+
+def q93_channel_windows(spark, sf):
+    """All eight channels of each window, standardised; the values of the last bar, and a ninth without a source."""
+    days = durable(M.daily(spark, sf))
+    bars = durable(M.bars(spark, sf, days))
+    sectors = M.industries(spark, sf).select("ticker", "sector")
+    px = bars.select("ticker", "dt", "close")
+    # every bar is one of the days that the reference series are made of, so the match is by day; the series
+    # are one row per date (and sector), broadcast when measured to be small
+    market = O.checked_broadcast(M.market_series(px).withColumnRenamed("close", "market_close"))
+    by_sector = O.checked_broadcast(M.sector_series(px, sectors).withColumnRenamed("close", "sector_close"))
+    events = PQ.earnings_pulse(px.select("ticker", "dt"), M.earnings(spark, sf, days)).select(
+        "ticker", "dt", F.col("earn_surprise_pulse").alias("pulse"))
+    ratings = PQ.analyst_net(px.select("ticker", "dt"), M.analyst(spark, sf, days)).select(
+        "ticker", "dt", F.col("analyst_net_buy_ts").alias("net_buy"))
+    rows = (bars.join(events, ["ticker", "dt"]).join(ratings, ["ticker", "dt"])
+            .join(O.checked_broadcast(sectors), "ticker", "left").join(market, "dt", "left").join(by_sector, ["sector", "dt"], "left"))
+    spec = [*ALL_CHANNELS, "absent"]
+    z = TS.standardized_windows(TS.window_channels(TS.window_rows(rows), spec), spec)
+    return six(z.groupBy("ticker", "end_bar").agg(
+        F.count(F.lit(1)).alias("steps"), *[F.max_by(f"{c}_z", "bar").alias(c) for c in spec]))
+
+
+def q94_panel_embeddings(spark, sf):
+    """Window embeddings of the bar before each period, standardised in the period, next to the panel's returns."""
+    bars = durable(M.bars(spark, sf))
+    panel = durable(L.period_panel(bars).select("period", "ticker", "fwd_ret"))
+    rows = TS.window_rows(bars.select("ticker", "dt", "close", "bar"), step=63, first=62)
+    emb = TS.window_embedding(TS.base_window_channels(rows))
+    return six(L.with_embeddings(panel, emb, 4))
+
+
+def q95_track_record(spark, sf):
+    """The record shown with the insights, from the backtest report."""
+    best, rows, spread = PQ.top(spark, sf)
+    report = B.backtest_report(best, B.spearman_ic(rows, ["period"], ["ticker"], spread=spread), B.hit_rate(rows, spread=spread), PQ.bench(rows))
+    bands = B.band_hit_rates(B.period_examples(rows, spread=spread))
+    _, record = R.insights(M.results(spark, sf), bands, report)
+    return six(record.drop("interpretation"))
+
+
+def q96_holdings_report(spark, sf):
+    """Scored holdings, composition, flags and additions of every portfolio, from candidates with enough history."""
+    raw = M.latest_raw(spark, sf).select("ticker", (F.col("bar") + 1).alias("bars"))
+    scored = M.results(spark, sf).select("ticker", "sector", "composite_score", "signal").join(raw, "ticker")
+    return six(D.holdings_report(durable(M.holdings(spark, sf)), durable(D.eligible(durable(scored)).drop("bars"))))
+
+
 SNAPSHOT = features("bars", "snapshot")
 SQL = {
     "q77_price_store": f"WITH {PX} SELECT ticker, dt, close, volume FROM px WHERE ticker IN {(*WANTED, *REFERENCE)} AND ticker <> '7203.T'",
@@ -197,6 +251,41 @@ SQL = {
     "q88_maturation_stream": with_(MATURED, """SELECT pred_id, model_version, period_key, predicted_at, ticker, prediction, horizon_days,
         round(realized_return, 6) AS realized_return FROM mt WHERE realized_return IS NOT NULL"""),
 }
+_Z = ", ".join(f"({c} - avg({c}) OVER p) / CASE WHEN stddev_pop({c}) OVER p < 1e-8 THEN 1 ELSE stddev_pop({c}) OVER p END AS {c}_z" for c in ALL_CHANNELS)
+SQL["q93_channel_windows"] = with_(REF + f""",
+  ev AS ({PANEL_SQL['q08_earnings_pulse'].replace('round(coalesce(', '(coalesce(').replace(', 0), 6) AS earn', ', 0)) AS earn')}),
+  an AS ({PANEL_SQL['q09_analyst_net'].replace('round(coalesce(', '(coalesce(').replace(', 0), 6) AS analyst', ', 0)) AS analyst')}),
+  src AS (SELECT refs.ticker, refs.dt, refs.bar, close, volume, mk, sc, earn_surprise_pulse, analyst_net_buy_ts
+    FROM refs JOIN ev USING (ticker, dt) JOIN an USING (ticker, dt)),
+  wr AS (SELECT e.ticker, e.bar AS end_bar, b.* EXCLUDE (ticker) FROM src e JOIN src b ON b.ticker = e.ticker
+    AND b.bar BETWEEN e.bar - 252 AND e.bar WHERE e.bar >= 252 AND (e.bar - 252) % 21 = 0),
+  wl AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER w), 0) AS logret, coalesce(ln(mk) - ln(lag(mk) OVER w), 0) AS mret,
+    coalesce(ln(sc) - ln(lag(sc) OVER w), 0) AS sret, lag(bar) OVER w AS pb FROM wr WINDOW w AS (PARTITION BY ticker, end_bar ORDER BY bar)),
+  wm AS (SELECT *, CASE WHEN count(*) OVER w >= 2 THEN stddev_pop(logret) OVER w ELSE 0 END AS vol, median(volume) OVER w AS m FROM wl WHERE pb IS NOT NULL
+    WINDOW w AS (PARTITION BY ticker, end_bar ORDER BY bar ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+  wc AS (SELECT ticker, end_bar, bar, logret, vol, CASE WHEN volume > 0 AND m > 0 THEN ln(volume / m) ELSE 0 END AS rel_volume,
+    CASE WHEN close * volume > 0 THEN ln(close * volume) ELSE 0 END AS log_dollar_vol, logret - mret AS excess_ret_vs_market,
+    logret - sret AS rel_strength_vs_sector, earn_surprise_pulse, analyst_net_buy_ts FROM wm),
+  z AS (SELECT ticker, end_bar, bar, {_Z} FROM wc WINDOW p AS (PARTITION BY ticker, end_bar))""",
+  f"""SELECT ticker, end_bar, count(*) AS steps, {', '.join(f'round(arg_max({c}_z, bar), 6) + 0.0 AS {c}' for c in ALL_CHANNELS)}, 0.0 AS absent FROM z GROUP BY 1, 2""")
+_E = ["avg(logret)", "stddev_pop(logret)", "arg_max(logret, bar)", "count(*)::DOUBLE"]
+SQL["q94_panel_embeddings"] = with_(PANEL + """,
+  wr AS (SELECT e.ticker, e.bar AS end_bar, b.bar, b.close FROM bars e JOIN bars b ON b.ticker = e.ticker
+    AND b.bar BETWEEN e.bar - 252 AND e.bar WHERE (e.bar + 1) % 63 = 0),
+  wl AS (SELECT *, coalesce(ln(close) - ln(lag(close) OVER w), 0) AS logret, lag(bar) OVER w AS pb FROM wr WINDOW w AS (PARTITION BY ticker, end_bar ORDER BY bar)),
+  em AS (SELECT ticker, (end_bar + 1) // 63 AS period, """ + ", ".join(f"{e} AS e{i}" for i, e in enumerate(_E)) + """ FROM wl WHERE pb IS NOT NULL GROUP BY 1, 2),
+  pe AS (SELECT panel.period, panel.ticker, fwd_ret, e0, e1, e2, e3 FROM panel JOIN em USING (period, ticker))""",
+  "SELECT period, ticker, round(fwd_ret, 6) AS fwd_ret, " + ", ".join(
+      f"round(CASE WHEN stddev_samp(e{i}) OVER g >= 1e-8 THEN (e{i} - avg(e{i}) OVER g) / stddev_samp(e{i}) OVER g ELSE 0 END, 6) AS emb_{i}"
+      for i in range(4)) + " FROM pe WINDOW g AS (PARTITION BY period)")
+SQL["q95_track_record"] = f"""SELECT hit_rate, ic_mean AS ic, ann_alpha_net AS ann_alpha, sharpe_ratio AS sharpe, max_drawdown, n_periods
+  FROM ({PANEL_SQL['q24_beta_alpha']})"""
+SQL["q96_holdings_report"] = f"""WITH c AS ({SIGNAL_SQL['q32_composition']}), f AS ({SIGNAL_SQL['q33_flags']}), a AS ({SIGNAL_SQL['q34_recommend']}),
+  r AS ({SQL['q81_ranked_results']}), h AS (SELECT DISTINCT o_custkey AS portfolio_id, {TICKER} AS ticker
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+SELECT portfolio_id, 'holding' AS section, ticker AS item, composite_score AS value, signal AS text FROM h LEFT JOIN r USING (ticker)
+UNION ALL SELECT portfolio_id, 'sector', sector, pct, NULL FROM c UNION ALL SELECT portfolio_id, 'flag', sector, pct, message FROM f
+UNION ALL SELECT portfolio_id, 'addition', ticker, composite_score, rationale FROM a"""
 _LAST = f"""WITH s AS (SELECT * FROM ({SIGNAL_SQL['q40_alert_decide']}) QUALIFY quarter = max(quarter) OVER ()),
   p AS (SELECT * FROM ({SIGNAL_SQL['q53_prediction_drift']}) ORDER BY period DESC LIMIT 1)"""
 SQL["q89_alert_log"] = _LAST + """ SELECT model_version, ic_level AS level, 'ic' AS kind FROM s WHERE ic_level <> 'ok'
