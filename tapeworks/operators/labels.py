@@ -24,7 +24,7 @@ def shortest_series(bars: DataFrame, min_bars: int) -> int:
 
 
 def period_panel(
-    bars: DataFrame, *, forward: int = 252, rebalance: int = 63, align: str = "bar",
+    bars: DataFrame, *, forward: int = 252, rebalance: int = 63, align: str = "bar", until: str = "shortest",
 ) -> DataFrame:
     """Point-in-time rows per rebalance: features of the bar before, return after.
 
@@ -32,11 +32,14 @@ def period_panel(
     All bars get features in one pass of windows; the rebalance bars are then
     filtered. Period 0 has no history before it and is left out. ``align='bar'``
     counts bars from each series' own start; ``align='calendar'`` numbers the
-    dates of the whole market instead.
+    dates of the whole market instead. ``until='shortest'`` ends the panel for all with
+    the shortest series that passes the gate, as the published backtest does;
+    ``until='own'`` ends each series with itself, so one young listing empties nothing.
     """
+    if until not in ("shortest", "own"):
+        raise ValueError("until is 'shortest' or 'own'")
     gate = forward + rebalance + 30
     usable = enough_history(bars, gate)
-    shortest = shortest_series(bars, gate)
     feats = TS.price_features(usable, "backtest")
     if align == "calendar":
         # One row per date of the market: bounded by the calendar.
@@ -45,15 +48,16 @@ def period_panel(
         feats = feats.join(days, "dt")
         clock, limit = F.lead("day_", 1).over(TS.by_date()), days.count()
     else:
-        clock, limit = F.col("bar") + 1, shortest
+        clock = F.col("bar") + 1
+        limit = shortest_series(bars, gate) if until == "shortest" else F.max("bar").over(TS.by_ticker()) + 1
     feats = (
-        feats.withColumn("start_", clock)
+        feats.withColumn("start_", clock).withColumn("limit_", F.lit(limit) if isinstance(limit, int) else limit)
         .withColumn("fwd_ret", TS.forward_return(forward, 1))
         .withColumn("start_dt", F.lead("dt", 1).over(TS.by_date()))
         .withColumn("end_dt", F.lead("dt", 1 + forward).over(TS.by_date()))
     )
     return (
-        feats.filter((F.col("start_") % rebalance == 0) & (F.col("start_") + forward < limit))
+        feats.filter((F.col("start_") % rebalance == 0) & (F.col("start_") + forward < F.col("limit_")))
         .filter((F.col("bar") + 1 >= 5) & F.col("fwd_ret").isNotNull())
         .select((F.col("start_") / rebalance).cast("bigint").alias("period"), "ticker",
                 "start_dt", "end_dt", *K.PRICE_FEATURES, "fwd_ret",

@@ -22,7 +22,7 @@ from tapeworks.operators import timeseries as TS
 from tapeworks.plans import market as M
 from tapeworks.plans import panel_queries as PQ
 from tapeworks.plans import signal_queries as Q
-from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, features, with_
+from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, features, r6, with_
 from tapeworks.plans.panel_oracle import SQL as PANEL_SQL
 from tapeworks.plans.panel_queries import six
 from tapeworks.plans.signal_oracle import MATURED, RESULTS
@@ -224,6 +224,12 @@ def q96_holdings_report(spark, sf):
     return six(D.holdings_report(durable(M.holdings(spark, sf)), durable(D.eligible(durable(scored)).drop("bars"))))
 
 
+def q97_own_panel(spark, sf):
+    """The training panel in which every series ends with itself."""
+    rows = L.period_panel(M.bars(spark, sf), until="own")
+    return six(rows.select("period", "ticker", "start_dt", "end_dt", "fwd_ret", "vol"))
+
+
 SNAPSHOT = features("bars", "snapshot")
 SQL = {
     "q77_price_store": f"WITH {PX} SELECT ticker, dt, close, volume FROM px WHERE ticker IN {(*WANTED, *REFERENCE)} AND ticker <> '7203.T'",
@@ -286,6 +292,10 @@ SQL["q96_holdings_report"] = f"""WITH c AS ({SIGNAL_SQL['q32_composition']}), f
 SELECT portfolio_id, 'holding' AS section, ticker AS item, composite_score AS value, signal AS text FROM h LEFT JOIN r USING (ticker)
 UNION ALL SELECT portfolio_id, 'sector', sector, pct, NULL FROM c UNION ALL SELECT portfolio_id, 'flag', sector, pct, message FROM f
 UNION ALL SELECT portfolio_id, 'addition', ticker, composite_score, rationale FROM a"""
+_SHORTEST = "bar + 1 + 252 < (SELECT min(n) FROM gate)"
+assert _SHORTEST in PANEL
+SQL["q97_own_panel"] = with_(PANEL.replace(_SHORTEST, "bar + 1 + 252 < (SELECT g.n FROM gate g WHERE g.ticker = fwd.ticker)"),
+                             f"SELECT period, ticker, start_dt, end_dt, {r6('fwd_ret vol')} FROM panel")
 _LAST = f"""WITH s AS (SELECT * FROM ({SIGNAL_SQL['q40_alert_decide']}) QUALIFY quarter = max(quarter) OVER ()),
   p AS (SELECT * FROM ({SIGNAL_SQL['q53_prediction_drift']}) ORDER BY period DESC LIMIT 1)"""
 SQL["q89_alert_log"] = _LAST + """ SELECT model_version, ic_level AS level, 'ic' AS kind FROM s WHERE ic_level <> 'ok'
