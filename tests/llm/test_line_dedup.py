@@ -69,7 +69,7 @@ def test_insert_and_delete(spark):
     less = index.delete(frame(spark, [(i, "") for i in gone]))
     left = [(i, t) for i, t in rows if i not in gone]
     assert got(line_dedup.drop_lines(frame(spark, left), less.drops())) == plain(left)
-    hot = {(r["k1"], r["k2"]) for r in less.counts().collect()}
+    hot = {(r["k1"], r["k2"]) for r in less.hot.collect()}
     size = {r["shard"]: int((np.frombuffer(bytes(r["cells"]), "<u2") != 0).sum()) + len(r["extra"]) for r in less.filters.collect()}
     assert sum(size.values()) == len(hot)
     back = less.insert(frame(spark, [(i, t) for i, t in rows if i in gone]))
