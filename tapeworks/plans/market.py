@@ -9,7 +9,7 @@ with adaptive skew splitting for hot parts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks import constants as K
@@ -154,7 +154,6 @@ def monthly(spark: SparkSession, sf: str, days: DataFrame | None = None) -> Data
 
 def earnings(spark: SparkSession, sf: str, days: DataFrame | None = None) -> DataFrame:
     """(ticker, period, announce_date, surprise_pct): monthly revenue change in percent."""
-    from pyspark.sql import Window
     w = Window.partitionBy("ticker").orderBy("period")      # one row per month
     rows = monthly(spark, sf, days).withColumn(
         "surprise_pct", (F.col("cents") / F.lag("cents").over(w) - 1) * 100)

@@ -79,8 +79,12 @@ def q07_excess_return(spark, sf):
     sectors = M.industries(spark, sf).select("ticker", "sector")
     market = M.market_series(px).withColumnRenamed("close", "market_close")
     by_sector = M.sector_series(px, sectors).withColumnRenamed("close", "sector_close")
-    rows = J.asof_ffill(px.join(sectors, "ticker", "left"), market, [], "dt", ["market_close"])
-    rows = J.asof_ffill(rows, by_sector, ["sector"], "dt", ["sector_close"])
+    # The references are matched to the dates (and sectors) that occur, which the calendar bounds; the
+    # matches are broadcast when measured to be small, so the panel itself moves once, by ticker.
+    panel = px.join(O.checked_broadcast(sectors), "ticker", "left")
+    days = J.asof_ffill(px.select("dt").distinct(), market, [], "dt", ["market_close"])
+    sector_days = J.asof_ffill(panel.select("sector", "dt").distinct(), by_sector, ["sector"], "dt", ["sector_close"])
+    rows = O.attach(panel.join(O.checked_broadcast(days), "dt"), O.checked_broadcast(sector_days), ["sector", "dt"], "left")
     own = TS.channel_returns("close")
     return six(rows.select(
         "ticker", "dt",

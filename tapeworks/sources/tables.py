@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeworks import constants as K
@@ -57,7 +57,6 @@ def analyst_rows(histories: DataFrame) -> DataFrame:
 
 def surprise_average(earnings: DataFrame, last: int = 4) -> DataFrame:
     """Mean of the non-null surprises among the latest four quarters, /50, in [-1, 1]."""
-    from pyspark.sql import Window
     newest = Window.partitionBy("ticker").orderBy(F.desc("period"))
     rows = earnings.withColumn("rn_", F.row_number().over(newest)).filter(F.col("rn_") <= last)
     return rows.groupBy("ticker").agg(clip(F.avg("surprise_pct") / 50, -1.0, 1.0).alias("earnings_surprise"))
@@ -65,7 +64,6 @@ def surprise_average(earnings: DataFrame, last: int = 4) -> DataFrame:
 
 def institutional_ownership(holders: DataFrame, top: int = 20) -> DataFrame:
     """Sum of the ``top`` largest holder percentages, as a share of at most 1."""
-    from pyspark.sql import Window
     biggest = Window.partitionBy("ticker").orderBy(F.desc("pct"), "holder")
     rows = holders.withColumn("rn_", F.row_number().over(biggest)).filter(F.col("rn_") <= top)
     share = F.sum(F.nullif("pct", F.lit(0.0))) / 100
@@ -102,9 +100,9 @@ def clean_holdings(raw: DataFrame, max_holdings: int = 40) -> tuple[DataFrame, D
         .when((F.col("number_") < 0) | (F.col("number_") > 100) | F.isnan("number_"), "weight out of range")
     )
     tagged = tagged.withColumn("reason", reason)
-    sizes = raw.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("size_")).filter(F.col("size_") > max_holdings)
-    tagged = tagged.join(sizes, "portfolio_id", "left").withColumn(
-        "reason", F.when(F.col("size_").isNotNull(), "too many holdings").otherwise(F.col("reason")))
+    size = F.count(F.lit(1)).over(Window.partitionBy("portfolio_id"))     # one exchange serves this and the grouping below
+    tagged = tagged.withColumn("size_", size).withColumn(
+        "reason", F.when(F.col("size_") > max_holdings, "too many holdings").otherwise(F.col("reason")))
     first = F.min_by("number_", "pos").alias("weight")
     clean = (
         tagged.filter("reason IS NULL").groupBy("portfolio_id", F.col("clean_").alias("ticker"))
