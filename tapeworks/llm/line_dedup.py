@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import WHITE, stash
+from tapeworks.llm.shared import WHITE, stash, with_package
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -37,7 +37,7 @@ BROADCAST_BYTES = 16 << 20
 KEYS_PER_SHARD = 1 << 15
 SLOTS = 4
 ROUNDS = 200
-MAX_SHARDS = 1 << 16
+MAX_SHARDS = 1 << 24
 
 _WHITE = WHITE.encode()
 _REFS = "k1 long, k2 long, doc long, n long"
@@ -77,7 +77,7 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def references(docs: DataFrame) -> DataFrame:
     """One row per (key, document). Repeated rows of an id are one document; rows without an id are one too."""
-    return (docs.select("doc_id", "text").mapInArrow(_references, _REFS)
+    return (with_package(docs).select("doc_id", "text").mapInArrow(_references, _REFS)
             .groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n")))
 
 
@@ -151,6 +151,7 @@ class Cuckoo:
                 self.extra.remove(s)
 
 
+_HOT = "k1 long, k2 long, docs long, last long"
 _FILTERS = "shard int, buckets int, cells binary, extra array<long>"
 
 
@@ -175,36 +176,36 @@ class LineIndex:
     """Reference counts and filters of the documents seen so far; every change gives a new index."""
 
     refs: DataFrame
+    hot: DataFrame
     filters: DataFrame
     shards: int
     min_docs: int = MIN_DOCS
 
     @classmethod
-    def empty(cls, spark, expected_keys: int = 1 << 20, min_docs: int = MIN_DOCS) -> LineIndex:
-        """``expected_keys`` (frequent ones) sets the number of shards and with it a filter's size."""
-        shards = min(MAX_SHARDS, 1 << max(4, (expected_keys // KEYS_PER_SHARD).bit_length()))
-        return cls(spark.createDataFrame([], _REFS), spark.createDataFrame([], _FILTERS), shards, min_docs)
-
-    def counts(self, refs: DataFrame | None = None) -> DataFrame:
-        """Frequent keys: ``k1, k2, docs, last``."""
-        every = (self.refs if refs is None else refs).groupBy("k1", "k2").agg(
-            F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last"))
-        return every.where(F.col("docs") >= self.min_docs)
+    def empty(cls, spark, min_docs: int = MIN_DOCS) -> LineIndex:
+        tables = (spark.createDataFrame([], kind) for kind in (_REFS, _HOT, _FILTERS))
+        return cls(*tables, 0, min_docs)
 
     def _moved_to(self, refs: DataFrame, fresh: bool = False) -> LineIndex:
-        now, then = self.counts(refs).select("k1", "k2"), self.counts().select("k1", "k2")
-        if fresh:  # nothing was there before: all frequent keys are new
+        """The index over ``refs``: frequent keys counted anew, their changes carried over to the filters."""
+        hot, _ = stash(refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last"))
+                       .where(F.col("docs") >= self.min_docs))
+        now, then = hot.select("k1", "k2"), self.hot.select("k1", "k2")
+        if fresh:  # nothing was there before: all frequent keys are new; so many need so many shards
+            shards = min(MAX_SHARDS, 1 << max(4, (hot.count() // KEYS_PER_SHARD).bit_length()))
             moved = now.withColumn("up", F.lit(True))
         else:
+            shards = self.shards
             moved = now.join(then, ["k1", "k2"], "left_anti").withColumn("up", F.lit(True)).unionByName(
                 then.join(now, ["k1", "k2"], "left_anti").withColumn("up", F.lit(False)))
-        moved = moved.withColumn("shard", F.pmod("k2", F.lit(self.shards)).cast("int"))
+        moved = moved.withColumn("shard", F.pmod("k2", F.lit(shards)).cast("int"))
         filters = self.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(_change, _FILTERS)
-        return LineIndex(refs, stash(filters)[0], self.shards, self.min_docs)
+        return LineIndex(refs, hot, stash(filters)[0], shards, self.min_docs)
 
     def insert(self, docs: DataFrame, fresh: bool = False) -> LineIndex:
         """Add documents. An id that is known gains the lines of the new row. ``fresh``: the index is empty."""
         more = references(docs)
+        fresh = fresh or not self.shards
         if not fresh:
             more = self.refs.unionByName(more).groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n"))
         return self._moved_to(stash(more)[0], fresh)
@@ -216,12 +217,11 @@ class LineIndex:
 
     def drops(self) -> DataFrame:
         """References whose lines go: ``k1, k2, doc`` of every frequent key but in its last document."""
-        kept, refs = self.counts(), self.refs
+        refs = self.refs
         size = self.filters.agg(F.sum(F.length("cells") + 8 * F.size("extra"))).first()[0] or 0
         if size <= BROADCAST_BYTES:
             refs = refs.mapInArrow(_probe(self.filters.collect(), self.shards), _REFS)
-        hot, _ = stash(kept)
-        return refs.join(hot, ["k1", "k2"]).where("doc < last").select("k1", "k2", "doc")
+        return refs.join(self.hot, ["k1", "k2"]).where("doc < last").select("k1", "k2", "doc")
 
 
 def _probe(filters: list, shards: int):
@@ -243,7 +243,7 @@ def _probe(filters: list, shards: int):
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         names = batch.schema.names
         texts, total, dropped = [], [], []
         columns = [batch.column(names.index(c)).to_pylist() for c in ("text", "_k1", "_k2")]
@@ -270,7 +270,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``, and ``n_lines`` (before) and ``n_dropped``; columns of
     these names are replaced. A text that loses nothing is passed on as it is, null included."""
     per_doc = drops.groupBy("doc").agg(F.collect_list("k1").alias("_k1"), F.collect_list("k2").alias("_k2"))
-    plain = docs.drop("n_lines", "n_dropped")
+    plain = with_package(docs).drop("n_lines", "n_dropped")
     told = plain.join(per_doc.withColumnRenamed("doc", "_doc"),
                       F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
     rest = [f for f in plain.schema if f.name != "text"]

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import hashed_share, with_package
+
 # Fixed values of the contract.
 MIN_WORDS = 20
 REPEATED_PERCENT = 30
@@ -24,7 +26,7 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 
 KEEP_FROM = 0.1  # calibrated probability of good quality; only what is clearly bad goes
-SAMPLE_ROWS = 3_000  # labelled rows that the model is fitted on, at most
+SAMPLE_ROWS = 2_000  # labelled rows that the model is fitted on, at most
 HELD_OUT = 4  # one in so many of them calibrates
 BITS = 16
 ROUNDS = 80
@@ -129,8 +131,9 @@ def fit(texts: list[str | None], good: list[int]) -> Model:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 0.0, 40.0)
     parts = [_sparse(_bytes(t)) for t in texts]
     sizes = np.array([len(p[0]) for p in parts])
-    row = np.repeat(np.arange(len(parts)), sizes)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     slot, value = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del parts
     used = ~held[row]
     s, v, r = slot[used], value[used], row[used]
     share = y[~held].mean()
@@ -169,10 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     The sample is bounded, so one task fits the model and its two tables are all that returns.
     """
-    wanted = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+    share = hashed_share(F.col("doc_id"), 7, 2.0 * rows / max(1, labels.count()))
+    wanted = (labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(share).groupBy("doc_id")
               .agg(F.max("quality").alias("quality"))
               .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(rows))
-    known = (docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id")
+    known = (with_package(docs).select("doc_id", "text").join(F.broadcast(wanted), "doc_id").groupBy("doc_id")
              .agg(F.max("text").alias("text"), F.max("quality").alias("quality")))
 
     def task(group: pa.Table) -> pa.Table:
@@ -213,7 +217,7 @@ def assess(docs: DataFrame, model: Model) -> DataFrame:
                 [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     longs = ", ".join(f"{n} long" for n in _LONGS)
-    return docs.select("doc_id", "text").mapInArrow(
+    return with_package(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id long, {longs}, base_failed boolean, kept boolean, probability double")
 
 
@@ -224,4 +228,4 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     def good(text: pa.Array) -> pa.Array:
         return pa.array([verdict(t.as_py(), model)[6] for t in text], pa.bool_())
 
-    return docs.where(good("text"))
+    return with_package(docs).where(good("text"))

@@ -3,7 +3,12 @@ connected components."""
 
 from __future__ import annotations
 
+import os
+import site
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +21,27 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+def with_package(docs: DataFrame) -> DataFrame:
+    """``docs``, once the Python workers can import this package.
+
+    They can where it is installed, on ``PYTHONPATH`` or in the working folder. Elsewhere (a session started from
+    another folder) it is sent along as a Python file, once per Spark context.
+    """
+    root, context = Path(__file__).resolve().parents[2], docs.sparkSession.sparkContext
+    known = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    if str(root) not in [os.path.realpath(p) for p in known] and context.applicationId not in _SENT:
+        _SENT.add(context.applicationId)
+        made = os.path.join(tempfile.mkdtemp(prefix="tapeworks-"), "tapeworks.zip")
+        with zipfile.ZipFile(made, "w") as out:
+            for path in sorted(root.glob("tapeworks/**/*.py")):
+                out.write(path, path.relative_to(root))
+        context.addPyFile(made)
+    return docs
+
+
+_SENT: set[str] = set()
+
+
 def stash(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet below the cluster's shared checkpoint folder; the table and its path.
 
@@ -43,6 +69,12 @@ def without_white(text: Column) -> Column:
     return out
 
 
+def hashed_share(key: Column, seed: int, share: float) -> Column:
+    """True for about ``share`` of the keys, always the same ones. Thins rows out before a bounded sample is
+    ordered, so that what the tasks hand on for it does not grow with their number."""
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30)))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> tuple[DataFrame, str]:
     """Smallest reachable node per node of an undirected graph: rows ``(node, root)``.
 
