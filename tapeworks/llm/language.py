@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import release, stash, with_package
+
 MAX_WORDS = 40_000  # per language
 MAX_GRAMS = 40_000  # per language
 MAX_LANGUAGES = 200
@@ -79,14 +81,15 @@ def _count_grams(batches):
     return _counted(batches, add)
 
 
-def _most(counts: DataFrame, most: int, *within: str) -> DataFrame:
-    """The ``most`` most frequent tokens per language, kept apart first within slices so that no task sees all."""
-    slice_ = F.pmod(F.xxhash64("token"), F.lit(64))
-    order = [F.col("n").desc(), F.col("token")]
-    first = counts.withColumn("slice", slice_).withColumn("nth", F.row_number().over(
-        Window.partitionBy("lang", "slice").orderBy(*order))).where(F.col("nth") <= most)
-    return first.withColumn("nth", F.row_number().over(
-        Window.partitionBy("lang").orderBy(*order))).where(F.col("nth") <= most).select("lang", "token", "n")
+def _most(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent tokens of each language: all whose count is at least the smallest count that leaves no
+    more than ``most``. Tokens of equal count stay or go together, and only the number of tokens per count is
+    ordered, never the tokens."""
+    classes = counts.groupBy("lang", "n").count()
+    upto = Window.partitionBy("lang").orderBy(F.col("n").desc())
+    least = (classes.withColumn("upto", F.sum("count").over(upto)).where(F.col("upto") <= most)
+             .groupBy("lang").agg(F.min("n").alias("least")))  # a row per language
+    return counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "token", "n")
 
 
 @dataclass
@@ -133,9 +136,7 @@ def build(words: list[tuple[str, str, int]], pieces: list[tuple[str, str, int]],
 
 def learn(docs: DataFrame) -> Model:
     """Count words and n-grams of all rows of ``docs`` (``lang``, ``text``; nulls teach nothing)."""
-    from tapeworks.llm.shared import release, stash
-
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
+    rows = with_package(docs).where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     kind = "lang string, token string, n long"
     words, path = stash(rows.mapInArrow(_count_words, kind).groupBy("lang", "token").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -196,5 +197,5 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in told], pa.string()),
                  pa.array([x[1] for x in told], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
+    return with_package(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, lang_pred string, score double")

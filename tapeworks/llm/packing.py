@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import stash
+from tapeworks.llm.shared import stash, with_package
 
 CAPACITY = 2_048
 END = 0  # the id after every document
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     that deals pieces evenly whatever their ids. A null text counts as empty: one piece, the end id."""
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, spread long"
-    return docs.select("doc_id", "text").mapInArrow(
+    return with_package(docs).select("doc_id", "text").mapInArrow(
         _cut(path, capacity, keep_ids), schema + (", ids binary" if keep_ids else ""))
 
 

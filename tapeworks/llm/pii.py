@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import hashed_share, with_package
+
 # Fixed values of the contract: kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -243,8 +245,9 @@ def find(texts: list[str | None], field: Field) -> tuple[list[list[tuple[int, in
 
 
 def train(docs: DataFrame, most: int = SAMPLE_DOCS) -> Field:
-    """Fit on the ``most`` documents holding a digit or an ``@`` whose hashed text is smallest; one task fits."""
-    texts = (docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    """Fit on at most ``most`` documents holding a digit or an ``@``, chosen by hash; one task fits."""
+    share = hashed_share(F.col("doc_id"), 13, 20.0 * most / max(1, docs.count()))
+    texts = (with_package(docs).where(share).where(F.col("text").rlike("[0-9@]")).select("text")
              .orderBy(F.xxhash64("text", F.lit(11)), F.length("text")).limit(most).withColumn("all", F.lit(True)))
 
     def task(group: pa.Table) -> pa.Table:
@@ -285,4 +288,4 @@ def detect(docs: DataFrame, field: Field) -> DataFrame:
             yield pa.RecordBatch.from_pydict(columns)
 
     counts = ", ".join(f"{n} long" for n in _COUNTS)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return with_package(docs).select("doc_id", "text").mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string")

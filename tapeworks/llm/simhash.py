@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import components, release, stash
+from tapeworks.llm.shared import components, release, stash, with_package
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -63,7 +63,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, fp`` with the fingerprint's 64 bits as a long. Null and wordless texts have 0."""
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return with_package(docs).select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 class Forest:
@@ -175,7 +175,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
     two = [a | b for a, b in combinations(one, 2)]
     near, far = (F.array(*[F.lit(m) for m in masks]) for masks in ([0, *one], [0, *one, *two]))
     masks = F.when(F.bit_count("fp") % 2 == 0, far).otherwise(near)
-    dealt = distinct.select("fp", F.explode(masks).alias("mask")).select(
+    dealt = with_package(distinct).select("fp", F.explode(masks).alias("mask")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("mask").cast("long")).bitwiseAND(F.lit(low).cast("long")).alias("key"))
     return dealt.groupBy("key").applyInArrow(_link_bucket(bits), "a long, b long").distinct()
 

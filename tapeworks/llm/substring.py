@@ -29,9 +29,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.llm.shared import with_package
+
 K = 13
 LAST = (1 << 63) - 1  # stands for a null id: it comes after all others
-BATCH_EDGES = 3_000_000
+BATCH_EDGES = 1_500_000
 BYTES_PER_SHARD = 10 << 20
 _STEP = 0x9E3779B97F4A7C15
 
@@ -145,7 +147,7 @@ def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
     """``doc`` and ``edge`` (hash), a row for every distinct repeated edge of a document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // BYTES_PER_SHARD))
-    return (docs.select("doc_id", "text").mapInArrow(_edges(shards, k), _EDGES)
+    return (with_package(docs).select("doc_id", "text").mapInArrow(_edges(shards, k), _EDGES)
             .groupBy("shard").applyInArrow(_repeats, "doc long, edge long"))
 
 
