@@ -154,7 +154,6 @@ SECTOR_KEYWORDS = [
     ("cyclical", "Consumer Discretionary"),
 ]
 # Vendor industry -> sector benchmark symbol; first contains-match wins.
-MARKET_SYMBOL = "SPY"
 SECTOR_BENCHMARKS = {
     "Technology": "XLK", "Communications": "XLC", "Media": "XLC",
     "Telecommunication": "XLC", "Financial Services": "XLF", "Banking": "XLF",

@@ -118,8 +118,3 @@ def model_version(trained_at: Column | str, encoder: Column | str | None = None)
     if encoder is not None:
         base = F.concat(base, F.coalesce(F.concat(F.lit("+enc:"), col(encoder)), F.lit("")))
     return F.substring(base, 1, 128)
-
-
-def days_until(event: Column | str, today: Column, limit: int = 90) -> Column:
-    gap = F.date_diff(col(event), today)
-    return F.when((gap >= 0) & (gap <= limit), gap)

@@ -310,17 +310,6 @@ def period_examples(scored: DataFrame, last: int = 6, *, spread: bool | int) ->
         F.bround(F.col("fwd_ret") * 100, 1).alias("actual_return_pct"), "actual_top", "correct")
 
 
-def nested_examples(examples: DataFrame) -> DataFrame:
-    """One row per period with its stocks as an array, best score first.
-
-    For report payloads; the flat form of ``period_examples`` scales further.
-    """
-    stock = F.struct(
-        (-F.col("model_score")).alias("order_"), "ticker", "model_score", "predicted_top", "actual_return_pct", "actual_top", "correct")
-    return examples.groupBy("period", "n_stocks", "hit_rate_pct").agg(
-        F.transform(F.array_sort(F.collect_list(stock)), lambda s: s.dropFields("order_")).alias("stocks"))
-
-
 def band_hit_rates(examples: DataFrame) -> DataFrame:
     """(band, n, hit_rate): all four bands, null rate where a band is empty."""
     spark = examples.sparkSession

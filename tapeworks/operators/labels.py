@@ -114,10 +114,6 @@ def multi_horizon_labels(bars: DataFrame, horizons=None, *, spread: bool | int =
         *keys, "ticker", *[f"{c}_rank" for c in K.PRICE_FEATURES], "fwd_ret", "label")
 
 
-def horizon_labels(bars: DataFrame, horizon: int, *, spread: bool | int = False) -> DataFrame:
-    return multi_horizon_labels(bars, [horizon], spread=spread)
-
-
 def snapshot_labels(latest: DataFrame, keys: list[str], *, spread: bool | int, min_names: int = 3,
                     trailing: str = "trailing_ret") -> DataFrame:
     """Today's ranks labelled with the trailing 252-bar return (strictly above median)."""

@@ -25,7 +25,7 @@ from tapeworks.plans import signal_queries as Q
 from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, features, r6, with_
 from tapeworks.plans.panel_oracle import SQL as PANEL_SQL
 from tapeworks.plans.panel_queries import six
-from tapeworks.plans.signal_oracle import MATURED, RESULTS
+from tapeworks.plans.signal_oracle import DRIFT, MATURED, RESULTS
 from tapeworks.plans.signal_oracle import SQL as SIGNAL_SQL
 from tapeworks.session import checkpoint_dir, durable
 from tapeworks.sources import prices as P
@@ -230,6 +230,27 @@ def q97_own_panel(spark, sf):
     return six(rows.select("period", "ticker", "start_dt", "end_dt", "fwd_ret", "vol"))
 
 
+def q98_recent_state(spark, sf):
+    """What the monitoring store serves: the baseline captured last, and the ten newest correlations and alerts."""
+    path, log = folder(spark, "baselines"), folder(spark, "alerts")
+    base, _ = Q.drift_parts(spark, sf)
+    for version, shift in ((1, 1.0), (2, 0.0)):     # a later capture replaces the earlier one
+        captured = base.select("feature", (F.col("mean") + shift).alias("mean"), F.lit(version).alias("captured"),
+                               F.lit(Q._version()).alias("model_version"))
+        T.append_table(captured, path)
+    newest = N.latest_per_key(spark.read.parquet(path), ["model_version", "feature"], ["captured"])
+    _, roll, drift, _ = Q.states(spark, sf)
+    alerts = drift.where("status <> 'stable'").withColumn("model_version", F.lit(Q._version()))
+    T.append_table(alerts.select("model_version", "quarter", "feature", "psi"), log)
+    ics = roll.where(F.col("window") == K.IC_PRIMARY_WINDOW)
+    recent_ic = T.page(ics, [F.desc("ts"), F.desc("period_key")], 10)
+    recent_alerts = T.page(spark.read.parquet(log), [F.desc("quarter"), F.col("feature")], 10)
+    out = newest.select(F.lit("baseline").alias("kind"), F.col("feature").alias("name"), F.col("mean").alias("x")).unionByName(
+        recent_ic.select(F.lit("ic").alias("kind"), F.col("period_key").cast("string").alias("name"), F.col("spearman").alias("x"))).unionByName(
+        recent_alerts.select(F.lit("alert").alias("kind"), F.concat_ws("/", "quarter", "feature").alias("name"), F.col("psi").alias("x")))
+    return six(out, 4)
+
+
 SNAPSHOT = features("bars", "snapshot")
 SQL = {
     "q77_price_store": f"WITH {PX} SELECT ticker, dt, close, volume FROM px WHERE ticker IN {(*WANTED, *REFERENCE)} AND ticker <> '7203.T'",
@@ -303,4 +324,9 @@ SQL["q89_alert_log"] = _LAST + """ SELECT model_version, ic_level AS level, 'ic'
   UNION ALL SELECT s.model_version, 'CRITICAL', 'pred_drift' FROM s, p WHERE p.status = 'critical'"""
 SQL["q90_dashboard"] = _LAST + f""" SELECT s.model_version, (SELECT count(*) FROM ({SIGNAL_SQL['q39_rolling_ic']})) AS ic_rows,
   (SELECT count(*) FROM ({SIGNAL_SQL['q37_feature_psi']}) d WHERE d.quarter = s.quarter) AS features, p.status AS prediction_status, s.status AS verdict FROM s, p"""
+SQL["q98_recent_state"] = f"""WITH d AS ({SIGNAL_SQL['q37_feature_psi']}), i AS ({SIGNAL_SQL['q39_rolling_ic']}), b AS ({with_(DRIFT,
+    "SELECT feature, avg(value) AS mean FROM dr WHERE quarter < '1998' GROUP BY 1")})
+SELECT 'baseline' AS kind, feature AS name, round(mean, 4) AS x FROM b
+UNION ALL (SELECT 'ic', CAST(period_key AS VARCHAR), round(spearman, 4) FROM i WHERE "window" = {K.IC_PRIMARY_WINDOW} ORDER BY ts DESC, period_key DESC LIMIT 10)
+UNION ALL (SELECT 'alert', quarter || '/' || feature, psi FROM d WHERE status <> 'stable' ORDER BY quarter DESC, feature LIMIT 10)"""
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -87,6 +87,3 @@ def maturation_stream(new_bars: DataFrame, predictions_path: str, matured_path:
         fresh.write.mode("append").partitionBy("model_version").parquet(matured_path)
     return (new_bars.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-RETENTION = {"monitoring": K.RETENTION_DAYS, "activity": K.ACTIVITY_RETENTION_DAYS}
