@@ -269,23 +269,30 @@ def encoded_windows(channels: DataFrame, spec: list[str], encode, dim: int, wind
     """Embeddings from a user function ``encode(matrix[T, C]) -> vector``.
 
     ``encode`` sees one standardized window, left-padded with zeros to ``window``
-    rows. A window is at most ``window`` rows, so a group is always small.
+    rows, and must return ``dim`` numbers. A window is at most ``window`` rows, so a
+    group is always small; windows reach Python many to an Arrow batch.
     """
     import numpy as np
-    import pandas as pd
-
-    z = standardized_windows(channels, spec).select("ticker", "end_bar", "bar", *[f"{c}_z" for c in spec])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar")
-        mat = pdf[[f"{c}_z" for c in spec]].to_numpy(dtype=np.float32)[-window:]
-        mat = np.pad(mat, ((window - len(mat), 0), (0, 0)))
-        vec = np.asarray(encode(mat), dtype=np.float64)
-        if vec.shape != (dim,):
-            raise ValueError(f"the encoder gave shape {vec.shape}, not ({dim},)")
-        return pd.DataFrame({"ticker": [pdf["ticker"].iloc[0]],
-                             "end_bar": [int(pdf["end_bar"].iloc[0])],
-                             "embedding": [vec.tolist()]})
-
-    return z.groupBy("ticker", "end_bar").applyInPandas(
-        run, "ticker string, end_bar bigint, embedding array<double>")
+    import pyarrow as pa
+
+    names = [f"{c}_z" for c in spec]
+    z = standardized_windows(channels, spec).select("ticker", "end_bar", F.struct("bar", *names).alias("row_"))
+    packed = z.groupBy("ticker", "end_bar").agg(F.array_sort(F.collect_list("row_")).alias("rows_"))
+
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(2)
+            flat = rows.flatten()
+            every = np.column_stack([flat.field(n).to_numpy(zero_copy_only=False) for n in names]).astype(np.float32)
+            cuts = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            vectors = []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                mat = every[lo:hi][-window:]
+                vec = np.asarray(encode(np.pad(mat, ((window - len(mat), 0), (0, 0)))), dtype=np.float64)
+                if vec.shape != (dim,):
+                    raise ValueError(f"the encoder gave shape {vec.shape}, not ({dim},)")
+                vectors.append(vec.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(vectors, pa.list_(pa.float64()))], names=["ticker", "end_bar", "embedding"])
+
+    return packed.mapInArrow(run, "ticker string, end_bar bigint, embedding array<double>")

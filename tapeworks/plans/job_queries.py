@@ -22,7 +22,7 @@ from tapeworks.operators import timeseries as TS
 from tapeworks.plans import market as M
 from tapeworks.plans import panel_queries as PQ
 from tapeworks.plans import signal_queries as Q
-from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, features, r6, with_
+from tapeworks.plans.panel_oracle import BARS, MONTHLY, PANEL, PX, REF, SCORED, TICKER, WINDOWS, features, r6, with_
 from tapeworks.plans.panel_oracle import SQL as PANEL_SQL
 from tapeworks.plans.panel_queries import six
 from tapeworks.plans.signal_oracle import DRIFT, MATURED, RESULTS
@@ -251,6 +251,18 @@ def q98_recent_state(spark, sf):
     return six(out, 4)
 
 
+def q99_encoded_windows(spark, sf):
+    """Embeddings from a user's own encoder: where a window's return and volatility peak, and how many returns are above their mean."""
+    import numpy as np
+
+    def encode(m):
+        return np.array([m[:, 0].argmax(), m[:, 1].argmax(), (m[:, 0] > 0).sum()], dtype=float)
+
+    chans = TS.base_window_channels(TS.window_rows(M.bars(spark, sf).select("ticker", "dt", "close", "bar")))
+    e = TS.encoded_windows(chans, K.BASE_CHANNELS, encode, 3)
+    return six(e.select("ticker", "end_bar", *[F.col("embedding")[i].alias(n) for i, n in enumerate(("ret_peak", "vol_peak", "above"))]))
+
+
 SNAPSHOT = features("bars", "snapshot")
 SQL = {
     "q77_price_store": f"WITH {PX} SELECT ticker, dt, close, volume FROM px WHERE ticker IN {(*WANTED, *REFERENCE)} AND ticker <> '7203.T'",
@@ -329,4 +341,7 @@ SQL["q98_recent_state"] = f"""WITH d AS ({SIGNAL_SQL['q37_feature_psi']}), i AS
 SELECT 'baseline' AS kind, feature AS name, round(mean, 4) AS x FROM b
 UNION ALL (SELECT 'ic', CAST(period_key AS VARCHAR), round(spearman, 4) FROM i WHERE "window" = {K.IC_PRIMARY_WINDOW} ORDER BY ts DESC, period_key DESC LIMIT 10)
 UNION ALL (SELECT 'alert', quarter || '/' || feature, psi FROM d WHERE status <> 'stable' ORDER BY quarter DESC, feature LIMIT 10)"""
+SQL["q99_encoded_windows"] = with_(WINDOWS + """,
+  z AS (SELECT ticker, end_bar, bar - end_bar + 251 AS step, vol, logret, logret - avg(logret) OVER (PARTITION BY ticker, end_bar) AS d FROM wc)""",
+  """SELECT ticker, end_bar, arg_max(step, logret)::DOUBLE AS ret_peak, arg_max(step, vol)::DOUBLE AS vol_peak, count(*) FILTER (d > 0)::DOUBLE AS above FROM z GROUP BY 1, 2""")
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] == "q" and name[1:3].isdigit()}

@@ -52,8 +52,10 @@ def q42_importance(spark, sf, settings: E.Settings = QUICK):
 def q91_out_of_fold(spark, sf, settings: E.Settings = QUICK):
     """Rows that the embargoed folds cover, each scored once by a model that had not seen it."""
     panel = training_panel(spark, sf).withColumn("is_snapshot", F.lit(False))
-    oof = E.out_of_fold(E.training_cache(panel), RANKS, settings, EMBARGO)
-    return six(durable(oof).groupBy("period").agg(
+    cached = E.training_cache(panel)
+    oof = durable(E.out_of_fold(cached, RANKS, settings, EMBARGO))
+    cached.unpersist()
+    return six(oof.groupBy("period").agg(
         F.count(F.lit(1)).alias("covered"), F.countDistinct("ticker").alias("names"),
         F.bool_and((F.col("oof") >= 0) & (F.col("oof") <= 1)).alias("in_range")))
 
