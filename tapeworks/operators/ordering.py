@@ -31,6 +31,7 @@ SAMPLE = 512
 HASH_RANGE = 1 << 30
 BROADCAST_LIMIT_BYTES = 64 << 20
 GROUP_ROWS_IN_ONE_TASK = 2_000_000
+FIXED_WIDTH = {"double", "float", "bigint", "int", "smallint", "tinyint", "date", "timestamp", "timestamp_ntz"}
 
 
 def needs_spread(df: DataFrame, keys: list[str], limit: int = GROUP_ROWS_IN_ONE_TASK) -> int:
@@ -123,6 +124,8 @@ def running_weight(
     local_keys = keys or ["one_group"]
     src = df if keys else df.withColumn("one_group", F.lit(1))
     groups = max_groups if keys else 1
+    if dict(src.dtypes)[order] not in FIXED_WIDTH:      # the byte bound holds for numbers and dates only
+        groups = None
     distinct = src.groupBy(*local_keys, order).agg(*[F.sum(w).alias(w) for w in weights])
     # Keeps the weights alive in every branch below, so that all of them read the
     # same exchange instead of each computing a narrower one.
@@ -197,6 +200,8 @@ def percentiles(
     src = df.filter(F.col(value).isNotNull()).select(*keys, value, n.alias("n_"))
     src = src if keys else src.withColumn("one_group", F.lit(1))
     groups = max_groups if keys else 1
+    if dict(src.dtypes)[value] not in FIXED_WIDTH:
+        groups = None
     if not spread:
         ordered = running_weight(src, local_keys, value, ["n_"], spread=False)
         out = ordered.groupBy(*local_keys).agg(*aggs)
