@@ -101,12 +101,14 @@ class Model:
     grams: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
-    def backoff(self, word: str) -> np.ndarray:
+    def backoff(self, word: str) -> tuple[int, ...]:
+        """Rows of the learned n-grams of the greatest length that has any; their mean scores the word."""
+        known = self.grams
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
-            rows = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            rows = tuple([known[g] for g in grams(word, n) if g in known])
             if rows:
-                return self.table[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+                return rows
+        return ()
 
 
 def build(words: list[tuple[str, str, int]], pieces: list[tuple[str, str, int]], totals: dict[str, int]) -> Model:
@@ -150,33 +152,32 @@ def learn(docs: DataFrame) -> Model:
 
 
 class Scorer:
-    """Applies a model; remembers the scores of a bounded number of unseen words."""
+    """Applies a model; remembers what a bounded number of unseen words back off to."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[str, np.ndarray] = {}
+        self.unseen: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = LETTERS.findall((text or "").lower())
         if not any(c.isalpha() for w in found for c in w) or not self.model.languages:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        rows = []
+        rows, weights, learned, unseen = [], [], self.model.words, self.unseen
         for word, n in Counter(found).items():
-            at = self.model.words.get(word)
-            if at is None:
-                score = self.unseen.get(word)
-                if score is None:
-                    score = self.model.backoff(word)
-                    if len(self.unseen) >= REMEMBERED:
-                        self.unseen.clear()
-                    self.unseen[word] = score
-                total += n * score
-            else:
-                rows.append((at, n))
-        if rows:
-            at, n = np.array(rows).T
-            total += n @ self.model.table[at]
+            at = learned.get(word)
+            if at is not None:
+                rows.append(at)
+                weights.append(n)
+                continue
+            own = unseen.get(word)
+            if own is None:
+                own = self.model.backoff(word)
+                if len(unseen) >= REMEMBERED:
+                    unseen.clear()
+                unseen[word] = own
+            rows += own
+            weights += [n / len(own)] * len(own) if own else []
+        total = np.array(weights, float) @ self.model.table[rows] if rows else np.zeros(len(self.model.languages))
         share = np.exp(total - total.max())
         best = int(np.argmax(total))
         return self.model.languages[best], float(share[best] / share.sum())
