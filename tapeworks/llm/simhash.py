@@ -26,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.shared import components, release, stash, with_package
@@ -58,12 +58,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64)), *batch.columns[2:]],
+                                         names=["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` with the fingerprint's 64 bits as a long. Null and wordless texts have 0."""
-    return with_package(docs).select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *carried: str) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint's 64 bits as a long, and the ``carried`` columns of longs. Null and
+    wordless texts have 0."""
+    kind = "".join(f", {c} long" for c in carried)
+    return with_package(docs).select("doc_id", "text", *carried).mapInArrow(_fingerprints, f"doc_id long, fp long{kind}")
 
 
 class Forest:
@@ -199,11 +202,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_ROW = ["_no_id", "_id", "_key_a", "_key_b"]  # orders the rows of a component, and finds the chosen one again
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of repeated rows, one); a
-    component of rows without ids keeps one of them."""
-    marks = near_duplicates(docs)
-    stay = marks.select(F.col("component_id").alias("_stay")).distinct()
-    held = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return held.withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
+    """``docs`` with one row of each component: the one with the smallest id, rows without an id last. Of rows
+    with that id the smallest hash of the text decides; of rows with the same id and text one stays."""
+    spark = docs.sparkSession
+    keyed = docs.withColumns({
+        "_no_id": F.col("doc_id").isNull().cast("long"), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"),
+        "_key_a": F.xxhash64("text"), "_key_b": F.xxhash64(F.lit(1), "text")})
+    rows, rows_path = stash(fingerprints(keyed, *_ROW))
+    firsts, firsts_path = stash(rows.groupBy("fp").agg(F.min(F.struct(*_ROW)).alias("first")))
+    roots, roots_path = components(links(firsts.select("fp"), firsts.count()))
+    held = firsts.join(roots, firsts["fp"] == roots["node"], "left")
+    best = held.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay, _ = stash(best.select("first.*"))
+    release(spark, rows_path, firsts_path, roots_path)
+    return keyed.join(stay, _ROW, "left_semi").dropDuplicates(_ROW).select(*docs.columns)

@@ -109,3 +109,20 @@ def test_near_duplicates(spark):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for _, _, c in got})
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_every_component(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    apart = [" ".join(rng.choices(words, k=60)) for _ in range(40)]
+    rows = [(None, t) for t in apart[:30]] + [(None, apart[0]), (None, apart[0])]  # components without any id
+    rows += [(7, apart[30]), (7, apart[31]), (7, apart[31])]  # unequal texts under one id
+    rows += [(1, apart[32]), (8, apart[32]), (8, apart[33])]  # one of them copies an earlier document
+    rows += [(None, apart[34]), (9, apart[34]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, _id2 string")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = [(None, t) for t in apart[:30]] + [(7, apart[30]), (7, apart[31]), (1, apart[32]), (8, apart[33]), (9, apart[34])]
+    assert sorted((x for x in got if x[1]), key=str) == sorted(want, key=str)
+    assert sum(not t for _, t in got) == 1
