@@ -9,6 +9,7 @@ from tapeworks import constants as K
 from tapeworks.functions import scalars as S
 from tapeworks.functions import signals as G
 from tapeworks.operators import cross_section as X
+from tapeworks.operators import ordering as O
 
 
 def with_prior(scored: DataFrame, prior: DataFrame) -> DataFrame:
@@ -61,6 +62,11 @@ def ranked_results(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("composite_score"), "ticker")
 
 
+def placed_results(results: DataFrame) -> DataFrame:
+    """Adds ``place``, the position in ``ranked_results``, of every row; no task holds the whole universe."""
+    return O.row_numbers(results, [], {"composite_score": False, "ticker": True}, spread=True, name="place")
+
+
 def profile_scores(stocks: DataFrame, risk: str = "medium", lam: float = 0.10, use_factors: bool = True) -> DataFrame:
     """(profile, ticker, fund_score, quant_score, score) for all seven profiles.
 

@@ -93,9 +93,8 @@ def q80_recorded_signals(spark, sf):
 
 def q81_ranked_results(spark, sf):
     """Scored names best first, with their place."""
-    r = R.ranked_results(M.results(spark, sf)).select("ticker", "composite_score", "signal").limit(1000)
-    place = F.row_number().over(Window.orderBy(F.desc("composite_score"), "ticker"))
-    return six(r.withColumn("place", place))
+    r = durable(M.results(spark, sf).select("ticker", "composite_score", "signal"))
+    return six(R.placed_results(r))
 
 
 def q82_varied_periods(spark, sf):

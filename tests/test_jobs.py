@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tapeworks import constants as K
-from tapeworks.plans import registry
+from tapeworks.plans import job_queries, registry, signal_queries
 from tapeworks.operators import ensemble as E
 from tapeworks.operators import monitoring as N
 from tapeworks.operators import scoring as R
@@ -170,3 +170,28 @@ def test_no_cross_join_or_single_task_scan(spark):
     plan = B.pooled_ic(durable(df), ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert K.FEATURES and "Window" in plan and "bucket_" in plan
+
+
+def test_every_result_has_its_place(spark, monkeypatch):
+    rows = [(f"T{i:04d}", float(i % 700), "HOLD") for i in range(1500)] + [("NONE", None, "HOLD")]
+    df = spark.createDataFrame(rows, "ticker string, composite_score double, signal string")
+    monkeypatch.setattr(job_queries.M, "results", lambda spark, sf: df)
+    got = {r["ticker"]: r["place"] for r in job_queries.q81_ranked_results(spark, "").collect()}
+    order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert got == {r[0]: i + 1 for i, r in enumerate(order)}
+
+
+def test_payloads_are_dealt_out(spark, monkeypatch):
+    rows = [(f"T{i:04d}", float(i), "HOLD") for i in range(1500)]
+    df = spark.createDataFrame(rows, "ticker string, composite_score double, signal string")
+    most, made = [], R.signal_payloads
+
+    def watched(results, keys):
+        most.append(max(r["count"] for r in results.groupBy(*keys).count().collect()))
+        return made(results, keys)
+
+    monkeypatch.setattr(signal_queries.M, "results", lambda spark, sf: df)
+    monkeypatch.setattr(signal_queries.R, "signal_payloads", watched)
+    got = signal_queries.q67_signal_payload(spark, "").collect()
+    assert sorted((r["run"], r["ticker"], r["score"]) for r in got) == [("run", t, s) for t, s, _ in rows]
+    assert most[0] < 30
