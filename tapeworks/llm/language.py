@@ -6,7 +6,8 @@ text's language is the one with the largest sum.
 
 Counts are taken over all training documents: words are counted in the tasks, combined by Spark, and n-grams are
 counted from the combined words. The model keeps the ``MAX_WORDS`` most frequent words and ``MAX_GRAMS`` most
-frequent n-grams of each language - a documented bound on what is sent to the tasks; rarer words back off.
+frequent n-grams of each language - a documented bound on what is sent to the tasks; rarer words back off. What one
+language keeps has its full count in all of them.
 """
 
 from __future__ import annotations
@@ -84,12 +85,21 @@ def _count_grams(batches):
 def _most(counts: DataFrame, most: int) -> DataFrame:
     """The most frequent tokens of each language: all whose count is at least the smallest count that leaves no
     more than ``most``. Tokens of equal count stay or go together, and only the number of tokens per count is
-    ordered, never the tokens."""
+    ordered, never the tokens. Where more than ``most`` share the top count, a hashed share of them stays."""
     classes = counts.groupBy("lang", "n").count()
     upto = Window.partitionBy("lang").orderBy(F.col("n").desc())
-    least = (classes.withColumn("upto", F.sum("count").over(upto)).where(F.col("upto") <= most)
-             .groupBy("lang").agg(F.min("n").alias("least")))  # a row per language
-    return counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "token", "n")
+    least = (classes.withColumn("upto", F.sum("count").over(upto)).groupBy("lang").agg(  # a row per language
+        F.min(F.when(F.col("upto") <= most, F.col("n"))).alias("least"), F.max("n").alias("top"),
+        (F.lit(float(most)) / F.max_by("count", "n")).alias("share")))
+    spot = F.pmod(F.xxhash64("token", F.lit(17)), F.lit(1 << 30)) / F.lit(1 << 30)
+    stays = F.when(F.col("least").isNotNull(), F.col("n") >= F.col("least")).otherwise(
+        (F.col("n") == F.col("top")) & (spot < F.col("share")))
+    return counts.join(F.broadcast(least), "lang").where(stays).select("lang", "token", "n")
+
+
+def _kept(counts: DataFrame, most: int) -> DataFrame:
+    """Counts in every language of the tokens that are among the most frequent of any."""
+    return counts.join(_most(counts, most).select("token").distinct(), "token", "left_semi").select("lang", "token", "n")
 
 
 @dataclass
@@ -144,10 +154,10 @@ def learn(docs: DataFrame) -> Model:
     totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    pieces = words.mapInArrow(_count_grams, kind).groupBy("lang", "token").agg(F.sum("n").alias("n"))
-    plain = lambda df: sorted((r["lang"], r["token"], r["n"]) for r in df.collect())
-    model = build(plain(_most(words, MAX_WORDS)), plain(_most(pieces, MAX_GRAMS)), totals)
-    release(docs.sparkSession, path)
+    pieces, pieces_path = stash(words.mapInArrow(_count_grams, kind).groupBy("lang", "token").agg(F.sum("n").alias("n")))
+    plain = lambda df: sorted(zip(*(c.to_pylist() for c in df.toArrow().columns), strict=True))
+    model = build(plain(_kept(words, MAX_WORDS)), plain(_kept(pieces, MAX_GRAMS)), totals)
+    release(docs.sparkSession, path, pieces_path)
     return model
 
 

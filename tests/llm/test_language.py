@@ -51,3 +51,18 @@ def test_bounds_keep_the_most_frequent(spark, monkeypatch):
     text = " ".join(w for i, w in enumerate("alpha beta gamma delta epsilon".split(), 1) for _ in range(i))
     model = language.learn(spark.createDataFrame([("en", text)] * 3, "lang string, text string"))
     assert set(model.words) == {"gamma", "delta", "epsilon"}
+
+
+def test_kept_words_have_their_count_in_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_WORDS", 3)
+    rows = [("en", "alpha " * 10 + "beta " * 9 + "gamma " * 8 + "rare " * 4), ("de", "eins " * 5 + "zwei " * 5 + "rare")]
+    model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(model.words) == {"alpha", "beta", "gamma", "eins", "zwei", "rare"}
+    assert language.Scorer(model)("rare")[0] == "en"  # 4 of 31 words against 1 of 11
+
+
+def test_tied_words_are_not_all_dropped(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_WORDS", 200)
+    text = " ".join("x" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(600))
+    model = language.learn(spark.createDataFrame([("en", text)], "lang string, text string"))
+    assert 120 < len(model.words) < 280
