@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeworks.llm import exact_dedup, language, line_dedup, mixing, packing, pii, quality, sharding, simhash, substring
+from tapeworks.llm import (
+    exact_dedup,
+    language,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    vector_codes,
+)
 
 SHARDS = [f"shard-{i:03d}" for i in range(256)]
 
@@ -64,6 +76,12 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.replicate(docs, mixing.rates(docs))
 
 
+def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    return vector_codes.with_label_error(coded).select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 WHITE_SQL = r"[\x20\x09-\x0D]"
 
 
@@ -138,17 +156,44 @@ SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
 FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS copy FROM drawn)"""
 
 
+def _op13_sql() -> str:
+    away = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, 5))
+    means = ", ".join(f"floor(sum(n * x[{i}]) / sum(n))::BIGINT" for i in range(1, 5))
+    rounds = "".join(f"""
+a{r} AS (SELECT p, x, n, min({{'d': {away}, 'e': e}}) AS hit FROM pieces JOIN b{r} USING (p) GROUP BY p, x, n),
+m{r} AS (SELECT p, hit.e AS e, [{means}] AS c FROM a{r} GROUP BY p, hit.e),
+b{r + 1} AS (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, e)),""" for r in (0, 1))
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT vec_id, label, p, v[4 * p + 1:4 * p + 4] AS x FROM kept, range(16) t(p)),
+pieces AS (SELECT p, x, count(*) AS n FROM parts GROUP BY p, x),
+b0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),{rounds}
+last AS (SELECT p, x, min({{'d': {away}, 'e': e}}) AS hit FROM pieces JOIN b2 USING (p) GROUP BY p, x),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', hit.e), '' ORDER BY p) AS code, sum(hit.d)::BIGINT AS error
+  FROM parts JOIN last USING (p, x) GROUP BY vec_id, label),
+books AS (
+  SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded, books"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing,
         "op7_language": op7_language, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
-        "op10_mixing": op10_mixing, "pipeline": corpus_pipeline.run,
+        "op10_mixing": op10_mixing,
+        "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
-        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL,
+        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL, "op13_vector_codes": _op13_sql(),
     }
