@@ -16,6 +16,7 @@ from tapeworks.llm import (
     packing,
     pii,
     quality,
+    ranked,
     sharding,
     simhash,
     substring,
@@ -76,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.replicate(docs, mixing.rates(docs))
 
 
+def op12_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked.rank(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op13_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
     coded, books = vector_codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
     return vector_codes.with_label_error(coded).select(
@@ -156,6 +161,30 @@ SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
 FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS copy FROM drawn)"""
 
 
+OP12_SQL = r"""
+WITH found AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM found GROUP BY doc_id, t),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS len FROM sizes),
+asked AS (
+  SELECT item_id, t, count(*) AS c FROM (
+    SELECT item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t),
+weights AS (
+  SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, corpus WHERE t IN (SELECT t FROM asked) GROUP BY t, docs),
+scored AS (
+  SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // len))))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN tf USING (t) JOIN sizes USING (doc_id), corpus GROUP BY item_id, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10"""
+
+
 def _op13_sql() -> str:
     away = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, 5))
     means = ", ".join(f"floor(sum(n * x[{i}]) / sum(n))::BIGINT" for i in range(1, 5))
@@ -188,12 +217,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing,
         "op7_language": op7_language, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
-        "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run,
+        "op12_ranked": op12_ranked, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
-        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL, "op13_vector_codes": _op13_sql(),
+        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL, "op12_ranked": OP12_SQL,
+        "op13_vector_codes": _op13_sql(),
     }
