@@ -20,6 +20,7 @@ from tapeworks.llm import (
     sharding,
     simhash,
     substring,
+    url_filter,
     vector_codes,
 )
 
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.replicate(docs, mixing.rates(docs))
 
 
+def op11_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 def op12_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.rank(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
 
@@ -161,6 +166,73 @@ SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy,
 FROM (SELECT *, unnest(range(1, 1 + len(list_filter(cdf, lambda c: c <= u)))) AS copy FROM drawn)"""
 
 
+def _op11_sql() -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), r[1]))
+    cases = [(f"(host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) "
+              f"AND starts_with(path, '/{r.split('/', 1)[1]}')", r, says) for says, r in rules]
+    fold = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    odds = "floor(1e6 * (ln(({b} + 1) / {B}::DOUBLE) - ln(({a} + 1) / {A}::DOUBLE)))::BIGINT".format
+    letters = url_filter.LETTERS
+    return f"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, {fold("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+base AS (
+  SELECT *, CASE {' '.join(f"WHEN {c} THEN '{r}'" for c, r, _ in cases)} END AS rule,
+    CASE {' '.join(f"WHEN {c} THEN '{s}'" for c, _, s in cases)} END AS says,
+    list_transform(regexp_extract_all({fold('path')}, '\\p{{L}}+|[0-9]+'), lambda t: CASE WHEN t[1] BETWEEN '0' AND '9' THEN '#' || len(t) ELSE t END) AS tokens
+  FROM split),
+counts AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT regexp_extract(token, '{url_filter.ONE_WORD}', 1) AS word FROM (
+      SELECT unnest(string_split_regex({fold("regexp_replace(html, '<[^<>]*>', ' ', 'g')")}, '{WHITE_SQL}+')) AS token FROM pages))
+  WHERE word <> '' GROUP BY word),
+total AS (SELECT coalesce(sum(n), 1)::DOUBLE AS n FROM counts),
+parts AS (
+  SELECT host, unnest(list) AS piece, generate_subscripts(list, 1) AS nth
+  FROM (SELECT host, regexp_extract_all(host, '{letters}|[0-9]+') AS list FROM (SELECT DISTINCT host FROM base))),
+pieces AS (SELECT DISTINCT piece FROM parts WHERE NOT piece[1] BETWEEN '0' AND '9'),
+spans AS (
+  SELECT DISTINCT substr(piece, k, size) AS word FROM (
+    SELECT piece, k, unnest(range(1, 1 + least({url_filter.LONGEST_WORD}, len(piece) - k + 1))) AS size
+    FROM (SELECT piece, unnest(range(1, 1 + len(piece))) AS k FROM pieces))),
+costs AS (
+  SELECT map_from_entries(list({{'k': word, 'v': floor(1e6 * ln(counts.n / total.n))::BIGINT}})) AS known
+  FROM counts JOIN spans USING (word), total),
+unseen AS (SELECT known, floor(1e6 * ln(10 / n))::BIGINT AS unknown FROM costs, total),
+walk AS (
+  SELECT piece, 0 AS i, [0::BIGINT] AS best, [0::BIGINT] AS back FROM pieces
+  UNION ALL
+  SELECT piece, i + 1, list_append(best, hit.s), list_append(back, -hit.k) FROM (
+    SELECT piece, i, best, back, list_sort(list_transform(range(greatest(0, i + 1 - {url_filter.LONGEST_WORD}), i + 1), lambda k: {{
+      's': best[k + 1] + coalesce(known[substr(piece, k + 1, i + 1 - k)], unknown - {url_filter.TENTH} * (i + 1 - k)), 'k': -k}}), 'DESC')[1] AS hit
+    FROM walk, unseen WHERE i < len(piece))),
+trace AS (
+  SELECT piece, len(piece)::BIGINT AS j, back, []::VARCHAR[] AS words FROM walk WHERE i = len(piece)
+  UNION ALL
+  SELECT piece, back[j + 1], back, list_prepend(substr(piece, back[j + 1] + 1, j - back[j + 1]), words) FROM trace WHERE j > 0),
+hosts AS (
+  SELECT host, flatten(list(coalesce(words, ['#' || len(piece)]) ORDER BY nth)) AS words
+  FROM parts LEFT JOIN (SELECT piece, words FROM trace WHERE j = 0) USING (piece) GROUP BY host),
+named AS (SELECT base.*, coalesce(words, []) AS words FROM base LEFT JOIN hosts USING (host)),
+told AS (
+  SELECT page_id, says, list_concat(list_transform(words, lambda w: 'h:' || w), list_transform(tokens, lambda w: 'p:' || w)) AS list, host, path, rule, words FROM named),
+seen AS (
+  SELECT token, count(*) FILTER (says = 'block') AS b, count(*) FILTER (says = 'allow') AS a
+  FROM (SELECT says, unnest(list) AS token FROM told WHERE says IS NOT NULL) GROUP BY token),
+size AS (SELECT coalesce(sum(b), 0) + count(*) + 1 AS all_b, coalesce(sum(a), 0) + count(*) + 1 AS all_a FROM seen),
+ruled AS (SELECT count(*) FILTER (says = 'block') AS b, count(*) FILTER (says = 'allow') AS a FROM base),
+model AS (
+  SELECT (SELECT map_from_entries(list({{'k': token, 'v': {odds(b='b', a='a', B='all_b', A='all_a')}}})) FROM seen, size) AS weights,
+    {odds(b='0', a='0', B='all_b', A='all_a')} AS unseen, {odds(b='b', a='a', B='1', A='1')} AS prior FROM size, ruled),
+scored AS (
+  SELECT told.*, prior + coalesce(list_sum(list_transform(list, lambda t: coalesce(weights[t], model.unseen))), 0)::BIGINT AS score
+  FROM told, model)
+SELECT page_id, host, path, rule, coalesce(says, CASE WHEN score > 0 THEN 'block' ELSE 'allow' END) AS verdict, score,
+  array_to_string(words, ' ') AS words FROM scored"""
+
+
 OP12_SQL = r"""
 WITH found AS (
   SELECT doc_id, unnest(regexp_extract_all(
@@ -217,13 +289,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing,
         "op7_language": op7_language, "op8_substring": op8_substring, "op9_sharding": op9_sharding,
         "op10_mixing": op10_mixing,
-        "op12_ranked": op12_ranked, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run,
+        "op11_url_filter": op11_url_filter, "op12_ranked": op12_ranked, "op13_vector_codes": op13_vector_codes, "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_substring": OP8_SQL,
-        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL, "op12_ranked": OP12_SQL,
+        "op9_sharding": _op9_sql(), "op10_mixing": OP10_SQL, "op11_url_filter": _op11_sql(), "op12_ranked": OP12_SQL,
         "op13_vector_codes": _op13_sql(),
     }
