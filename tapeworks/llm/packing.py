@@ -14,6 +14,9 @@ Tokenizing, counting, ranking and placing are distributed; no group is gathered.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import sys
 import zlib
 from array import array
@@ -33,27 +36,54 @@ from tapeworks.llm.shared import stash, with_package
 CAPACITY = 2_048
 END = 0  # the id after every document
 TOKENIZER = "byte_bpe_50k.tiktoken"  # the ranks of byte_bpe_50k.json
+LONG_BLANK = 10_000  # blanks in a row that the rank pattern is not trusted with
 RANKED_TOGETHER = 100_000  # pieces of one length that one task orders
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text, special tokens' texts being ordinary text.
+    """Ids of a text by the vocabulary file ``path``.
 
-    ``path`` is a vocabulary file: ``.json`` is read by ``tokenizers``; ``.tiktoken`` holds the ranks of a
-    byte-level vocabulary with the usual pattern and gives the same ids several times faster.
+    ``.json`` is read by ``tokenizers``. ``.tiktoken`` holds the ranks of a byte-level vocabulary with the usual
+    pattern and gives the same ids several times faster. What ranks cannot do comes from the ``.json`` file beside
+    them: the ids of added tokens that a text spells out, and parts with a run of ``LONG_BLANK`` blanks or more, on
+    which the pattern's look-ahead would overflow the stack.
     """
-    if path.endswith(".tiktoken"):
-        import tiktoken
+    if not path.endswith(".tiktoken"):
+        return _json_encoder(path)
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                             special_tokens={}).encode_ordinary
+    whole = path.removesuffix(".tiktoken") + ".json"
+    if not os.path.exists(whole):
+        return fast
+    with open(whole, encoding="utf-8") as file:
+        added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    names = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    blanks = re.compile(r"\s{%d}" % LONG_BLANK)
+
+    def encode(text: str) -> list[int]:
+        ids: list[int] = []
+        for part in names.split(text) if names else [text]:
+            if part in added:
+                ids.append(added[part])
+            elif len(part) >= LONG_BLANK and blanks.search(part):
+                ids += _json_encoder(whole)(part)
+            else:
+                ids += fast(part)
+        return ids
+
+    return encode
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                 special_tokens={}).encode_ordinary
+
+@lru_cache(maxsize=2)
+def _json_encoder(path: str) -> Callable[[str], list[int]]:
     from tokenizers import Tokenizer
 
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
     return lambda text: made.encode(text, add_special_tokens=False).ids
 
 

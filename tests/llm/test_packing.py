@@ -52,7 +52,6 @@ def test_plan_is_best_fit_decreasing(seed):
 
 def ids_of(text):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -61,6 +60,18 @@ ODD = ["", " ", "a", " a  b", "x \n y", "a  b", "tab\there", "end ", "\n\n a",
        "ab" * 9 + "\u00a0 b \u2003\u2003x \u0085y \ufeffz ½ ² Ⅷ ٣ 𝟘 👩‍👩‍👧 e\u0301 I'LL i'll \x00\x01\r\nq\r \x0b\x0cw"]
 
 
+def test_special_text_and_long_runs():
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275] == ids_of("a <|endoftext|> b")
+    assert encode("<|endoftext|><|endoftext|>x") == ids_of("<|endoftext|><|endoftext|>x")
+    for c in (" ", "\t", "\n", "\u00a0", "z", "é"):
+        run = c * 60_000
+        for text in (f"a b{run}", f"{run}c", f"x {run} y<|endoftext|>{run} z"):
+            assert encode(text) == ids_of(text), (c, text[:5])
+    for c in (" ", "\n", "z"):
+        assert encode(c * 2_000_000) == ids_of(c * 2_000_000)
+
+
 def test_round_trip(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, ODD[3]), (None, "nobody"), (77, None)]
     docs = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, piece int, offset string")
