@@ -21,13 +21,10 @@ The copies in the shared folder are read by the returned frame; they stay until
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import LOWER, UPPER, WHITE, stash, with_package
+from tapeworks.llm.shared import LOWER, UPPER, WHITE, stash
 
 # Fixed values of the contract: a host with its subdomains and the start of a path.
 RULES = (
@@ -77,31 +74,34 @@ def word_counts(texts: DataFrame, text_col: str) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def best_split(piece: str, known: dict[tuple[int, int], int], unknown: int) -> list[str]:
-    """The likeliest words of a piece; of equal ones the longest last word. ``known``: score by (start, length)."""
-    best, back = [0], [0]
-    for end in range(1, len(piece) + 1):
-        score, start = max(
-            (best[k] + known.get((k, end - k), unknown - TENTH * (end - k)), -k)
-            for k in range(max(0, end - LONGEST_WORD), end))
-        best.append(score)
-        back.append(-start)
-    words, end = [], len(piece)
-    while end:
-        words.append(piece[back[end]:end])
-        end = back[end]
-    return words[::-1]
+def best_split(piece: Column, known: Column, unknown: int) -> Column:
+    """The likeliest words of a piece, in order; of equal ones the longest last word.
+
+    ``known`` maps words to their score. Position by position, the best score of a prefix is that of a shorter one
+    plus its last word; the start of that word is kept and followed back from the end.
+    """
+    def score(k: Column, end: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, F.substring(piece, k + 1, end - k)), F.lit(unknown) - TENTH * (end - k))
+
+    def step(seen: Column, end: Column) -> Column:
+        hit = F.array_max(F.transform(F.sequence(F.greatest(end - LONGEST_WORD, F.lit(0)), end - 1), lambda k: F.struct(
+            (F.get(seen["best"], k) + score(k, end)).alias("score"), (-k).alias("back"))))
+        return F.transform(F.array(hit), lambda h: F.struct(
+            F.array_append(seen["best"], h["score"]).alias("best"), F.array_append(seen["back"], -h["back"]).alias("back")))[0]
+
+    ends = F.sequence(F.lit(1), F.length(piece))
+    back = F.aggregate(ends, F.struct(F.array(F.lit(0).cast("long")).alias("best"), F.array(F.lit(0)).alias("back")), step)["back"]
+    return F.transform(F.array(back), lambda b: _followed(piece, ends, b))[0]
 
 
-def _split(unknown: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column(0).to_pylist()
-            words = [best_split(p, {(k["start"], k["size"]): k["score"] for k in known or ()}, unknown)
-                     for p, known in zip(pieces, batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], names=["piece", "words"])
+def _followed(piece: Column, ends: Column, back: Column) -> Column:
+    """The words that end where ``back`` leads, from the end of the piece to its start."""
+    def follow(at: Column, _: Column) -> Column:
+        start = F.get(back, at["end"])
+        return F.when(at["end"] > 0, F.struct(start.alias("end"), F.array_prepend(
+            at["words"], F.substring(piece, start + 1, at["end"] - start)).alias("words"))).otherwise(at)
 
-    return run
+    return F.aggregate(ends, F.struct(F.length(piece).alias("end"), F.array().cast("array<string>").alias("words")), follow)["words"]
 
 
 def segment(hosts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -116,10 +116,11 @@ def segment(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     spans = pieces.select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start")).select(
         "piece", "start", F.explode(F.sequence(F.lit(1), F.least(
             F.lit(LONGEST_WORD), F.length("piece") - F.col("start") + 1))).alias("size")).select(
-        "piece", (F.col("start") - 1).alias("start"), "size", F.expr("substring(piece, start, size)").alias("word"))
-    known = spans.join(counts, "word").groupBy("piece").agg(
-        F.collect_list(F.struct("start", "size", score(F.col("n")).alias("score"))).alias("known"))  # by one piece's length
-    split, _ = stash(with_package(pieces.join(known, "piece", "left")).mapInArrow(_split(unknown), "piece string, words array<string>"))
+        "piece", F.expr("substring(piece, start, size)").alias("word")).distinct()
+    known = spans.join(counts, "word").groupBy("piece").agg(F.map_from_entries(F.collect_list(
+        F.struct("word", score(F.col("n")).alias("score")))).alias("known"))  # bounded by one piece's length
+    split, _ = stash(pieces.join(known, "piece", "left").select(
+        "piece", best_split(F.col("piece"), F.col("known"), unknown).alias("words")))
     shape = F.array(F.concat(F.lit("#"), F.length("piece")))
     named = parts.join(split, "piece", "left").select(
         "host", F.struct("nth", F.when(letters, F.col("words")).otherwise(shape).alias("words")).alias("at"))

@@ -6,7 +6,7 @@ import random
 import re
 from collections import Counter
 
-import pytest
+from pyspark.sql import functions as F
 
 from tapeworks.llm import url_filter as U
 
@@ -85,16 +85,19 @@ def test_same_as_plain(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
 
 
-def test_best_split_is_the_best_of_all():
+def test_best_split_is_the_best_of_all(spark):
     rng = random.Random(4)
-    for _ in range(60):
-        piece = "".join(rng.choices("ab", k=rng.randrange(1, 10)))
+    cases = []
+    for i in range(60):
         counts = Counter("".join(rng.choices("ab", k=rng.randrange(1, 5))) for _ in range(40))
-        known = {(k, n): math.floor(1e6 * math.log(counts[piece[k:k + n]] / 40))
-                 for k in range(len(piece)) for n in range(1, len(piece) - k + 1) if piece[k:k + n] in counts}
-        found = U.best_split(piece, known, math.floor(1e6 * math.log(10 / 40)))
-        assert "".join(found) == piece
-        assert split_cost(found, counts, 40) == max(split_cost(w, counts, 40) for w in every_split(piece))
+        cases.append((i, "".join(rng.choices("ab", k=rng.randrange(1, 10))), {w: math.floor(1e6 * math.log(n / 40)) for w, n in counts.items()}, counts))
+    cases.append((60, "xyz", None, Counter()))
+    df = spark.createDataFrame([c[:3] for c in cases], "i int, piece string, known map<string,bigint>")
+    unknown = math.floor(1e6 * math.log(10 / 40))
+    got = {r.i: r.words for r in df.select("i", U.best_split(F.col("piece"), F.col("known"), unknown).alias("words")).collect()}
+    for i, piece, _, counts in cases:
+        assert "".join(got[i]) == piece
+        assert split_cost(got[i], counts, 40) == max(split_cost(w, counts, 40) for w in every_split(piece))
 
 
 def test_long_and_none(spark):
