@@ -1,32 +1,30 @@
 """As-of joins.
 
 Each join first reduces the probes to their distinct (key, time) pairs, matches
-those in one window per key, and joins the answer back with an equi-join. With
-date columns a key's window is bounded by the calendar, so a key that holds a
-third of the probe rows costs no more than any other; the equi-join back is a
-plain join that adaptive execution may split.
+those, and joins the answer back with an equi-join, a plain join that adaptive
+execution may split. With date columns a key's matching is bounded by the calendar
+and done in one window per key. ``ranged`` cuts keys into ranges of time that are
+matched each by itself, with the last row of every range carried into the next ones
+(``ranges.nearest``): for fine-grained times, or with no key at all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeworks.operators import ranges as R
 
-def _latest(probe: DataFrame, ref: DataFrame, by: list[str], ts: str, payload: list[str], ref_ts: str) -> DataFrame:
+
+def _latest(probe: DataFrame, ref: DataFrame, by: list[str], ts: str, payload: list[str], ref_ts: str,
+            ranged: bool | int) -> DataFrame:
     """(by, ts) of the probes with ``hit_`` = latest struct(ref_ts, payload) at or before ts."""
     types = dict(ref.dtypes)
+    shape = "struct<since_:%s,%s>" % (types[ref_ts], ",".join(f"{c}:{types[c]}" for c in payload))
+    entry = F.struct(F.col(ref_ts).alias("since_"), *[F.col(c) for c in payload]).cast(shape)
     asked = probe.select(*by, F.col(ts).alias("at_")).distinct()
-    entry = F.struct(F.col(ref_ts).alias("since_"), *[F.col(c) for c in payload])
     known = ref.select(*by, F.col(ref_ts).alias("at_"), entry.alias("hit_"))
-    shape = "struct<since_:%s,%s>" % (types[ref_ts], ",".join(f"{c}:{types[c]}" for c in payload))
-    both = asked.select(*by, "at_", F.lit(1).alias("asked_"), F.lit(None).cast(shape).alias("hit_")).unionByName(
-        known.select(*by, "at_", F.lit(0).alias("asked_"), F.col("hit_").cast(shape)))
-    order = Window.partitionBy(*by).orderBy("at_", "asked_").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        both.withColumn("hit_", F.last("hit_", ignorenulls=True).over(order))
-        .filter("asked_ = 1").drop("asked_").withColumnRenamed("at_", ts)
-    )
+    return R.nearest(asked, known, by, "at_", "hit_", ranged=ranged).withColumnRenamed("at_", ts)
 
 
 def keep_last(ref: DataFrame, by: list[str], ts: str, cols: list[str], order: Column) -> DataFrame:
@@ -35,22 +33,23 @@ def keep_last(ref: DataFrame, by: list[str], ts: str, cols: list[str], order: Co
     return ref.groupBy(*by, ts).agg(best).select(*by, ts, "row_.*")
 
 
-def asof_ffill(probe: DataFrame, ref: DataFrame, by: list[str], ts: str, cols: list[str]) -> DataFrame:
+def asof_ffill(probe: DataFrame, ref: DataFrame, by: list[str], ts: str, cols: list[str],
+               ranged: bool | int = False) -> DataFrame:
     """Left join of the latest reference row with the same ``by`` at or before ``ts``.
 
     ``ref`` has one row per (by, ts); see ``keep_last``.
     """
-    found = _latest(probe, ref, by, ts, cols, ts)
+    found = _latest(probe, ref, by, ts, cols, ts, ranged)
     flat = found.select(*by, ts, *[F.col(f"hit_.{c}").alias(c) for c in cols])
     return probe.join(flat, [*by, ts], "left")
 
 
 def asof_latest(
     probe: DataFrame, events: DataFrame, by: list[str], ts: str, event_ts: str, cols: list[str],
-    max_age_days: int | None = None,
+    max_age_days: int | None = None, ranged: bool | int = False,
 ) -> DataFrame:
     """As ``asof_ffill`` for events; adds ``event_ts`` and drops hits that are too old."""
-    found = _latest(probe, events, by, ts, cols, event_ts)
+    found = _latest(probe, events, by, ts, cols, event_ts, ranged)
     fresh = F.lit(True)
     if max_age_days is not None:
         fresh = F.date_diff(F.col(ts), F.col("hit_.since_")) <= max_age_days
@@ -60,24 +59,14 @@ def asof_latest(
     return probe.join(flat, [*by, ts], "left")
 
 
-def asof_next_bar(predictions: DataFrame, bars: DataFrame, at: str, offset: str) -> DataFrame:
+def asof_next_bar(predictions: DataFrame, bars: DataFrame, at: str, offset: str, ranged: bool | int = False) -> DataFrame:
     """First bar on or after ``at`` and the close ``offset`` bars later, both may be null.
 
     Adds ``start_bar``, ``p0`` and ``p1``.
     """
     asked = predictions.select("ticker", F.to_date(at).alias("at_")).distinct()
-    both = asked.select("ticker", F.col("at_").alias("d_"), F.lit(0).alias("is_bar_"),
-                        F.lit(None).cast("bigint").alias("start_bar")).unionByName(
-        bars.select("ticker", F.col("dt").alias("d_"), F.lit(1).alias("is_bar_"),
-                    F.col("bar").alias("start_bar")))
-    # Read backwards in time, so the frame only grows: the nearest later bar is
-    # the last bar seen.
-    back = (Window.partitionBy("ticker").orderBy(F.col("d_").desc(), F.col("is_bar_").desc())
-            .rowsBetween(Window.unboundedPreceding, 0))
-    starts = (
-        both.withColumn("start_bar", F.last("start_bar", ignorenulls=True).over(back))
-        .filter("is_bar_ = 0").select("ticker", F.col("d_").alias("at_"), "start_bar")
-    )
+    known = bars.select("ticker", F.col("dt").alias("at_"), F.col("bar").alias("start_bar"))
+    starts = R.nearest(asked, known, ["ticker"], "at_", "start_bar", backwards=True, ranged=ranged)
     closes = bars.select("ticker", "bar", "close")
     return (
         predictions.withColumn("at_", F.to_date(at))

@@ -155,14 +155,14 @@ def due(predictions: DataFrame, now: Column) -> Column:
     return F.date_add(F.to_date("predicted_at"), days) <= now
 
 
-def mature_labels(predictions: DataFrame, bars: DataFrame, now: Column) -> DataFrame:
+def mature_labels(predictions: DataFrame, bars: DataFrame, now: Column, ranged: bool | int = False) -> DataFrame:
     """All predictions with ``realized_return`` and ``matured`` filled where possible.
 
     Due rows are found before anything is limited; a row whose future bars are
     missing stays unmatured.
     """
     rows = predictions.withColumn("due_", due(predictions, now))
-    hit = J.asof_next_bar(rows.filter("due_"), bars, "predicted_at", "horizon_days")
+    hit = J.asof_next_bar(rows.filter("due_"), bars, "predicted_at", "horizon_days", ranged)
     gain = F.when(F.col("p0") > 0, F.col("p1") / F.col("p0") - 1)
     done = hit.select("pred_id", gain.alias("realized_return")).filter("realized_return IS NOT NULL")
     return rows.drop("due_").join(done, "pred_id", "left").withColumn("matured", F.col("realized_return").isNotNull())

@@ -46,7 +46,7 @@ def momentum(k: int) -> Column:
     return F.try_divide(F.col("close"), F.lag("close", k).over(by_date())) - 1
 
 
-def price_features(bars: DataFrame, rule: str) -> DataFrame:
+def price_features(bars: DataFrame, rule: str, carried: bool = False) -> DataFrame:
     """Add the seven price features as known at the close of each bar.
 
     ``rule`` selects the edge handling:
@@ -64,6 +64,10 @@ def price_features(bars: DataFrame, rule: str) -> DataFrame:
       enters the next one with weight ``b**(k + 1)``, so long series stay finite;
     * 52-week high: a window of 252 rows is the right end of one block of 252
       and the left end of the next, and both have running maxima.
+
+    ``carried`` is for pieces of series (``slices``): rows with ``halo_`` only serve
+    frames that look back, and the averages start from ``up_in_`` and ``down_in_``,
+    their values before bar ``start_``.
     """
     live = rule in ("snapshot", "panel")
     span = 59 if live else 60                   # returns in the volatility
@@ -72,6 +76,8 @@ def price_features(bars: DataFrame, rule: str) -> DataFrame:
     alpha, keep = 1.0 / RSI_PERIOD, 1.0 - 1.0 / RSI_PERIOD
     block = F.greatest(F.floor(step / EWM_BLOCK), F.lit(0)).cast("int")
     change = F.col("close") - F.lag("close").over(by_date())
+    if carried:
+        change = F.when(~F.col("halo_"), change)
     short = F.lit(0.0) if rule == "backtest" else F.lit(None).cast("double")
 
     first = {"lr_": log_return(), "up_": change, "down_": -change, "block_": block,
@@ -110,11 +116,14 @@ def price_features(bars: DataFrame, rule: str) -> DataFrame:
             F.col("from_left_"), F.lag("from_right_", HIGH_BARS - 1).over(by_ticker().orderBy("slab_", "bar"))),
     })
 
-    def carried(own: str) -> Column:
+    def from_last_block(own: str) -> Column:
         carry = F.when(F.col("block_") > 0, F.first(f"{own}prev_").over(in_block))
         return F.col(own) + F.coalesce(carry * F.pow(F.lit(keep), k + 1), F.lit(0.0))
 
-    df = df.withColumns({"gain_": carried("gain_"), "loss_": carried("loss_")})
+    df = df.withColumns({"gain_": from_last_block("gain_"), "loss_": from_last_block("loss_")})
+    if carried:
+        fade = F.pow(F.lit(keep), (F.col("bar") - F.col("start_") + 1).cast("double"))
+        df = df.withColumns({"gain_": F.col("gain_") + F.col("up_in_") * fade, "loss_": F.col("loss_") + F.col("down_in_") * fade})
     variance = (F.col("q_") - F.col("s_") * F.col("s_") / F.col("n_")) / (F.col("n_") - 1)
     spread = F.when(F.col("n_") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)) * 252))
     gain, loss = F.col("gain_"), F.col("loss_")

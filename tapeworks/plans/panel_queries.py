@@ -64,17 +64,23 @@ def q05_rsi(spark, sf):
     return six(out.select("ticker", "dt", "rsi_14"))
 
 
-def q06_channels_volume(spark, sf):
-    rows = M.bars(spark, sf).withColumn("logret", TS.channel_returns())
+VOLUME_CHANNELS = ["logret", "vol", "rel_volume", "log_dollar_vol"]
+
+
+def volume_channels(bars: DataFrame) -> DataFrame:
+    rows = bars.withColumn("logret", TS.channel_returns())
     rows = rows.withColumn("vol", TS.trailing_std("logret", 20, TS.by_date()))
     rows = rows.withColumn("median_", TS.trailing_median("volume", 20, TS.by_date()))
-    return six(rows.select(
-        "ticker", "dt", "logret", "vol",
-        TS.relative_volume(F.col("volume"), F.col("median_")).alias("rel_volume"),
-        TS.log_dollar_volume(F.col("close"), F.col("volume")).alias("log_dollar_vol")))
+    return rows.withColumns({
+        "rel_volume": TS.relative_volume(F.col("volume"), F.col("median_")),
+        "log_dollar_vol": TS.log_dollar_volume(F.col("close"), F.col("volume"))})
+
+
+def q06_channels_volume(spark, sf):
+    return six(volume_channels(M.bars(spark, sf)).select("ticker", "dt", *VOLUME_CHANNELS))
 
 
-def q07_excess_return(spark, sf):
+def q07_excess_return(spark, sf, ranged=False):
     px = durable(M.prices(spark, sf)).select("ticker", "dt", "close")
     sectors = M.industries(spark, sf).select("ticker", "sector")
     market = M.market_series(px).withColumnRenamed("close", "market_close")
@@ -82,8 +88,8 @@ def q07_excess_return(spark, sf):
     # The references are matched to the dates (and sectors) that occur, which the calendar bounds; the
     # matches are broadcast when measured to be small, so the panel itself moves once, by ticker.
     panel = px.join(O.checked_broadcast(sectors), "ticker", "left")
-    days = J.asof_ffill(px.select("dt").distinct(), market, [], "dt", ["market_close"])
-    sector_days = J.asof_ffill(panel.select("sector", "dt").distinct(), by_sector, ["sector"], "dt", ["sector_close"])
+    days = J.asof_ffill(px.select("dt").distinct(), market, [], "dt", ["market_close"], ranged)
+    sector_days = J.asof_ffill(panel.select("sector", "dt").distinct(), by_sector, ["sector"], "dt", ["sector_close"], ranged)
     rows = O.attach(panel.join(O.checked_broadcast(days), "dt"), O.checked_broadcast(sector_days), ["sector", "dt"], "left")
     own = TS.channel_returns("close")
     return six(rows.select(
@@ -93,9 +99,9 @@ def q07_excess_return(spark, sf):
         .otherwise(0.0).alias("rel_strength_vs_sector")))
 
 
-def earnings_pulse(probe: DataFrame, events: DataFrame) -> DataFrame:
+def earnings_pulse(probe: DataFrame, events: DataFrame, ranged: bool | int = False) -> DataFrame:
     hit = J.asof_latest(probe, events.withColumn("value_", S.clip(F.col("surprise_pct") / 50, -1.0, 1.0)),
-                        ["ticker"], "dt", "announce_date", ["value_"], K.PULSE_MAX_AGE_DAYS)
+                        ["ticker"], "dt", "announce_date", ["value_"], K.PULSE_MAX_AGE_DAYS, ranged)
     decay = F.exp(-F.date_diff("dt", "announce_date") / K.PULSE_DECAY_DAYS)
     return hit.withColumn("earn_surprise_pulse", F.coalesce(F.col("value_") * decay, F.lit(0.0))).drop("value_")
 
@@ -107,9 +113,9 @@ def analyst_net(probe: DataFrame, ratings: DataFrame) -> DataFrame:
     return hit.withColumn("analyst_net_buy_ts", F.coalesce("net_", F.lit(0.0))).drop("net_")
 
 
-def q08_earnings_pulse(spark, sf):
+def q08_earnings_pulse(spark, sf, ranged=False):
     days = durable(M.daily(spark, sf))
-    out = earnings_pulse(days.select("ticker", "dt"), M.earnings(spark, sf, days))
+    out = earnings_pulse(days.select("ticker", "dt"), M.earnings(spark, sf, days), ranged)
     return six(out.select("ticker", "dt", "announce_date", "earn_surprise_pulse"))
 
 

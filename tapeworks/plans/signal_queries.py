@@ -93,12 +93,12 @@ def q37_feature_psi(spark, sf):
     return six(feature_drift(spark, sf).drop("n"), 4)
 
 
-def matured(spark, sf, rows: DataFrame | None = None, spread: int = 0) -> tuple[DataFrame, int]:
+def matured(spark, sf, rows: DataFrame | None = None, spread: int = 0, ranged: bool = False) -> tuple[DataFrame, int]:
     """Predictions with their realised returns; ``rows``: scored rows, where a caller has them."""
     if rows is None:
         rows, spread = M.scored(spark, sf)
     preds = durable(M.predictions(rows))
-    return N.mature_labels(preds, durable(M.bars(spark, sf)), F.to_date(F.lit(NOW))), spread
+    return N.mature_labels(preds, durable(M.bars(spark, sf)), F.to_date(F.lit(NOW)), ranged), spread
 
 
 def q38_mature_labels(spark, sf):

@@ -6,6 +6,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as Parquet below the checkpoint folder and go on from the files.
+
+    Unlike ``durable`` the copy is columnar and has a size: later plans prune its columns and know when it is small.
+    It does not keep the partitioning, so a table that feeds windows on its own keys is better made durable. The
+    files stay until the folder's owner clears it.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str = "8", memory: str = "8g", name: str = "tapeworks") -> SparkSession:
     """A local session for tests and benchmarks.
 
