@@ -28,35 +28,59 @@ def finite_or_null(value: str = "value") -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != INF), v)
 
 
-def finite_rows(long: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, value) with null for what is not a finite number. A projection of the scan: rows are not moved."""
-    return long.select(*keys, finite_or_null().alias("value"))
+def finite_rows(long: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """(keys, value, c_) with null for what is not a finite number. A projection of the scan: rows are not moved."""
+    return long.select(*keys, finite_or_null().alias("value"), (F.col(weight) if weight else F.lit(1)).alias("c_"))
 
 
 def distribution_stats(long: DataFrame, keys: list[str], *, spread: bool | int = True, max_groups: int | None = None,
-                       extra_probs: dict[str, float] | None = None) -> DataFrame:
+                       extra_probs: dict[str, float] | None = None, weight: str | None = None) -> DataFrame:
     """(keys, mean, std, missing_rate, n, p5..p95); all-missing groups give zeros.
 
     ``extra_probs`` adds further percentile columns from the same passes (null
     where there is no value). One map-side combined pass gives counts, moments and
     the number of distinct values; the percentiles count buckets in further scans.
     Only aggregates are shuffled, and the groups are counted, not assumed.
+
+    ``weight``: ``long`` is a state of value counts (``drift_state``) with that column. Its groups are ordered in
+    one task each while their distinct values are few.
     """
-    rows = finite_rows(long, keys)
-    base = durable(rows.groupBy(*keys).agg(        # one row per group
-        F.count(F.lit(1)).alias("n"), F.count("value").alias("ok_"),
-        F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"),
-        F.approx_count_distinct("value").alias("d_")))
+    rows = finite_rows(long, keys, weight)
+    if weight:
+        base, spread = _counted_moments(rows, keys)
+    else:
+        base = durable(rows.groupBy(*keys).agg(        # one row per group
+            F.count(F.lit(1)).alias("n"), F.count("value").alias("ok_"),
+            F.coalesce(F.avg("value"), F.lit(0.0)).alias("mean"),
+            F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std"),
+            F.approx_count_distinct("value").alias("d_")))
     probs = {**QUANTILES, **(extra_probs or {})}
     groups = base.count() if max_groups is None else max_groups
     pct = O.percentiles(rows, keys, "value", probs, spread=spread, max_groups=groups,
-                        sizes=base.select(*keys, "d_").filter("d_ > 0"))
+                        sizes=base.select(*keys, "d_").filter("d_ > 0"), weight="c_" if weight else None)
     out = O.attach(base, pct, keys, "left")
     return out.select(*keys, "mean", "std", (1 - F.col("ok_") / F.col("n")).alias("missing_rate"), "n",
                       *[F.coalesce(q, F.lit(0.0)).alias(q) for q in QUANTILES], *(extra_probs or {}))
 
 
+def _counted_moments(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, bool]:
+    """(keys, n, ok_, mean, std, d_) of value counts, and whether a group has too many values for one task.
+
+    The deviation is taken from the mean in a second pass over the counts: sums of squares would cancel.
+    """
+    here = F.col("value").isNotNull()
+    first = durable(rows.groupBy(*keys).agg(
+        F.sum("c_").alias("n"), F.coalesce(F.sum(F.when(here, F.col("c_"))), F.lit(0)).alias("ok_"),
+        F.coalesce(F.sum(F.col("value") * F.col("c_")), F.lit(0.0)).alias("s_"), F.count("value").alias("d_")))
+    mean = F.when(F.col("ok_") > 0, F.col("s_") / F.col("ok_")).otherwise(0.0)
+    means = O.checked_broadcast(first.select(*keys, mean.alias("mean")))
+    away = (F.col("value") - F.col("mean")) * (F.col("value") - F.col("mean")) * F.col("c_")
+    second = O.attach(rows, means, keys).groupBy(*keys, "mean").agg(F.coalesce(F.sum(away), F.lit(0.0)).alias("q_"))
+    out = O.attach(first, second, keys).withColumn(
+        "std", F.when(F.col("ok_") > 0, F.sqrt(F.col("q_") / F.col("ok_"))).otherwise(0.0)).drop("s_", "q_")
+    return durable(out), (first.agg(F.max("d_")).first()[0] or 0) > O.GROUP_ROWS_IN_ONE_TASK
+
+
 def edges_from(columns: list[str]) -> Column:
     """Distinct sorted percentile columns with open ends; under two values: empty."""
     inner = F.array_distinct(F.array_sort(F.array_compact(F.array(*columns))))
@@ -65,28 +89,29 @@ def edges_from(columns: list[str]) -> Column:
     return F.when(size >= 2, opened).otherwise(F.array().cast("array<double>"))
 
 
-def baseline(long: DataFrame, keys: list[str], n_bins: int = K.PSI_BINS, *, max_groups: int | None = None) -> DataFrame:
+def baseline(long: DataFrame, keys: list[str], n_bins: int = K.PSI_BINS, *, max_groups: int | None = None,
+             weight: str | None = None) -> DataFrame:
     """Distribution statistics, frozen quantile edges and the shares of the bins."""
     cuts = {f"e{i}_": i / n_bins for i in range(n_bins + 1)}
-    stats = durable(distribution_stats(long, keys, max_groups=max_groups, extra_probs=cuts))
+    stats = durable(distribution_stats(long, keys, max_groups=max_groups, extra_probs=cuts, weight=weight))
     stats = stats.withColumn("edges", edges_from(list(cuts))).drop(*cuts)
-    props = proportions(long, keys, stats.select(*keys, "edges"))
+    props = proportions(long, keys, stats.select(*keys, "edges"), weight=weight)
     return stats.join(props, keys, "left").withColumn(
         "props", F.coalesce("props", F.array().cast("array<double>")))
 
 
-def proportions(long: DataFrame, keys: list[str], edges: DataFrame, by: list[str] = ()) -> DataFrame:
+def proportions(long: DataFrame, keys: list[str], edges: DataFrame, by: list[str] = (), weight: str | None = None) -> DataFrame:
     """(by, keys, props): share of the finite values in each bin of frozen edges.
 
     Edges have one row per feature. They are measured, and broadcast when small, so
     that the long side is not moved by its hot keys.
     """
-    rows = finite_rows(long, [*by, *keys]).filter("value IS NOT NULL")
+    rows = finite_rows(long, [*by, *keys], weight).filter("value IS NOT NULL")
     side = edges.filter(F.size("edges") >= 2)
     rows = rows.join(O.checked_broadcast(side), keys)
     bin_ = F.size(F.filter("edges", lambda e: e <= F.col("value"))) - 1
     counts = rows.groupBy(*by, *keys, bin_.alias("bin"), (F.size("edges") - 1).alias("bins")).agg(
-        F.count(F.lit(1)).alias("c"))
+        F.sum("c_").alias("c"))
     packed = counts.groupBy(*by, *keys, "bins").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("m"), F.sum("c").alias("t"))
     dense = F.transform(
@@ -107,13 +132,14 @@ def psi_status(value: Column | str) -> Column:
     return F.when(v >= K.PSI_CRITICAL, "critical").when(v >= K.PSI_WARNING, "warning").otherwise("stable")
 
 
-def feature_drift(live: DataFrame, base: DataFrame, by: list[str], *, max_groups: int | None = None) -> DataFrame:
-    """One row per (by, feature) of the live rows that has a baseline."""
+def feature_drift(live: DataFrame, base: DataFrame, by: list[str], *, max_groups: int | None = None,
+                  weight: str | None = None) -> DataFrame:
+    """One row per (by, feature) of the live rows (or, with ``weight``, value counts) that has a baseline."""
     keys = ["feature"]
     known = base.select("feature", "edges", F.col("props").alias("base_props_"))
     live = live.join(O.checked_broadcast(known.select("feature")), "feature", "left_semi")
-    stats = distribution_stats(live, [*by, *keys], max_groups=max_groups)
-    props = proportions(live, keys, known.select("feature", "edges"), by)
+    stats = distribution_stats(live, [*by, *keys], max_groups=max_groups, weight=weight)
+    props = proportions(live, keys, known.select("feature", "edges"), by, weight)
     out = stats.join(props, [*by, *keys], "left").join(O.checked_broadcast(known.drop("edges")), keys)
     value = psi(F.col("base_props_"), F.coalesce("props", F.array().cast("array<double>")))
     return out.withColumn("psi", value).withColumn("status", psi_status("psi")).drop("props", "base_props_")

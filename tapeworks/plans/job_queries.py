@@ -127,13 +127,15 @@ def q86_display_numbers(spark, sf):
 
 
 def q87_drift_stream(spark, sf):
-    """Feature drift of the live quarters, computed by a stream over the arriving lines."""
-    base, live = Q.drift_parts(spark, sf)
-    arriving, out, state = (folder(spark, n) for n in ("lines", "drift", "state"))
-    live.write.parquet(arriving)
-    stream = spark.readStream.schema(live.schema).parquet(arriving)
-    jobs.drift_stream(stream, base, ["quarter"], out, state).awaitTermination()
-    return six(spark.read.parquet(out).drop("n", "batch"), 4)
+    """Feature drift of the live quarters from the state that a stream keeps; lines of a quarter arrive in several batches."""
+    base, _, _ = Q.drift_parts(spark, sf)
+    live = M.drift_rows(spark, sf).filter("quarter >= '1998'")
+    arriving, out, state = (folder(spark, n) for n in ("lines", "counts", "state"))
+    live.repartition(3).write.parquet(arriving)
+    stream = spark.readStream.schema(live.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
+    jobs.drift_state_stream(stream, ["quarter", "feature"], out, state).awaitTermination()
+    counts = jobs.read_drift_state(spark, out, ["quarter", "feature"])
+    return six(N.feature_drift(counts, base, ["quarter"], weight="c").drop("n"), 4)
 
 
 def q88_maturation_stream(spark, sf):
@@ -232,7 +234,7 @@ def q97_own_panel(spark, sf):
 def q98_recent_state(spark, sf):
     """What the monitoring store serves: the baseline captured last, and the ten newest correlations and alerts."""
     path, log = folder(spark, "baselines"), folder(spark, "alerts")
-    base, _ = Q.drift_parts(spark, sf)
+    base, _, _ = Q.drift_parts(spark, sf)
     for version, shift in ((1, 1.0), (2, 0.0)):     # a later capture replaces the earlier one
         captured = base.select("feature", (F.col("mean") + shift).alias("mean"), F.lit(version).alias("captured"),
                                F.lit(Q._version()).alias("model_version"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeworks import constants as K
 from tapeworks.functions import scalars as S
 from tapeworks.functions import signals as G
+from tapeworks.operators import drift_state as DS
 from tapeworks.operators import labels as L
 from tapeworks.operators import monitoring as N
 from tapeworks.operators import ordering as O
@@ -74,19 +75,23 @@ def q35_build_portfolio(spark, sf):
 
 
 def q36_dist_stats(spark, sf):
-    rows = M.drift_rows(spark, sf)
-    return six(N.distribution_stats(rows, ["feature"], max_groups=len(M.DRIFT_FEATURES)), 4)
+    rows, weight = DS.counted(M.drift_rows(spark, sf), ["feature"])
+    return six(N.distribution_stats(rows, ["feature"], max_groups=len(M.DRIFT_FEATURES), weight=weight), 4)
 
 
-def drift_parts(spark, sf) -> tuple[DataFrame, DataFrame]:
-    rows = M.drift_rows(spark, sf)
-    base = N.baseline(rows.filter("quarter < '1998'"), ["feature"], max_groups=len(M.DRIFT_FEATURES))
-    return durable(base), rows.filter("quarter >= '1998'")
+def drift_parts(spark, sf) -> tuple[DataFrame, DataFrame, str | None]:
+    """The baseline, the live rows or value counts of them, and their weight column: one scan where values repeat."""
+    rows, weight = DS.counted(M.drift_rows(spark, sf), ["quarter", "feature"])
+    base = N.baseline(rows.filter("quarter < '1998'"), ["feature"], max_groups=len(M.DRIFT_FEATURES), weight=weight)
+    return durable(base), rows.filter("quarter >= '1998'"), weight
 
 
-def feature_drift(spark, sf) -> DataFrame:
-    base, live = drift_parts(spark, sf)
-    return N.feature_drift(live, base, ["quarter"])
+def feature_drift(spark, sf, newest: bool = False) -> DataFrame:
+    """``newest``: of each feature's last quarter only."""
+    base, live, weight = drift_parts(spark, sf)
+    if newest:
+        live = N.latest_period(live, ["feature"], "quarter")
+    return N.feature_drift(live, base, ["quarter"], weight=weight)
 
 
 def q37_feature_psi(spark, sf):
@@ -246,10 +251,12 @@ def prediction_rows(rows: DataFrame) -> DataFrame:
     return rows.select("period", F.lit("prediction").alias("feature"), F.col("model_score").alias("value"))
 
 
-def prediction_drift(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+def prediction_drift(spark, sf, rows: DataFrame | None = None, newest: bool = False) -> DataFrame:
+    """``newest``: of the last period only."""
     rows = prediction_rows(M.scored(spark, sf)[0] if rows is None else rows)
     base = durable(N.baseline(rows.filter(F.col("period") <= BASE_PERIODS), ["feature"], max_groups=1))
-    return N.prediction_drift(rows.filter(F.col("period") > BASE_PERIODS), base, ["period"])
+    live = rows.filter(F.col("period") > BASE_PERIODS)
+    return N.prediction_drift(N.latest_period(live, ["feature"], "period") if newest else live, base, ["period"])
 
 
 def q53_prediction_drift(spark, sf):
@@ -260,9 +267,9 @@ def q53_prediction_drift(spark, sf):
 
 def q54_latest_state(spark, sf):
     """Newest drift row per feature and newest prediction drift, in one long table."""
-    drift = feature_drift(spark, sf).withColumn("model_version", F.lit(_version()))
+    drift = feature_drift(spark, sf, newest=True).withColumn("model_version", F.lit(_version()))
     a = N.latest_per_key(drift, ["model_version", "feature"], ["quarter"])
-    pred = prediction_drift(spark, sf).withColumn("model_version", F.lit(_version()))
+    pred = prediction_drift(spark, sf, newest=True).withColumn("model_version", F.lit(_version()))
     b = N.latest_per_key(pred, ["model_version", "feature"], ["period"])
     cols = ["model_version", "feature", "psi", "status", "mean", "std"]
     return six(a.select(*cols, F.col("quarter").alias("period_key")).unionByName(

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeworks import constants as K
+from tapeworks.operators import drift_state as DS
 from tapeworks.operators import monitoring as N
 from tapeworks.operators import scoring as R
+from tapeworks.session import written
 
 
 def batch_writer(path: str, transform):
@@ -28,6 +30,21 @@ def drift_stream(rows: DataFrame, base: DataFrame, by: list[str], path: str, che
             .trigger(availableNow=True).start())
 
 
+def drift_state_stream(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
+    """Value counts of every arriving batch of (keys, value) rows, to be added up by ``read_drift_state``.
+
+    A period may arrive in any number of batches: its drift comes from all of them together.
+    """
+    write = batch_writer(path, lambda batch: DS.value_counts(batch, keys))
+    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_drift_state(spark, path: str, keys: list[str]) -> DataFrame:
+    """(keys, value, c) over all batches, written once for the statistics that follow."""
+    return written(DS.merge([spark.read.parquet(path)], keys))
+
+
 def signal_state(events: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """Latest signal per (user, ticker). State holds one row per key; replays change nothing."""
     entries = R.parse_payloads(events)
