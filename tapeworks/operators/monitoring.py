@@ -175,10 +175,14 @@ def log_predictions(results: DataFrame, version: str, period: Column, at: Column
         "ticker", score.alias("prediction"), F.lit(horizon).alias("horizon_days"))
 
 
-def due(predictions: DataFrame, now: Column) -> Column:
-    """The horizon has passed: about 1.45 calendar days per bar."""
+def due_on() -> Column:
+    """The day on which the horizon has passed: about 1.45 calendar days per bar."""
     days = F.floor(F.col("horizon_days") * K.CALENDAR_DAYS_PER_BAR).cast("int")
-    return F.date_add(F.to_date("predicted_at"), days) <= now
+    return F.date_add(F.to_date("predicted_at"), days)
+
+
+def due(predictions: DataFrame, now: Column) -> Column:
+    return due_on() <= now
 
 
 def mature_labels(predictions: DataFrame, bars: DataFrame, now: Column, ranged: bool | int = False) -> DataFrame:

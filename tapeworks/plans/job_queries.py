@@ -30,6 +30,7 @@ from tapeworks.plans.signal_oracle import SQL as SIGNAL_SQL
 from tapeworks.session import checkpoint_dir, durable
 from tapeworks.sources import prices as P
 from tapeworks.sources import tables as T
+from tapeworks.sources import versions as V
 from tapeworks.streaming import jobs
 
 
@@ -37,16 +38,20 @@ def folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-WANTED = ["BRAND-11", "BRAND-23", "BRAND-55", "7203.T"]
+FOREIGN = "7203.T"
 REFERENCE = ["BRAND-12"]
 
 
 def q77_price_store(spark, sf):
-    """Prices written clustered by ticker and read back; the wanted names and the reference symbol."""
+    """Prices published clustered by ticker, twice, and read back; all held names (a foreign one is no US name) and
+    the reference symbol."""
     path = folder(spark, "prices")
-    P.write_prices(M.prices(spark, sf), path)
-    wanted = spark.createDataFrame([(t,) for t in WANTED], "ticker string")
-    return six(P.corpus(P.read_prices(spark, path), wanted, REFERENCE).select("ticker", "dt", "close", "volume"))
+    prices = durable(M.prices(spark, sf))
+    P.publish_prices(prices.limit(10), path, 0)
+    P.publish_prices(prices, path, 1)
+    held = M.line_holdings(spark, sf).select("ticker").distinct()
+    wanted = held.unionByName(spark.createDataFrame([(FOREIGN,)], "ticker string"))
+    return six(P.corpus(P.published_prices(spark, path), wanted, REFERENCE).select("ticker", "dt", "close", "volume"))
 
 
 def q78_history_store(spark, sf):
@@ -60,8 +65,8 @@ def q78_history_store(spark, sf):
     docs = surprise.groupBy("ticker").agg(F.collect_list("e").alias("earnings")).join(
         ratings.groupBy("ticker").agg(F.collect_list("a").alias("analyst")), "ticker", "full")
     path = folder(spark, "histories")
-    T.write_report(docs, path)
-    back = T.read_histories(spark, path)
+    T.publish_report(docs, path)
+    back = V.read(spark, path)
     e = T.earnings_rows(back).select("ticker", F.lit("earnings").alias("kind"), "period", F.round("surprise_pct", 4).alias("x"), "announce_date")
     a = T.analyst_rows(back).select("ticker", F.lit("analyst").alias("kind"), "period",
                                     (F.col("buy") * 10000 + F.col("hold") * 100 + F.col("sell")).cast("double").alias("x"),
@@ -266,7 +271,9 @@ def q99_encoded_windows(spark, sf):
 
 SNAPSHOT = features("bars", "snapshot")
 SQL = {
-    "q77_price_store": f"WITH {PX} SELECT ticker, dt, close, volume FROM px WHERE ticker IN {(*WANTED, *REFERENCE)} AND ticker <> '7203.T'",
+    "q77_price_store": f"""WITH {PX}, held AS (
+        SELECT DISTINCT upper(replace(p_brand, '#', '-')) AS ticker FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)
+        SELECT ticker, dt, close, volume FROM px WHERE (ticker IN (SELECT ticker FROM held) AND ticker <> '{FOREIGN}') OR ticker IN ('{REFERENCE[0]}')""",
     "q78_history_store": with_(MONTHLY, """SELECT ticker, 'earnings' AS kind, period, round(round(surprise_pct, 4), 4) AS x, announce_date FROM earnings
         UNION ALL SELECT ticker, 'analyst', period, CAST(buy * 10000 + hold * 100 + sell AS DOUBLE), NULL FROM monthly"""),
     "q79_prediction_log": with_(RESULTS, f"""SELECT v AS model_version, p AS period_key, DATE '2001-11-10' AS predicted_at, ticker,
@@ -274,7 +281,7 @@ SQL = {
         FROM res CROSS JOIN (VALUES ('v1', 1), ('v2', 2)) AS t(v, p)"""),
     "q80_recorded_signals": SIGNAL_SQL["q31_prior_signals"],
     "q81_ranked_results": with_(RESULTS, """SELECT ticker, composite_score, signal, row_number() OVER (ORDER BY composite_score DESC, ticker) AS place
-        FROM res ORDER BY place LIMIT 1000"""),
+        FROM res"""),
     "q82_varied_periods": with_(SCORED, "SELECT period FROM scored GROUP BY 1 HAVING count(DISTINCT model_score) > 1"),
     "q83_neutral_fill": with_(BARS + "," + SNAPSHOT, f"""SELECT ticker, dt, {', '.join(f'round(coalesce({c}, 0.5), 6) AS {c}' for c in K.PRICE_FEATURES)},
         round(coalesce(mom_12m, 0.0), 6) AS emb_0 FROM feats"""),

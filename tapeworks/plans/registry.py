@@ -13,6 +13,7 @@ from tapeworks.plans import (
     panel_queries,
     signal_oracle,
     signal_queries,
+    store_queries,
 )
 
 
@@ -33,9 +34,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return dict(sorted({**panel_queries.QUERIES, **signal_queries.QUERIES, **model_queries.QUERIES, **job_queries.QUERIES,
-                        **large_queries.QUERIES}.items()))
+                        **large_queries.QUERIES, **store_queries.QUERIES}.items()))
 
 
 def oracle_sql() -> dict:
-    sql = {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL, **job_queries.SQL, **large_queries.SQL}
+    sql = {**panel_oracle.SQL, **signal_oracle.SQL, **model_queries.SQL, **job_queries.SQL, **large_queries.SQL, **store_queries.SQL}
     return {**sql, **{large: sql[plain] for large, plain in SAME_ROWS.items()}}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tapeworks import constants as K
 from tapeworks.functions.scalars import finite
 from tapeworks.operators import timeseries as TS
+from tapeworks.sources import versions as V
 
 PRICE_SCHEMA = "ticker string, dt date, close double, volume double"
 
@@ -92,5 +93,15 @@ def corpus(prices: DataFrame, tickers: DataFrame, reference: list[str]) -> DataF
 
 
 def write_prices(prices: DataFrame, path: str) -> None:
-    """Parquet clustered by ticker; each job commits atomically."""
+    """Parquet clustered by ticker in a plain folder. Overwriting removes the old files first: ``publish_prices`` does not."""
     prices.repartition("ticker").sortWithinPartitions("ticker", "dt").write.mode("overwrite").parquet(path)
+
+
+def publish_prices(prices: DataFrame, path: str, batch: int | None = None) -> None:
+    """The price store replaced as a whole, clustered by ticker: readers see the old or the new one, and a job that
+    dies leaves the old one."""
+    V.replace(prices.repartition("ticker").sortWithinPartitions("ticker", "dt"), path, batch, "prices")
+
+
+def published_prices(spark: SparkSession, path: str) -> DataFrame:
+    return clean_prices(V.read(spark, path))

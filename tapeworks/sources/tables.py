@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeworks import constants as K
 from tapeworks.functions.scalars import clean_ticker, clip, finite, first_nonzero, valid_ticker
+from tapeworks.sources import versions as V
 
 HISTORY_SCHEMA = (
     "ticker string, earnings array<struct<period:date,announce_date:date,surprisePercent:double>>, "
@@ -132,5 +133,15 @@ def append_table(df: DataFrame, path: str, by: str = "model_version") -> None:
 
 
 def write_report(df: DataFrame, path: str) -> None:
-    """JSON snapshot; the output committer makes the replacement visible at job end."""
+    """JSON snapshot in a plain folder. Overwriting removes the old files first: ``publish_report`` does not."""
     df.write.mode("overwrite").json(path)
+
+
+def publish_report(df: DataFrame, path: str) -> None:
+    """JSON snapshot that readers (``versions.read``) see replaced as a whole."""
+    V.replace(df, path, form="json")
+
+
+def append_once(df: DataFrame, path: str, batch: int, writer: str) -> None:
+    """Append to a log under a batch number; a repeated batch adds nothing."""
+    V.append(df, path, batch, writer)
