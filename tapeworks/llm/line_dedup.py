@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import WHITE, stash, with_package
+from tapeworks.llm.shared import WHITE, free_names, stash, with_package
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -243,10 +243,11 @@ def _probe(filters: list, shards: int):
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last two columns are the keys whose lines go."""
     for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
         names = batch.schema.names
         texts, total, dropped = [], [], []
-        columns = [batch.column(names.index(c)).to_pylist() for c in ("text", "_k1", "_k2")]
+        columns = [batch.column(i).to_pylist() for i in (names.index("text"), len(names) - 2, len(names) - 1)]
         for text, k1, k2 in zip(*columns, strict=True):
             if not k1:
                 texts.append(text)
@@ -260,7 +261,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(text if same else b"\n".join(kept).decode("utf-8", "surrogatepass"))
             total.append(len(lines))
             dropped.append(len(lines) - len(kept))
-        rest = [(n, batch.column(n)) for n in names if n not in ("text", "_k1", "_k2", "n_lines", "n_dropped")]
+        rest = [(n, batch.column(n)) for n in names[:-2] if n != "text"]
         yield pa.RecordBatch.from_pydict(dict(rest) | {
             "text": pa.array(texts, pa.string()), "n_lines": pa.array(total, pa.int64()),
             "n_dropped": pa.array(dropped, pa.int64())})
@@ -269,10 +270,10 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``, and ``n_lines`` (before) and ``n_dropped``; columns of
     these names are replaced. A text that loses nothing is passed on as it is, null included."""
-    per_doc = drops.groupBy("doc").agg(F.collect_list("k1").alias("_k1"), F.collect_list("k2").alias("_k2"))
     plain = with_package(docs).drop("n_lines", "n_dropped")
-    told = plain.join(per_doc.withColumnRenamed("doc", "_doc"),
-                      F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_doc"), "left").drop("_doc")
+    doc, k1, k2 = free_names(plain, "_doc", "_k1", "_k2")
+    per_doc = drops.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("k1").alias(k1), F.collect_list("k2").alias(k2))
+    told = plain.join(per_doc, F.coalesce("doc_id", F.lit(NO_ID)) == F.col(doc), "left").select(*plain.columns, k1, k2)
     rest = [f for f in plain.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return told.mapInArrow(_rewrite, f"{schema}, text string, n_lines long, n_dropped long").select(

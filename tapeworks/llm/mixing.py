@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import stash
+from tapeworks.llm.shared import free_names, stash
 
 SEED = 20_260_101
 RATE_PER_DRAW = 32.0  # larger means are drawn as sums of this many independent parts, so exp(-mean) stays exact
@@ -69,15 +69,15 @@ def replicate(docs: DataFrame, rate_table: DataFrame, seed: int = SEED, key: str
     alike; rows of weight 0 draw no copy. Texts are carried unread, an empty table gives no rows.
     """
     plain = docs.drop("copy", "order_key")
-    own = rate_table.select(F.col("source").alias("_mix_source"), F.col("draws").alias("_mix_draws"),
-                            F.col("cdf").alias("_mix_cdf"))
-    known = plain.join(own, plain["source"].eqNullSafe(own["_mix_source"]))
-    drawn = known.withColumn("_mix_u", F.transform(
-        F.sequence(F.lit(0), F.col("_mix_draws") - 1), lambda d: uniform(seed, d, F.col(key))))
-    count = F.aggregate("_mix_u", F.lit(0), lambda acc, u: acc + F.size(
-        F.filter(F.col("_mix_cdf"), lambda c: c <= u)))
-    copied = (drawn.withColumn("_mix_n", count).where("_mix_n > 0")
-              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))))
+    source, draws, cdf, u, n = free_names(plain, "_mix_source", "_mix_draws", "_mix_cdf", "_mix_u", "_mix_n")
+    own = rate_table.select(F.col("source").alias(source), F.col("draws").alias(draws), F.col("cdf").alias(cdf))
+    known = plain.join(own, plain["source"].eqNullSafe(own[source]))
+    drawn = known.withColumn(u, F.transform(
+        F.sequence(F.lit(0), F.col(draws) - 1), lambda d: uniform(seed, d, F.col(key))))
+    count = F.aggregate(u, F.lit(0), lambda acc, x: acc + F.size(
+        F.filter(F.col(cdf), lambda c: c <= x)))
+    copied = (drawn.withColumn(n, count).where(F.col(n) > 0)
+              .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n)))))
     text = F.concat_ws(":", F.lit(f"order:{seed}"), F.col("copy").cast("string"),
                        F.coalesce(F.col(key).cast("string"), F.lit("")))
     keyed = copied.withColumn("order_key", F.md5(text.cast("binary"))).select(*plain.columns, "copy", "order_key")

@@ -61,6 +61,17 @@ def release(spark: SparkSession, *paths: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted column names, each lengthened until ``df`` has no column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def without_white(text: Column) -> Column:
     """The text without any of ``WHITE``; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapeworks.llm.shared import components, release, stash, with_package
+from tapeworks.llm.shared import components, free_names, release, stash, with_package
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -202,21 +202,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-_ROW = ["_no_id", "_id", "_key_a", "_key_b"]  # orders the rows of a component, and finds the chosen one again
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, rows without an id last. Of rows
-    with that id the smallest hash of the text decides; of rows with the same id and text one stays."""
+    with that id the smallest hash of the text decides; of rows with the same id and text one stays. Columns of
+    any name pass through."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({
-        "_no_id": F.col("doc_id").isNull().cast("long"), "_id": F.coalesce("doc_id", F.lit(0)).cast("long"),
-        "_key_a": F.xxhash64("text"), "_key_b": F.xxhash64(F.lit(1), "text")})
-    rows, rows_path = stash(fingerprints(keyed, *_ROW))
-    firsts, firsts_path = stash(rows.groupBy("fp").agg(F.min(F.struct(*_ROW)).alias("first")))
+    row = free_names(docs, "_no_id", "_id", "_key_a", "_key_b")  # orders the rows of a component, and finds the chosen one again
+    keyed = docs.withColumns(dict(zip(row, (
+        F.col("doc_id").isNull().cast("long"), F.coalesce("doc_id", F.lit(0)).cast("long"),
+        F.xxhash64("text"), F.xxhash64(F.lit(1), "text")), strict=True)))
+    rows, rows_path = stash(fingerprints(keyed, *row))
+    firsts, firsts_path = stash(rows.groupBy("fp").agg(F.min(F.struct(*row)).alias("first")))
     roots, roots_path = components(links(firsts.select("fp"), firsts.count()))
     held = firsts.join(roots, firsts["fp"] == roots["node"], "left")
     best = held.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
     stay, _ = stash(best.select("first.*"))
     release(spark, rows_path, firsts_path, roots_path)
-    return keyed.join(stay, _ROW, "left_semi").dropDuplicates(_ROW).select(*docs.columns)
+    return keyed.join(stay, row, "left_semi").dropDuplicates(row).select(*docs.columns)
