@@ -13,6 +13,8 @@ from tapeworks import constants as K
 from tapeworks.functions.scalars import confidence_band, month_span
 from tapeworks.operators import cross_section as X
 from tapeworks.operators import ordering as O
+from tapeworks.operators import selection as SE
+from tapeworks.session import written
 
 
 def valid_periods(scored: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def spearman_ic(df: DataFrame, keys: list[str], ids: list[str], *, spread: bool
         F.min(ret).alias("c_"), F.max(ret).alias("d_"))
     good = sizes.filter("n >= 2 AND a_ < b_ AND c_ < d_").select(*keys)
     if keys:
-        rows = rows.join(good, keys, "left_semi")
+        rows = rows.join(O.checked_broadcast(good), keys, "left_semi")
     ranked = O.average_ranks(rows, keys, ids, [score, ret], spread=spread, pct=False)
     aggs = [F.count(F.lit(1)).alias("n"), F.corr(f"{score}_rank", f"{ret}_rank").alias("ic")]
     if pearson:
@@ -61,7 +63,7 @@ def hit_rate(scored: DataFrame, *, spread: bool | int) -> DataFrame:
     """(period, top_ret, bottom_ret, hit): upper half by score against the rest."""
     med = X.column_percentiles(scored, ["period"], ["model_score"], {"med_": 0.5}, spread=spread)
     up = F.col("model_score") >= F.col("model_score_med_")
-    out = scored.join(med, "period").groupBy("period").agg(
+    out = scored.join(O.checked_broadcast(med), "period").groupBy("period").agg(
         F.avg(F.when(up, F.col("fwd_ret"))).alias("top_ret"),
         F.avg(F.when(~up, F.col("fwd_ret"))).alias("bottom_ret"))
     return out.filter("top_ret IS NOT NULL AND bottom_ret IS NOT NULL").withColumn(
@@ -73,14 +75,18 @@ def top_quantile(scored: DataFrame, parts: int = 5, *, spread: bool | int) -> Da
 
     Top = the max(1, n // parts) best scores, ties by ticker.
     """
-    rows = scored.join(valid_periods(scored), "period")
-    med = X.column_percentiles(scored, ["period"], ["model_score"], {"med_": 0.5}, spread=spread)
-    rows = O.row_numbers(rows, ["period"], {"model_score": False, "ticker": True}, spread=spread)
-    n_top = F.greatest(F.lit(1), F.floor(F.col("n") / parts)).cast("int")
+    rows = scored.join(O.checked_broadcast(valid_periods(scored)), "period")
+    med = O.checked_broadcast(X.column_percentiles(scored, ["period"], ["model_score"], {"med_": 0.5}, spread=spread))
+    rows = rows.withColumn("n_top", F.greatest(F.lit(1), F.floor(F.col("n") / parts)).cast("int"))
+    if spread:      # the cut is found from counts: rows are neither moved nor ordered
+        rows = written(rows)
+        wanted = rows.groupBy("period").agg(F.max("n_top").alias("k_"))
+        rows = SE.mark_best(rows, ["period"], "model_score", "ticker", wanted, "in_top", max_groups=O.bound_of(spread))
+    else:
+        rows = O.row_numbers(rows, ["period"], {"model_score": False, "ticker": True}, spread=False)
+        rows = rows.withColumn("in_top", F.col("rn") <= F.col("n_top")).drop("rn")
     return (
         rows.join(med, "period")
-        .withColumn("n_top", n_top)
-        .withColumn("in_top", F.col("rn") <= F.col("n_top"))
         .withColumn("above", F.col("model_score") >= F.col("model_score_med_"))
         .drop("model_score_med_")
     )

@@ -252,15 +252,15 @@ def evaluate_ic(classified: DataFrame, window: int = K.IC_PRIMARY_WINDOW) -> Dat
         F.col("s_.level").alias("ic_level"), F.col("s_.ratio").alias("ic_ratio"))
 
 
-def as_of(rows: DataFrame, events: DataFrame, period: str, at: str, state: str) -> DataFrame:
-    """Add the fields of the newest event (by ``at``) of the same or an earlier period.
+def as_of(rows: DataFrame, events: DataFrame, period: str, at: str, state: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Add the fields of the newest event (by ``at``) of the same or an earlier period and the same ``keys``.
 
-    Both sides are one row per period of the calendar; one ordered pass, no range join.
+    With several models ``keys`` names their column, so that no model sees another's state. Both sides are one row per model and period of the calendar; one ordered pass, no range join.
     """
     both = rows.withColumns({"at_": F.lit(None).cast(events.schema[at].dataType), "state_": F.lit(None).cast(
         events.schema[state].dataType), "probe_": F.lit(1)}).unionByName(
-        events.select(period, F.col(at).alias("at_"), F.col(state).alias("state_"), F.lit(0).alias("probe_")), allowMissingColumns=True)
-    upto = Window.orderBy(period, "probe_", "at_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        events.select(*keys, period, F.col(at).alias("at_"), F.col(state).alias("state_"), F.lit(0).alias("probe_")), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys).orderBy(period, "probe_", "at_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("state_", F.last("state_", ignorenulls=True).over(upto)).filter("probe_ = 1")
     return seen.select(*rows.columns, "state_.*")
 

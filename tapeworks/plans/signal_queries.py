@@ -138,19 +138,19 @@ def states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     train_ic = first.agg(F.avg("spearman")).first()[0]
     roll = durable(N.classify_ic(roll.withColumn("train_ic", F.lit(train_ic).cast("double"))))
     ic = roll.filter(F.col("window") == K.IC_PRIMARY_WINDOW).select(
-        quarter_of("ts").alias("quarter"), F.struct("ts", "period_key").alias("at"), F.struct(
+        "model_version", quarter_of("ts").alias("quarter"), F.struct("ts", "period_key").alias("at"), F.struct(
             F.col("period_key").alias("ic_period"), F.col("ic_mean").alias("rolling_ic"), F.col("level").alias("ic_level"),
             F.col("ratio").alias("ic_ratio")).alias("s"))
     begun = rows.groupBy("period").agg(F.min("start_dt").alias("began"))
     drifted = durable(prediction_drift(spark, sf, rows))
     pred = drifted.join(begun, "period").select(
-        quarter_of("began").alias("quarter"), F.struct("began", "period").alias("at"), F.struct(
+        F.lit(_version()).alias("model_version"), quarter_of("began").alias("quarter"), F.struct("began", "period").alias("at"), F.struct(
             F.col("status").alias("prediction_status"), F.col("psi").alias("prediction_psi")).alias("s"))
     drift = durable(feature_drift(spark, sf))
-    out = N.evaluate_drift(drift, ["quarter"])
+    out = N.evaluate_drift(drift, ["quarter"]).withColumn("model_version", F.lit(_version()))
     for events in (ic, pred):
-        out = N.as_of(out, events, "quarter", "at", "s")
-    return N.decide(out.withColumn("model_version", F.lit(_version()))), roll, drift, drifted
+        out = N.as_of(out, events, "quarter", "at", "s", ("model_version",))
+    return N.decide(out), roll, drift, drifted
 
 
 def _version() -> str:
