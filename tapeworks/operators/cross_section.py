@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeworks import constants as K
 from tapeworks.functions.scalars import clip
 from tapeworks.operators import ordering as O
+from tapeworks.operators import rank_index as RI
 
 
 def join_small(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,27 +79,16 @@ def reference_ranks(live: DataFrame, panel: DataFrame, ids: list[str], cols: lis
     """Replace ``<col>_rank`` by the share of panel values <= the live value.
 
     Missing live values rank 0.5. A column with fewer than ``min_values`` panel
-    values keeps whatever rank the live rows had. Live and panel values are put
-    into one order, so neither side is collected or broadcast.
+    values keeps whatever rank the live rows had. Counts come from a block index
+    over the ordered panel (``rank_index``); live rows stay where they are.
     """
-    long = O.melt(live.select(*ids, *cols), ids, cols)
-    ref = O.melt(panel.select(*cols), [], cols)
-    marked = long.select("feature", "value", F.lit(0).alias("ref_")).unionByName(
-        ref.select("feature", "value", F.lit(1).alias("ref_"))
-    ).filter("value IS NOT NULL")
-    order = O.running_weight(marked, ["feature"], "value", ["ref_"], max_groups=len(cols))
-    share = ((F.col("ref__before") + F.col("ref_")) / F.col("ref__total")).alias("share_")
-    ranks = long.join(order.select("feature", "value", share), ["feature", "value"], "left")
-    sizes = panel.agg(*[F.count(c).alias(f"{c}_n_") for c in cols])
-    wide = ranks.groupBy(*ids).agg(*[
-        F.max(F.when(F.col("feature") == c, F.coalesce("share_", F.lit(0.5)))).alias(f"{c}_ref_") for c in cols])
-    out = join_small(live.join(wide, ids, "left"), sizes, [])
+    out = RI.with_counts(live, panel, cols)
     ranks = {}
     for c in cols:
         old = F.col(f"{c}_rank") if f"{c}_rank" in live.columns else F.lit(None).cast("double")
-        ranks[f"{c}_rank"] = F.when(F.col(f"{c}_n_") >= min_values, F.col(f"{c}_ref_")).otherwise(old)
-    out = out.withColumns(ranks)
-    return out.drop(*[f"{c}_{s}" for c in cols for s in ("n_", "ref_")])
+        share = F.coalesce(F.try_divide(F.col(f"{c}_upto_"), F.col(f"{c}_n_")), F.lit(0.5))
+        ranks[f"{c}_rank"] = F.when(F.col(f"{c}_n_") >= min_values, share).otherwise(old)
+    return out.withColumns(ranks).drop(*[f"{c}_{s}" for c in cols for s in ("n_", "upto_")])
 
 
 def standardized_embeddings(emb: DataFrame, keys: list[str], ids: list[str], vector: str = "embedding") -> DataFrame:
