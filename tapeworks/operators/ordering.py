@@ -282,7 +282,7 @@ def row_numbers(
     """
     if not spread:
         by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order.items()]
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)))
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*by)).cast("long"))
     parts = [p for c, up in order.items()
              for p in ([F.col(c)] if up else [F.col(c).isNull().alias(f"{c}_last"), (-F.col(c)).alias(c)])]
     tagged = df.withColumn("order_", F.struct(*parts)).withColumn("n_", F.lit(1))
@@ -290,5 +290,5 @@ def row_numbers(
         *keys, "order_", F.col("n__before").alias("before_")
     )
     alike = F.row_number().over(Window.partitionBy(*keys, "order_").orderBy("order_"))
-    numbered = attach(tagged.drop("n_"), at, [*keys, "order_"]).withColumn(name, (F.col("before_") + alike).cast("int"))
+    numbered = attach(tagged.drop("n_"), at, [*keys, "order_"]).withColumn(name, (F.col("before_") + alike).cast("long"))
     return numbered.drop("order_", "before_")
