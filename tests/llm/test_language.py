@@ -1,36 +1,125 @@
-"""Language identification: held-out accuracy, backoff, edge cases, no leak of the label."""
+"""Language identification: a plain version, held-out accuracy, backoff, edge cases, no leak of the label."""
 
+import math
+import random
 import zlib
+from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tapeworks.llm import language
 
+UNIT = 1_000_000
+
+
+def whole(x):
+    return math.floor(UNIT * math.log(x) + 0.5)
+
+
+def plain(training, texts):
+    """(language, score) of each text by the whole counts."""
+    words, pieces = defaultdict(Counter), defaultdict(Counter)
+    for lang, text in training:
+        if lang is not None and text is not None:
+            words[lang].update(language.LETTERS.findall(text.lower()))
+    words = {x: c for x, c in words.items() if c}
+    for lang, c in words.items():
+        for w, n in c.items():
+            for size in range(1, 5):
+                for g in language.grams(w, size):
+                    pieces[lang][g] += n
+    languages = sorted(words)
+    known, known_grams = {w for c in words.values() for w in c}, {g for c in pieces.values() for g in c}
+    total = {x: sum(words[x].values()) for x in languages}
+    share = {(x, s): sum(pieces[x].get(g, 0.5) for g in known_grams if len(g) == s) for x in languages for s in range(1, 5)}
+
+    def above(c, token):
+        return math.floor(UNIT * math.log(c[token] / 0.5) + 0.5) if c[token] else 0
+
+    def score(word):
+        if word in known:
+            return [whole(0.5 / total[x]) + above(words[x], word) for x in languages]
+        for size in range(4, 0, -1):
+            rows = [g for g in language.grams(word, size) if g in known_grams]
+            if rows:
+                return [whole(0.5 / share[x, size]) + sum(above(pieces[x], g) for g in rows) // len(rows) for x in languages]
+        return [0] * len(languages)
+
+    memo, out = {}, []
+    for text in texts:
+        found = Counter(language.LETTERS.findall((text or "").lower()))
+        if not languages or not any(c.isalpha() for w in found for c in w):
+            out.append(("und", 0.0))
+            continue
+        sums = [0] * len(languages)
+        for w, n in found.items():
+            memo.setdefault(w, score(w))
+            sums = [a + n * b for a, b in zip(sums, memo[w], strict=True)]
+        best = max(sums)
+        out.append((languages[sums.index(best)], 1 / sum(math.exp((x - best) / UNIT) for x in sums)))
+    return out
+
+
+def told(spark, model, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [(r["lang_pred"], r["score"]) for r in language.identify(docs, model).orderBy("doc_id").collect()]
+
+
+def same(got, want):
+    return [x for x, _ in got] == [x for x, _ in want] and all(abs(a - b) < 1e-4 for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def made(seed, n, spread=2):
+    rng = random.Random(seed)
+    letters = {"aa": "abcdefg", "bb": "defghij", "cc": "ghijklm"}
+    out = []
+    for _ in range(n):
+        lang = rng.choice(sorted(letters))
+        out.append((lang, " ".join("".join(rng.choices(letters[lang], k=rng.randint(1, spread + 2))) for _ in range(rng.randint(1, 30)))))
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 7, 200_000])
+def test_against_plain(spark, monkeypatch, bound):
+    """The same rows whether no word travels, some, or all."""
+    monkeypatch.setattr(language, "LOCAL_WORDS", bound)
+    monkeypatch.setattr(language, "FLUSH_WORDS", 20)
+    training = made(1, 40) + [(None, "xyz"), ("aa", None), ("dd", "q"), ("ee", "12")]
+    texts = [t for _, t in made(2, 60, 4)] + [
+        None, "", "12 34 ½ !?", "_", "日本語", "q", "zq", "qqqq Abc", "abc " * 3000, "z", "a" * 5000, "½ abc", "ÀÉ dé"]
+    model = language.learn(spark.createDataFrame(training, "lang string, text string"))
+    assert model.languages == ["aa", "bb", "cc", "dd"] and len(model.local) <= bound
+    assert same(told(spark, model, texts), plain(training, texts))
+
 
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    out = language.identify(docs.drop("lang"), model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    result = language.identify(docs.drop("lang"), model)
+    model.release()  # the result reads tables of its own
+    out = result.join(docs.select("doc_id", "lang", "text"), "doc_id").collect()
     for r in out:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert 0 <= r["score"] <= 1
     held = [r["lang"] == r["lang_pred"] for r in out if r["held_out"]]
     assert len(held) > 150 and sum(held) >= 0.99 * len(held)
+    want = plain([(r["lang"], r["text"]) for r in out if not r["held_out"]], [r["text"] for r in out])
+    assert same([(r["lang_pred"], r["score"]) for r in out], want)
 
 
 def test_counts_and_backoff(spark):
     rows = [("en", "the cat and the hat", 1), ("de", "der Hut und die Katze", 2), ("en", "the the", 3), (None, "zzz", 4), ("de", None, 5)]
     docs = spark.createDataFrame(rows, "lang string, text string, token int")
     model = language.learn(docs)
-    assert model.languages == ["de", "en"] and "zzz" not in model.words
-    row = model.table[model.words["the"]]
+    assert model.languages == ["de", "en"] and "zzz" not in model.local
+    row = model.table[model.local["the"]]
     assert row[1] > row[0]
-    score = language.Scorer(model)
-    assert score("THE the")[0] == "en" and score("hatten")[0] in ("de", "en")
-    assert score("katzen")[0] == "de"  # only known by its n-grams
-    for empty in (None, "", "12 34 ½ !?", "_"):
-        assert score(empty) == ("und", 0.0)
-    assert score("日本語")[0] == "de" and score("日本語")[1] == 0.5  # nothing known: a tie, the first language
+    got = told(spark, model, ["THE the", "hatten", "katzen", None, "", "12 34 ½ !?", "_", "日本語"])
+    assert got[0][0] == "en" and got[1][0] in ("de", "en")
+    assert got[2][0] == "de"  # only known by its n-grams
+    assert got[3:7] == [("und", 0.0)] * 4
+    assert got[7] == ("de", 0.5)  # nothing known: a tie, the first language
 
 
 def test_tables(spark):
@@ -45,24 +134,9 @@ def test_tables(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
-def test_bounds_keep_the_most_frequent(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_WORDS", 3)
-    monkeypatch.setattr(language, "FLUSH_WORDS", 5)
-    text = " ".join(w for i, w in enumerate("alpha beta gamma delta epsilon".split(), 1) for _ in range(i))
-    model = language.learn(spark.createDataFrame([("en", text)] * 3, "lang string, text string"))
-    assert set(model.words) == {"gamma", "delta", "epsilon"}
-
-
-def test_kept_words_have_their_count_in_every_language(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_WORDS", 3)
+def test_rare_words_keep_their_counts(spark, monkeypatch):
+    monkeypatch.setattr(language, "LOCAL_WORDS", 3)
     rows = [("en", "alpha " * 10 + "beta " * 9 + "gamma " * 8 + "rare " * 4), ("de", "eins " * 5 + "zwei " * 5 + "rare")]
     model = language.learn(spark.createDataFrame(rows, "lang string, text string"))
-    assert set(model.words) == {"alpha", "beta", "gamma", "eins", "zwei", "rare"}
-    assert language.Scorer(model)("rare")[0] == "en"  # 4 of 31 words against 1 of 11
-
-
-def test_tied_words_are_not_all_dropped(spark, monkeypatch):
-    monkeypatch.setattr(language, "MAX_WORDS", 200)
-    text = " ".join("x" + chr(97 + i // 26) + chr(97 + i % 26) for i in range(600))
-    model = language.learn(spark.createDataFrame([("en", text)], "lang string, text string"))
-    assert 120 < len(model.words) < 280
+    assert "rare" not in model.local
+    assert told(spark, model, ["rare"])[0][0] == "en"  # 4 of 31 words against 1 of 11
