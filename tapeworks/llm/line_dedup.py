@@ -8,10 +8,10 @@
   documents. Unlike a Bloom filter it forgets: when documents are deleted and a key falls below the bound
   its fingerprint is taken out again, so the same lines come back as if those documents had never been seen.
 
-To find the lines to drop, references are tested against the filters as they are scanned; only those that
-may be frequent reach the exact join, which has the last word. The filters travel to the scan when their
-total size is within ``BROADCAST_BYTES``; beyond that every reference goes to the exact join. Both ways give
-the same rows. Keys that a filter has no room for are kept in it as they are.
+To find the lines to drop, references meet the filter of their shard; only those that may be frequent reach
+the exact join, which has the last word. A shard with many references is dealt out over several tasks, each
+with a copy of its filter, so the copies grow with the references and not with their square. Keys that a
+filter has no room for are kept in it as they are.
 
 A line key is 128 bits of XXH3 of the folded line. A line found in a third of all documents is combined
 before it is shuffled, and the join with the few frequent keys is one that Spark may split.
@@ -25,15 +25,16 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.shared import WHITE, free_names, stash, with_package
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-NO_ID = -(1 << 63)  # stands for a null id: it comes before all others
-BROADCAST_BYTES = 16 << 20
+NO_ID = -(1 << 63)  # rows without an id come before all others
+NO_IDS = 1 << 31  # they are told apart by a hash of their text, for the joins; ids this close to NO_ID count as null
+TOGETHER = 500_000  # references that meet one copy of a filter
 KEYS_PER_SHARD = 1 << 15
 SLOTS = 4
 ROUNDS = 200
@@ -68,16 +69,26 @@ def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own[key] = own.get(key, 0) + 1
             keys += own
             counts += own.values()
-            docs += [NO_ID if doc is None else doc] * len(own)
+            docs += [doc] * len(own)
         halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
             [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(docs, pa.int64()), pa.array(counts, pa.int64())],
             names=["k1", "k2", "doc", "n"])
 
 
+def _doc() -> Column:
+    """The id, or for rows without one a place among ``NO_IDS``, so that they are not one hot key."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_IDS)))
+
+
+def _named(doc: str) -> Column:
+    return F.col(doc) >= NO_ID + NO_IDS
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """One row per (key, document). Repeated rows of an id are one document; rows without an id are one too."""
-    return (with_package(docs).select("doc_id", "text").mapInArrow(_references, _REFS)
+    """One row per (key, document). Repeated rows of an id are one document; rows without an id count as one
+    too, but are kept apart by their text."""
+    return (with_package(docs).select(_doc().alias("doc"), "text").mapInArrow(_references, _REFS)
             .groupBy("k1", "k2", "doc").agg(F.sum("n").alias("n")))
 
 
@@ -188,8 +199,11 @@ class LineIndex:
 
     def _moved_to(self, refs: DataFrame, fresh: bool = False) -> LineIndex:
         """The index over ``refs``: frequent keys counted anew, their changes carried over to the filters."""
-        hot, _ = stash(refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc").alias("last"))
-                       .where(F.col("docs") >= self.min_docs))
+        named, last = _named("doc"), F.max("doc")
+        docs = F.count_if(named) + F.max((~named).cast("long"))
+        hot, _ = stash(refs.groupBy("k1", "k2").agg(
+            docs.alias("docs"), F.when(last < NO_ID + NO_IDS, F.lit(NO_ID)).otherwise(last).alias("last"))
+            .where(F.col("docs") >= self.min_docs))
         now, then = hot.select("k1", "k2"), self.hot.select("k1", "k2")
         if fresh:  # nothing was there before: all frequent keys are new; so many need so many shards
             shards = min(MAX_SHARDS, 1 << max(4, (hot.count() // KEYS_PER_SHARD).bit_length()))
@@ -213,33 +227,32 @@ class LineIndex:
     def delete(self, ids: DataFrame) -> LineIndex:
         """Forget whole documents (column ``doc_id``; a null forgets the rows without an id)."""
         gone = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc")).distinct()
-        return self._moved_to(stash(self.refs.join(gone, "doc", "left_anti").select("k1", "k2", "doc", "n"))[0])
+        known = F.when(_named("doc"), F.col("doc")).otherwise(F.lit(NO_ID))
+        kept = self.refs.join(gone.withColumnRenamed("doc", "gone"), known == F.col("gone"), "left_anti")
+        return self._moved_to(stash(kept.select("k1", "k2", "doc", "n"))[0])
 
     def drops(self) -> DataFrame:
         """References whose lines go: ``k1, k2, doc`` of every frequent key but in its last document."""
-        refs = self.refs
-        size = self.filters.agg(F.sum(F.length("cells") + 8 * F.size("extra"))).first()[0] or 0
-        if size <= BROADCAST_BYTES:
-            refs = refs.mapInArrow(_probe(self.filters.collect(), self.shards), _REFS)
-        return refs.join(self.hot, ["k1", "k2"]).where("doc < last").select("k1", "k2", "doc")
-
-
-def _probe(filters: list, shards: int):
-    known = {r["shard"]: Cuckoo(r["buckets"], bytes(r["cells"]), r["extra"]) for r in filters}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shard = k2 % shards
-            order = np.argsort(shard, kind="stable")
-            maybe = np.zeros(len(k1), bool)
-            names, starts = np.unique(shard[order], return_index=True)
-            for name, rows in zip(names.tolist(), np.split(order, starts[1:]), strict=True):
-                if name in known:
-                    maybe[rows] = known[name].contains(k1[rows])
-            yield batch.filter(pa.array(maybe))
-
-    return run
+        refs = self.refs.withColumn("shard", F.pmod("k2", F.lit(max(1, self.shards))).cast("int"))
+        many, _ = stash(refs.groupBy("shard").count().where(F.col("count") > TOGETHER).select(
+            "shard", F.ceil(F.col("count") / F.lit(TOGETHER)).cast("int").alias("copies")))
+        one = F.coalesce("copies", F.lit(1))
+        filters = self.filters.join(many, "shard", "left").withColumn("copy", F.explode(F.sequence(F.lit(0), one - 1)))
+        dealt = refs.join(many, "shard", "left").withColumn("copy", F.pmod(F.xxhash64("doc"), one).cast("int"))
+        maybe = (filters.select("shard", "copy", "buckets", "cells", "extra").groupBy("shard", "copy")
+                 .cogroup(dealt.select("shard", "copy", "k1", "k2", "doc").groupBy("shard", "copy"))
+                 .applyInArrow(_probe, "k1 long, k2 long, doc long"))
+        return maybe.join(self.hot, ["k1", "k2"]).where("doc < last").select("k1", "k2", "doc")
+
+
+def _probe(held: pa.Table, refs: pa.Table) -> pa.Table:
+    """References that the filter of their shard may hold; none where the shard has no filter."""
+    refs = refs.select(["k1", "k2", "doc"])
+    if not held.num_rows or not refs.num_rows:
+        return refs.slice(0, 0)
+    row = held.slice(0, 1).to_pylist()[0]
+    cuckoo = Cuckoo(row["buckets"], row["cells"], row["extra"])
+    return refs.filter(pa.array(cuckoo.contains(refs["k1"].to_numpy())))
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +286,7 @@ def drop_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     plain = with_package(docs).drop("n_lines", "n_dropped")
     doc, k1, k2 = free_names(plain, "_doc", "_k1", "_k2")
     per_doc = drops.groupBy(F.col("doc").alias(doc)).agg(F.collect_list("k1").alias(k1), F.collect_list("k2").alias(k2))
-    told = plain.join(per_doc, F.coalesce("doc_id", F.lit(NO_ID)) == F.col(doc), "left").select(*plain.columns, k1, k2)
+    told = plain.join(per_doc, _doc() == F.col(doc), "left").select(*plain.columns, k1, k2)
     rest = [f for f in plain.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
     return told.mapInArrow(_rewrite, f"{schema}, text string, n_lines long, n_dropped long").select(

@@ -55,11 +55,37 @@ def test_against_plain(spark, monkeypatch):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "doc", "n_lines", "n_dropped"]
     assert got(out) == plain(rows)
-    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)  # every reference goes to the exact join
+    monkeypatch.setattr(line_dedup, "TOGETHER", 5)  # every shard is dealt out over copies of its filter
     assert got(line_dedup.dedup_lines(docs)) == plain(rows)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_filters_are_asked(spark, monkeypatch):
+    """References reach the exact join only through the filters, however many there are."""
+    monkeypatch.setattr(line_dedup, "TOGETHER", 50)
+    rows = [(i, "a line in every document of them\n" + f"own line of document number {i}") for i in range(300)]
+    index = LineIndex.empty(spark).insert(frame(spark, rows))
+    assert index.drops().count() == 299
+    none = LineIndex(index.refs, index.hot, index.filters.where("false"), index.shards)
+    assert none.drops().count() == 0
+
+
+def test_rows_without_an_id(spark):
+    """They count as one document, are each rewritten, and go and come back together."""
+    shared = ["first line that many documents hold", "second line that many documents hold", "a line of rows without an id only"]
+    rows = [(None, f"row {i}\n{shared[i % 2]}\n{shared[2]}") for i in range(3000)] + [(None, f"row 0\n{shared[0]}\n{shared[2]}")] * 5
+    rows += [(1, shared[0]), (2, shared[0] + "\n" + shared[1])]
+    docs = frame(spark, rows)
+    assert got(line_dedup.dedup_lines(docs)) == plain(rows)
+    assert got(line_dedup.dedup_lines(docs, 1)) == plain(rows, 1)
+    index = LineIndex.empty(spark).insert(docs)
+    per_doc = index.drops().groupBy("doc").count().agg({"count": "max"}).first()[0]
+    assert per_doc <= 2
+    less = index.delete(frame(spark, [(None, "")]))
+    left = rows[-2:]
+    assert less.refs.count() == 3 and got(line_dedup.drop_lines(frame(spark, left), less.drops())) == plain(left)
+
+
 def test_insert_and_delete(spark):
     rows = corpus()
     first, second = rows[:25], rows[25:]
