@@ -9,7 +9,7 @@ consecutive repeated edges of a document are nonbranching paths and compact to o
    and packs what is left by shard of the hash space: sorted differences and document ids in byte planes,
    under 8 bytes an edge. So an edge that a third of all documents share goes out once per batch.
 2. Each shard sorts its edges and finds the first document of each. What starts earlier elsewhere comes back
-   per document, with that first document as its source.
+   per document.
 3. A join by document brings repeated edges to the text. They are located there again by hash, which gives
    their word coordinates; consecutive edges compact to paths, and the covered words are removed.
 
@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeworks.llm.shared import with_package
 
 K = 13
-LAST = (1 << 63) - 1  # stands for a null id: it comes after all others
+NO_IDS = 1 << 31  # rows without an id are told apart by a hash of their text, for the joins
+NO_ID = (1 << 63) - NO_IDS  # they come after all others; ids from here on count as null
 BATCH_EDGES = 1_500_000
 BYTES_PER_SHARD = 10 << 20
 _STEP = 0x9E3779B97F4A7C15
@@ -102,9 +103,13 @@ def _edges(shards: int, k: int):
         hashes = np.concatenate(parts)
         docs = np.repeat(np.array(owners, np.int64), [len(p) for p in parts])
         hashes, docs, low = _first_in_run(hashes, docs)
+        late = (docs > low) & (low < NO_ID)
+        late_ones = hashes[late], docs[late]
         fresh = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+        docs = np.where(fresh & (low < NO_ID), low, docs)  # rows without an id do not repeat each other: all go out
+        first = fresh & (low < NO_ID) | (low >= NO_ID)
         rows = []
-        for repeat, h, d in ((False, hashes[fresh], low[fresh]), (True, hashes[docs > low], docs[docs > low])):
+        for repeat, h, d in ((False, hashes[first], docs[first]), (True, *late_ones)):
             names, at = np.unique(_shard_of(h, shards), return_index=True)
             rows += [(int(s), repeat, pack(a, b)) for s, a, b in
                      zip(names, np.split(h, at[1:]), np.split(d, at[1:]), strict=True)] if len(h) else []
@@ -120,7 +125,7 @@ def _edges(shards: int, k: int):
                 own = edge_hashes(words_of(text.as_py()), k)
                 if len(own):
                     parts.append(np.unique(own))
-                    owners.append(LAST if doc.as_py() is None else doc.as_py())
+                    owners.append(doc.as_py())
                     size += len(own)
                 if size >= BATCH_EDGES:
                     yield from flush(parts, owners)
@@ -137,17 +142,22 @@ def _repeats(group: pa.Table) -> pa.Table:
     found = [unpack(b.as_py()) for b, r in zip(group["edges"], group["repeat"], strict=True) if r.as_py()]
     if known:
         hashes, docs, low = _first_in_run(*(np.concatenate(x) for x in zip(*known, strict=True)))
-        late = docs > low
+        late = (docs > low) & (low < NO_ID)
         found.append((hashes[late], docs[late]))
     hashes, docs = (np.concatenate(x) for x in zip(*found, strict=True))
     return pa.table({"doc": docs, "edge": hashes.view(np.int64)})
 
 
+def _doc() -> Column:
+    """The id, or for rows without one a place among ``NO_IDS``, so that they are not one hot key."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(NO_IDS)))
+
+
 def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
     """``doc`` and ``edge`` (hash), a row for every distinct repeated edge of a document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(4, -(-size // BYTES_PER_SHARD))
-    return (with_package(docs).select("doc_id", "text").mapInArrow(_edges(shards, k), _EDGES)
+    return (with_package(docs).select(_doc().alias("doc"), "text").mapInArrow(_edges(shards, k), _EDGES)
             .groupBy("shard").applyInArrow(_repeats, "doc long, edge long"))
 
 
@@ -192,7 +202,7 @@ def remove_repeats(docs: DataFrame, k: int = K, digest_only: bool = False) -> Da
     columns are ignored; an empty table gives no rows.
     """
     found = repeated_edges(docs, k).groupBy("doc").agg(F.collect_list("edge").alias("edges"))
-    told = docs.select("doc_id", "text").join(found, F.coalesce("doc_id", F.lit(LAST)) == F.col("doc"), "left")
+    told = docs.select("doc_id", "text").join(found, _doc() == F.col("doc"), "left")
     out = told.select("doc_id", "text", "edges").mapInArrow(
         _remove(k, digest_only), "doc_id long, n_words long, n_removed long, spans array<array<int>>, body string")
     return out.withColumnRenamed("body", "kept_sha256" if digest_only else "kept")

@@ -61,6 +61,17 @@ def test_against_plain(spark, seed, monkeypatch):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()), key=str) == plain(rows)
 
 
+def test_rows_without_an_id(spark, monkeypatch):
+    """They do not repeat each other, lose what named documents hold, and none carries the edges of the others."""
+    monkeypatch.setattr(substring, "BATCH_EDGES", 3_000)
+    common, own = " ".join(f"c{i}" for i in range(20)), " ".join(f"n{i}" for i in range(20))
+    rows = [(None, f"r{i} {common if i % 2 else own} {i}") for i in range(2000)] + [(None, own)] * 5 + [(9, common), (3, "x " + common)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substring.remove_repeats(docs, digest_only=True)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()), key=str) == plain(rows)
+    assert substring.repeated_edges(docs).groupBy("doc").count().agg({"count": "max"}).first()[0] == 8
+
+
 def test_spans_and_empty(spark):
     text = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, text), (2, "a b " + text + " c"), (3, text + " " + text)], "doc_id long, text string")
