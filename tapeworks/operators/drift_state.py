@@ -18,6 +18,7 @@ from tapeworks.operators.monitoring import finite_or_null
 from tapeworks.session import written
 
 REPEATS = 2.0     # rows per distinct value from which counts are kept
+TESTED = 1 << 20  # rows up to which the test for repeats looks at every value
 
 
 def value_counts(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,8 +33,15 @@ def merge(states: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def counted(long: DataFrame, keys: list[str], repeats: float = REPEATS) -> tuple[DataFrame, str | None]:
-    """(table, weight) for the statistics: written value counts where values repeat, else the rows as they are."""
-    shape = long.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.struct(*keys, "value")).alias("d")).first()
-    if shape.n >= repeats * shape.d:
+    """(table, weight) for the statistics: written value counts where values repeat, else the rows as they are.
+
+    The test hashes every row and estimates the distinct values among the hashes divisible by a number that grows with
+    the table, so what passes the filter does not. It settles the form of the plan alone: either form takes every row.
+    """
+    n = long.count()
+    step = max(1, n // TESTED)
+    marks = long.select(F.xxhash64(*keys, "value").alias("mark_")).filter(F.pmod("mark_", F.lit(step)) == 0)
+    d = step * marks.agg(F.approx_count_distinct("mark_")).first()[0]
+    if n >= repeats * d:
         return written(value_counts(long, keys)), "c"
     return long, None

@@ -133,13 +133,12 @@ def q86_display_numbers(spark, sf):
 
 def q87_drift_stream(spark, sf):
     """Feature drift of the live quarters from the state that a stream keeps; lines of a quarter arrive in several batches."""
-    base, _, _ = Q.drift_parts(spark, sf)
-    live = M.drift_rows(spark, sf).filter("quarter >= '1998'")
+    lines = M.drift_lines(spark, sf)
+    base = Q.drift_base(*Q.counted_quarters(lines.filter(~M.is_live())))
     arriving, out, state = (folder(spark, n) for n in ("lines", "counts", "state"))
-    live.repartition(3).write.parquet(arriving)
-    stream = spark.readStream.schema(live.schema).option("maxFilesPerTrigger", 1).parquet(arriving)
-    jobs.drift_state_stream(stream, ["quarter", "feature"], out, state).awaitTermination()
-    counts = jobs.read_drift_state(spark, out, ["quarter", "feature"])
+    stream = jobs.arrivals(lines.filter(M.is_live()), arriving, 3)
+    jobs.drift_state_stream(M.melted(stream), ["quarter_no", "feature"], out, state).awaitTermination()
+    counts = M.named_quarters(jobs.read_drift_state(spark, out, ["quarter_no", "feature"]))
     return six(N.feature_drift(counts, base, ["quarter"], weight="c").drop("n"), 4)
 
 

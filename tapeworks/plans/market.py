@@ -272,18 +272,44 @@ def predictions(rows: DataFrame) -> DataFrame:
 DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def drift_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """(quarter, feature, value) of four line columns; two quarters are shifted (fixture).
+def drift_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """(quarter_no, four line columns), one row per line; two quarters are shifted (fixture).
 
-    Money and rates are in whole hundredths, so their sums are exact in any order.
+    Money and rates are in whole hundredths, so their sums are exact in any order. Quarters are numbers here: rows are
+    counted by them, and their text (``named_quarters``) is made for the few rows that are left.
     """
     li = table(spark, sf, "lineitem").select("l_shipdate", *DRIFT_FEATURES)
-    q = F.concat_ws("-Q", F.year("l_shipdate").cast("string"), F.quarter("l_shipdate").cast("string"))
-    li = li.withColumn("quarter", q)
-    factor = F.when(F.col("quarter") == "2000-Q2", 1.25).when(F.col("quarter") == "2001-Q1", 2.0).otherwise(1.0)
+    li = li.withColumn("quarter_no", F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1)
+    no = F.col("quarter_no")
+    factor = F.when(no == 2000 * 4 + 1, 1.25).when(no == 2001 * 4, 2.0).otherwise(1.0)
     whole = {c: F.round(F.col(c) * 100) for c in DRIFT_FEATURES if c != "l_quantity"}
     li = li.withColumns({"l_quantity": F.col("l_quantity") * factor, **whole})
-    return O.melt(li.select("quarter", *DRIFT_FEATURES), ["quarter"], DRIFT_FEATURES)
+    return li.select("quarter_no", *DRIFT_FEATURES)
+
+
+def melted(lines: DataFrame) -> DataFrame:
+    """(quarter_no, feature, value) of ``drift_lines``."""
+    return O.melt(lines, ["quarter_no"], DRIFT_FEATURES)
+
+
+def quarter_text(no: str = "quarter_no") -> Column:
+    """1998-Q3 of a quarter's number; empty for null."""
+    return F.concat_ws("-Q", F.floor(F.col(no) / 4).cast("string"), (F.pmod(F.col(no), F.lit(4)) + 1).cast("string"))
+
+
+def is_live(no: str = "quarter_no") -> Column:
+    """``quarter_text`` is '1998' or later; the text is made only of years that have not four digits."""
+    n = F.col(no)
+    return F.when(n.between(1000 * 4, 9999 * 4 + 3), n >= 1998 * 4).otherwise(quarter_text(no) >= "1998")
+
+
+def named_quarters(rows: DataFrame) -> DataFrame:
+    return rows.select(quarter_text().alias("quarter"), *[c for c in rows.columns if c != "quarter_no"])
+
+
+def drift_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """(quarter, feature, value) of four line columns."""
+    return O.melt(named_quarters(drift_lines(spark, sf)), ["quarter"], DRIFT_FEATURES)
 
 
 def as_payload(events: DataFrame) -> DataFrame:

@@ -81,9 +81,19 @@ def q36_dist_stats(spark, sf):
 
 def drift_parts(spark, sf) -> tuple[DataFrame, DataFrame, str | None]:
     """The baseline, the live rows or value counts of them, and their weight column: one scan where values repeat."""
-    rows, weight = DS.counted(M.drift_rows(spark, sf), ["quarter", "feature"])
-    base = N.baseline(rows.filter("quarter < '1998'"), ["feature"], max_groups=len(M.DRIFT_FEATURES), weight=weight)
-    return durable(base), rows.filter("quarter >= '1998'"), weight
+    rows, weight = counted_quarters(M.drift_lines(spark, sf))
+    return drift_base(rows, weight), rows.filter("quarter >= '1998'"), weight
+
+
+def counted_quarters(lines: DataFrame) -> tuple[DataFrame, str | None]:
+    rows, weight = DS.counted(M.melted(lines), ["quarter_no", "feature"])
+    return M.named_quarters(rows), weight
+
+
+def drift_base(rows: DataFrame, weight: str | None) -> DataFrame:
+    """The baseline from the quarters before the live ones."""
+    early = rows.filter("quarter < '1998'")
+    return durable(N.baseline(early, ["feature"], max_groups=len(M.DRIFT_FEATURES), weight=weight))
 
 
 def feature_drift(spark, sf, newest: bool = False) -> DataFrame:

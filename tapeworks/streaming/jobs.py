@@ -43,6 +43,20 @@ def folding_writer(path: str, writer: str, transform, merge):
     return write
 
 
+def arrivals(rows: DataFrame, path: str, batches: int) -> DataFrame:
+    """A stream of ``rows`` that brings them in about ``batches`` batches, each with rows from all over the table.
+
+    Every task deals its rows out to its own ``batches`` files: nothing is shuffled, and with the table grow the files
+    and the tasks that write and read a batch, not the rows of one of them.
+    """
+    dealt = rows.withColumn("deal_", F.pmod(F.monotonically_increasing_id(), F.lit(batches)).cast("int"))
+    dealt.write.partitionBy("deal_").parquet(path)
+    spark = rows.sparkSession
+    files = len(spark.read.schema(dealt.schema).parquet(path).inputFiles())
+    stream = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+    return stream.drop("deal_")
+
+
 def drift_state_stream(rows: DataFrame, keys: list[str], path: str, checkpoint: str) -> StreamingQuery:
     """Value counts of every arriving batch of (keys, value) rows, to be added up by ``read_drift_state``.
 
