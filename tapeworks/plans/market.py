@@ -173,21 +173,24 @@ def mean_rank() -> Column:
     return F.round(total / 7, 6)
 
 
-def panel(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63) -> DataFrame:
-    return L.period_panel(durable(bars(spark, sf)), forward=forward, rebalance=rebalance)
+def panel(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63,
+          series: DataFrame | None = None) -> DataFrame:
+    """``series``: the bars, where a caller has them written."""
+    return L.period_panel(durable(bars(spark, sf)) if series is None else series, forward=forward, rebalance=rebalance)
 
 
 def ranked(spark: SparkSession, sf: str, *, forward: int = 252, rebalance: int = 63,
-           limit: int = O.GROUP_ROWS_IN_ONE_TASK) -> tuple[DataFrame, int]:
+           limit: int = O.GROUP_ROWS_IN_ONE_TASK, series: DataFrame | None = None) -> tuple[DataFrame, int]:
     """``limit``: rows of a period from which the form for large groups is planned."""
-    rows = durable(panel(spark, sf, forward=forward, rebalance=rebalance))
+    rows = durable(panel(spark, sf, forward=forward, rebalance=rebalance, series=series))
     spread = O.needs_spread(rows, ["period"], limit)
     return L.ranked_panel(rows, spread=spread), spread
 
 
-def scored(spark: SparkSession, sf: str, limit: int = O.GROUP_ROWS_IN_ONE_TASK) -> tuple[DataFrame, int]:
+def scored(spark: SparkSession, sf: str, limit: int = O.GROUP_ROWS_IN_ONE_TASK,
+           series: DataFrame | None = None) -> tuple[DataFrame, int]:
     """(period, ticker, dates, model_score, fwd_ret, vol, bench_ret) and the size flag."""
-    rows, spread = ranked(spark, sf, limit=limit)
+    rows, spread = ranked(spark, sf, limit=limit, series=series)
     return durable(rows.select(
         "period", "ticker", "start_dt", "end_dt", mean_rank().alias("model_score"),
         "fwd_ret", "vol", "bench_ret")), spread

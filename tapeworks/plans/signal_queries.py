@@ -108,20 +108,23 @@ def q37_feature_psi(spark, sf):
     return six(feature_drift(spark, sf).drop("n"), 4)
 
 
-def matured(spark, sf, rows: DataFrame | None = None, spread: int = 0, ranged: bool = False) -> tuple[DataFrame, int]:
-    """Predictions with their realised returns; ``rows``: scored rows, where a caller has them."""
+def matured(spark, sf, rows: DataFrame | None = None, spread: int = 0, ranged: bool = False,
+            series: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """Predictions with their realised returns; ``rows`` and ``series``: scored rows and bars, where a caller has them."""
+    if series is None:
+        series = durable(M.bars(spark, sf))
     if rows is None:
-        rows, spread = M.scored(spark, sf)
+        rows, spread = M.scored(spark, sf, series=series)
     preds = durable(M.predictions(rows))
-    return N.mature_labels(preds, durable(M.bars(spark, sf)), F.to_date(F.lit(NOW)), ranged), spread
+    return N.mature_labels(preds, series, F.to_date(F.lit(NOW)), ranged), spread
 
 
 def q38_mature_labels(spark, sf):
     return six(matured(spark, sf)[0])
 
 
-def rolling(spark, sf, *scored) -> DataFrame:
-    rows, spread = matured(spark, sf, *scored)
+def rolling(spark, sf, *scored, series: DataFrame | None = None) -> DataFrame:
+    rows, spread = matured(spark, sf, *scored, series=series)
     return N.rolling_ic(N.period_ics(durable(rows), spread=spread))
 
 
@@ -142,8 +145,9 @@ def states(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     Every quarter sees the correlation and the prediction drift as they stood then, next to its own
     feature drift; the correlation is held against the mean of the baseline periods.
     """
-    rows, spread = M.scored(spark, sf)
-    roll = durable(rolling(spark, sf, rows, spread))
+    series = durable(M.bars(spark, sf))
+    rows, spread = M.scored(spark, sf, series=series)
+    roll = durable(rolling(spark, sf, rows, spread, series=series))
     first = roll.filter((F.col("window") == K.IC_PRIMARY_WINDOW) & (F.col("period_key") <= BASE_PERIODS))
     train_ic = first.agg(F.avg("spearman")).first()[0]
     roll = durable(N.classify_ic(roll.withColumn("train_ic", F.lit(train_ic).cast("double"))))

@@ -1,4 +1,4 @@
-"""Drift on growing tables: the test for repeats, arrivals of a stream."""
+"""Drift and its verdict on growing tables: passes over the lines, the test for repeats, arrivals of a stream."""
 
 import datetime as dt
 
@@ -28,6 +28,16 @@ def tables(spark, tmp_path_factory):
     return at
 
 
+def test_lines_are_joined_once_for_scores_and_labels(spark, tables, monkeypatch):
+    reads, sales = [], M.sales
+    monkeypatch.setattr(M, "sales", lambda *a: reads.append(a) or sales(*a))
+    assert Q.matured(spark, tables)[0].count() > 0
+    assert len(reads) == 1
+    reads.clear()
+    Q.states(spark, tables)
+    assert len(reads) == 1
+
+
 def test_test_for_repeats_estimates_few_values_of_large_tables(spark, monkeypatch):
     monkeypatch.setattr(DS, "TESTED", 1 << 10)
     alike = spark.range(1 << 15).select(F.lit(1).alias("q"), F.lit("f").alias("feature"), (F.col("id") % 4096).cast("double").alias("value"))
