@@ -40,8 +40,14 @@ def ticker_of(brand: str = "p_brand") -> Column:
     return F.upper(F.replace(F.col(brand), F.lit("#"), F.lit("-")))
 
 
+def rounded(x: Column) -> Column:
+    """``round(x)`` of doubles, half away from zero, without a decimal number per row: the same number for every double."""
+    even = F.rint(x)                                       # x - even is exact, so a tie is known for sure
+    return F.when(F.abs(x - even) == 0.5, x + F.signum(x) * 0.5).otherwise(even) + 0.0      # no negative zero
+
+
 def hundredths(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
+    return rounded(F.col(c) * 100).cast("bigint")
 
 
 def sales(spark: SparkSession, sf: str, *cols: str) -> DataFrame:
@@ -285,7 +291,7 @@ def drift_lines(spark: SparkSession, sf: str) -> DataFrame:
     li = li.withColumn("quarter_no", F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1)
     no = F.col("quarter_no")
     factor = F.when(no == 2000 * 4 + 1, 1.25).when(no == 2001 * 4, 2.0).otherwise(1.0)
-    whole = {c: F.round(F.col(c) * 100) for c in DRIFT_FEATURES if c != "l_quantity"}
+    whole = {c: rounded(F.col(c) * 100) for c in DRIFT_FEATURES if c != "l_quantity"}
     li = li.withColumns({"l_quantity": F.col("l_quantity") * factor, **whole})
     return li.select("quarter_no", *DRIFT_FEATURES)
 

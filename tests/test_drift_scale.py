@@ -75,3 +75,14 @@ def test_streamed_drift_is_the_drift_of_the_lines(spark, tables):
     rows = lambda df: sorted(df.collect(), key=lambda r: (r["quarter"], r["feature"]))
     streamed = rows(J.q87_drift_stream(spark, tables))
     assert len(streamed) > 12 and streamed == rows(Q.q37_feature_psi(spark, tables))
+
+
+def test_rounding_of_lines_is_that_of_round_and_makes_no_decimals(spark, tables):
+    odd = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, -0.2, 0.49999999999999994, -0.49999999999999994, 4503599627370495.5, 4503599627370497.0,
+           1e22, -1e300, 5e-324, 100.5, 1.005 * 100, 1.15 * 100, 0.07 * 100, float("nan"), float("inf"), float("-inf"), None]
+    rows = spark.createDataFrame([(x,) for x in odd + [n / 1000 * 100 for n in range(-5000, 5000)]], "x double")
+    text = lambda c: c.cast("string")
+    pairs = rows.select(text(F.round("x")).alias("want"), text(M.rounded(F.col("x"))).alias("got"))
+    assert pairs.filter(~F.col("want").eqNullSafe(F.col("got"))).count() == 0
+    for df in (M.daily(spark, tables), M.drift_lines(spark, tables)):
+        assert "round(" not in df._jdf.queryExecution().optimizedPlan().toString()
